@@ -89,6 +89,7 @@ class Commerce:
             F.concat_ws("-", F.col("l_orderkey").cast("string"),
                         F.col("l_linenumber").cast("string")).alias("id"),
             F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("line_number"),
             F.col("l_partkey").alias("variant_id"),
             qty.alias("quantity"),
             cents("l_extendedprice").alias("total"),
@@ -344,7 +345,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders"""),
     "co_line_item": ((), """
         SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id,
-               l_orderkey AS order_id, l_partkey AS variant_id,
+               l_orderkey AS order_id, l_linenumber AS line_number, l_partkey AS variant_id,
                CAST(l_quantity AS INTEGER) AS quantity,
                CAST(round(l_extendedprice * 100) AS BIGINT) AS total,
                CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS unit_price,
