@@ -392,3 +392,8 @@ def bulk_update_products(spark, sf_dir):
 def bulk_delete_products(spark, sf_dir):
     c = commerce(spark, sf_dir)
     return m.bulk_delete(c.products, _returned_ids(c))["product"].select("id", "title")
+
+
+def oracle_for(key: str) -> str:
+    from cartwheel.plans.registry import _ORACLE
+    return _ORACLE[key]

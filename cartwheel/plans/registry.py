@@ -51,7 +51,7 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from cartwheel.plans import (  # noqa: F401
-        q_directory, q_events, q_maintain, q_sales, q_seed,
+        q_directory, q_events, q_io, q_maintain, q_sales,
     )
 
 

@@ -65,3 +65,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never reused,
+    so a retried or concurrent job cannot see another run's files)."""
+    import uuid
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
