@@ -128,8 +128,9 @@ def conversion_envelope(event_name: Column, event_time: Column, user: dict[str,
         js_or(custom.get("value", F.lit(None).cast("double")), 0.0, "number").alias("value"),
         js_or(custom.get("contentType", F.lit(None).cast("string")), DEFAULT_CONTENT_TYPE, "string")
         .alias("content_type"),
-        F.coalesce(custom.get("contentIds"), F.array().cast(string_list)).alias("content_ids"),
-        custom["contents"].alias("contents"),
+        F.coalesce(custom.get("contentIds", F.lit(None).cast(string_list)), F.array().cast(string_list))
+        .alias("content_ids"),
+        F.coalesce(custom.get("contents", F.lit(None).cast(CONTENTS)), F.array().cast(CONTENTS)).alias("contents"),
         js_or(custom.get("numItems", F.lit(None).cast("bigint")), F.lit(1).cast("bigint"), "number")
         .alias("num_items"),
         custom.get("orderId", F.lit(None).cast("string")).alias("order_id"),
