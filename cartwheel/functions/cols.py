@@ -92,9 +92,17 @@ def empty_string_map() -> Column:
 
 
 def one_row_join(*frames: DataFrame) -> DataFrame:
-    """Side-by-side join of single-row frames (global aggregates) on a
-    constant key; each input has exactly one row, so the output has one."""
-    out = frames[0].withColumn("__one", F.lit(1))
+    """Put single-row frames (global aggregates) side by side without a
+    join: union them with the missing columns as NULL, then keep the one
+    non-NULL value per column in a global aggregate. Every column must come
+    from exactly one frame."""
+    cols: list[str] = []
+    for f in frames:
+        dup = set(cols) & set(f.columns)
+        if dup:
+            raise ValueError(f"columns in more than one frame: {sorted(dup)}")
+        cols.extend(f.columns)
+    u = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("__one", F.lit(1)), "__one")
-    return out.drop("__one")
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

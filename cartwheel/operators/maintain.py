@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.functions.cols import empty_string_map, falsy, js_or, one_row_join
+from cartwheel.functions.cols import empty_string_map, falsy, js_or
 
 # Fixed values of the reference: the currencies it ensures exist
 # (code, symbol, symbol_native, name).
@@ -289,17 +289,17 @@ def ensure_store(stores: DataFrame, store_currencies: DataFrame, now: dt.datetim
                  name: str = DEFAULT_STORE_NAME) -> dict[str, DataFrame]:
     """No store -> insert a default one; otherwise the first store (by
     id) gets default currency 'usd' and a name if it had none. Then that
-    store is linked to 'usd' (insert-ignore). Emptiness is decided inside
-    the plan (a one-row count), not on the driver."""
+    store is linked to 'usd' (insert-ignore). Emptiness and "first" are
+    decided inside the plan with equi-joins, not on the driver."""
     spark = stores.sparkSession
-    first = stores.agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    upd = one_row_join(stores, first)
-    is_first = F.col("id") == F.col("__first")
+    first = stores.agg(F.min("id").alias("id")).filter(F.col("id").isNotNull()) \
+        .withColumn("__is_first", F.lit(True))
+    upd = stores.join(first, "id", "left")
+    is_first = F.coalesce(F.col("__is_first"), F.lit(False))
     updated = upd.select(*[
         F.when(is_first, F.lit(DEFAULT_STORE_CURRENCY)).otherwise(F.col(c)).alias(c) if c == "default_currency_code"
         else F.when(is_first, F.coalesce(F.col(c), F.lit(name))).otherwise(F.col(c)).alias(c) if c == "name"
         else F.col(c) for c in stores.columns])
-    schema = stores.schema
     default = spark.range(1).select(*[
         (F.lit(DEFAULT_STORE_ID) if f.name == "id"
          else F.lit(name) if f.name == "name"
@@ -308,14 +308,15 @@ def ensure_store(stores: DataFrame, store_currencies: DataFrame, now: dt.datetim
          else F.lit(STORE_LINK_TEMPLATES[1]) if f.name == "payment_link_template"
          else F.lit(STORE_LINK_TEMPLATES[2]) if f.name == "invite_link_template"
          else _ts(now) if f.name in ("created_at", "updated_at")
-         else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-    inserted = one_row_join(default, first).filter(F.col("__n") == 0).select(*stores.columns)
+         else F.lit(None)).cast(f.dataType).alias(f.name) for f in stores.schema.fields])
+    # The default row survives only if no store exists (anti-join on a constant key).
+    any_store = stores.select(F.lit(1).alias("__k")).limit(1)
+    inserted = default.withColumn("__k", F.lit(1)).join(any_store, "__k", "left_anti").drop("__k")
     new_stores = updated.unionByName(inserted)
-    target_id = one_row_join(spark.range(1), first).select(
-        F.coalesce(F.col("__first"), F.lit(DEFAULT_STORE_ID)).alias("store_id"),
-        F.lit(DEFAULT_STORE_CURRENCY).alias("currency_code"))
+    target = new_stores.agg(F.min("id").alias("store_id")).select(
+        "store_id", F.lit(DEFAULT_STORE_CURRENCY).alias("currency_code"))
     return {"store": new_stores,
-            "store_currencies": insert_ignore(store_currencies, target_id, ["store_id", "currency_code"])}
+            "store_currencies": insert_ignore(store_currencies, target, ["store_id", "currency_code"])}
 
 
 def add_column_backfill(df: DataFrame, column: str = "includes_tax", default: bool = False) -> DataFrame:

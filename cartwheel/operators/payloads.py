@@ -192,10 +192,9 @@ def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
     li = line_items.join(catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id", "left")
     # Struct order = list order: line number first, the rest breaks ties.
     item = F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
-                    F.col("id").alias("line_id"), F.col("sku"), F.col("product_title").alias("title"),
-                    F.col("product_type"))
+                    F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
     items = li.groupBy(F.col("order_id").alias("id")).agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
+        F.sort_array(F.collect_list(item)).alias("items"),
         F.sum("tax_total").alias("tax_total"))
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")

@@ -76,9 +76,9 @@ ORDER_ENRICHED_CTE = ("co_order_enriched", """
            CAST(NULL AS BIGINT) AS shipping_total, lower(substr(rg.r_name, 1, 3)) AS region_currency
     FROM co_order o
     LEFT JOIN (SELECT li.order_id, COUNT(*) AS n_items,
-                      string_agg(coalesce(nullif(k.sku, ''), CAST(li.variant_id AS VARCHAR)), ',' ORDER BY li.line_number, li.variant_id, li.quantity, li.unit_price, li.id)
+                      string_agg(coalesce(nullif(k.sku, ''), CAST(li.variant_id AS VARCHAR)), ',' ORDER BY li.line_number, li.variant_id, li.quantity, li.unit_price, k.sku, k.product_title, k.product_type)
                         AS item_ids,
-                      string_agg(coalesce(nullif(k.product_type, ''), 'General'), ',' ORDER BY li.line_number, li.variant_id, li.quantity, li.unit_price, li.id) AS categories,
+                      string_agg(coalesce(nullif(k.product_type, ''), 'General'), ',' ORDER BY li.line_number, li.variant_id, li.quantity, li.unit_price, k.sku, k.product_title, k.product_type) AS categories,
                       SUM(li.quantity) AS units, SUM(li.tax_total) AS tax_total
                FROM co_line_item li LEFT JOIN co_catalog k ON li.variant_id = k.variant_id
                GROUP BY li.order_id) i ON o.id = i.order_id

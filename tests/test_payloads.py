@@ -39,7 +39,7 @@ def test_purchase_without_items_and_price(spark):
     orders = spark.createDataFrame(
         [(1, 5, None, "eur", None, None, None, None, None, None, None, None, None, None)],
         "id bigint, customer_id bigint, total bigint, currency_code string, items array<struct<line_number:int,"
-        "variant_id:bigint,quantity:int,unit_price:bigint,line_id:string,sku:string,title:string,"
+        "variant_id:bigint,quantity:int,unit_price:bigint,sku:string,title:string,"
         "product_type:string>>, email string, phone string, first_name string, last_name string, city string, "
         "province string, postal_code string, country_code string, tax_total bigint")
     orders = orders.withColumn("shipping_total", F.lit(None).cast("bigint"))
