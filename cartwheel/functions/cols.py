@@ -106,3 +106,33 @@ def one_row_join(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
+def bounded_parts(df: DataFrame, group_cols: list[str], key_cols: list[str], max_per_part: int) -> DataFrame:
+    """Assign each row of a group to one of ``ceil(n / max_per_part)`` parts
+    (``part``, ``parts`` columns), so lists collected per (group, part) stay
+    bounded even when one group holds a large share of all rows.
+
+    The group sizes come from a partial (map-side) aggregate; parts are
+    chosen by a hash of ``key_cols``, so they are deterministic on retry.
+    Groups below the bound get exactly one part (part 0).
+    """
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(*group_cols, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_per_part)))
+                         .cast("int").alias("parts"))
+    j = df.join(sizes, group_cols)
+    return j.withColumn("part", F.when(F.col("parts") == 1, F.lit(0))
+                        .otherwise(F.pmod(F.xxhash64(*key_cols), F.col("parts").cast("long")).cast("int")))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` with the left side spread over ``buckets`` salt
+    values and the right side (one row per key) copied once per salt, so a
+    key holding a large share of the left rows is processed by ``buckets``
+    tasks. ``buckets <= 1`` is a plain join."""
+    if buckets <= 1:
+        return left.join(right, key, how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(buckets)).cast("int")
+    l2 = left.withColumn("__salt", salt)
+    r2 = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return l2.join(r2, [key, "__salt"], how).drop("__salt")

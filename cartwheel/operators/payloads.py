@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.functions.cols import js_or, pii_hash
+from cartwheel.functions.cols import bounded_parts, js_or, pii_hash, salted_join
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,8 @@ class PayloadConfig:
 
 
 DEFAULT_CONFIG = PayloadConfig()
+# Largest item list one payload row carries (bigger orders are split in parts).
+MAX_ITEMS_PER_PART = 500
 
 CONTENTS = T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()), T.StructField("quantity", T.LongType()),
@@ -83,11 +85,13 @@ def variant_catalog(variants: DataFrame, products: DataFrame, prices: DataFrame)
     return v.join(p, "product_id").join(first_prices(prices), "variant_id", "left")
 
 
-def cart_enriched(actions: DataFrame, catalog: DataFrame) -> DataFrame:
+def cart_enriched(actions: DataFrame, catalog: DataFrame, salt_buckets: int = 1) -> DataFrame:
     """Cart actions joined to their variant, product and first price.
     Inner join: an event whose variant lookup fails is skipped, as the
-    reference's handler gives up on a failed lookup."""
-    return actions.join(catalog, "variant_id", "inner")
+    reference's handler gives up on a failed lookup. ``salt_buckets`` > 1
+    spreads a hot variant over several tasks (useful in streaming, where
+    adaptive skew handling does not apply)."""
+    return salted_join(actions, catalog, "variant_id", salt_buckets)
 
 
 def _price_units(amount: Column) -> Column:
@@ -182,29 +186,38 @@ def view_content_conversion(views: DataFrame, catalog: DataFrame, cfg: PayloadCo
 
 # -------------------------------------------------------------- orders
 def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
-                   customers: DataFrame, addresses: DataFrame) -> DataFrame:
+                   customers: DataFrame, addresses: DataFrame,
+                   max_items_per_part: int = MAX_ITEMS_PER_PART) -> DataFrame:
     """Each order with its items (in line order, each with variant sku
-    and product type), tax total, customer (optional) and shipping address.
-
-    Items are grouped per order; the list holds one order's lines, which the
-    payload carries whole (a single order's size, not a data-size group).
+    and product type), tax total, unit count, customer (optional) and
+    shipping address.
+
+    Order-level totals come from a partial aggregate. The item list is
+    collected per (order, part): an order with more than
+    ``max_items_per_part`` lines is split into several rows (``part`` /
+    ``parts``), so no single group collects an unbounded list; every other
+    order has exactly one row with all its items, as in the reference.
     """
     li = line_items.join(catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id", "left")
+    totals = li.groupBy(F.col("order_id").alias("id")).agg(
+        F.sum("tax_total").alias("tax_total"), F.sum(F.col("quantity").cast("bigint")).alias("units"))
+    li = bounded_parts(li, ["order_id"], ["order_id", "line_number", "variant_id"], max_items_per_part)
     # Struct order = list order: line number first, the rest breaks ties.
     item = F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
                     F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
-    items = li.groupBy(F.col("order_id").alias("id")).agg(
-        F.sort_array(F.collect_list(item)).alias("items"),
-        F.sum("tax_total").alias("tax_total"))
+    items = li.groupBy(F.col("order_id").alias("id"), "part", "parts").agg(
+        F.sort_array(F.collect_list(item)).alias("items"))
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")
-    o = (orders.join(items, "id", "left").join(c, "customer_id", "left")
+    o = (orders.join(totals, "id", "left").join(items, "id", "left").join(c, "customer_id", "left")
          .join(addresses, "nation_id", "left"))
-    return o.withColumn("shipping_total", F.lit(None).cast("bigint"))
+    return (o.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("parts", F.coalesce("parts", F.lit(1)))
+            .withColumn("shipping_total", F.lit(None).cast("bigint")))
 
 
-def _order_items(items: Column) -> Column:
-    return F.coalesce(items, F.array())
+def _part_cols(df: DataFrame) -> list[str]:
+    """Part columns of a split order, when the input carries them."""
+    return [c for c in ("part", "parts") if c in df.columns]
 
 
 def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -217,7 +230,9 @@ def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: Payload
     contents = F.coalesce(F.transform(items, lambda x: F.struct(
         _item_id(x["sku"], x["variant_id"]).alias("id"), x["quantity"].cast("bigint").alias("quantity"),
         (x["unit_price"] / F.lit(100.0)).alias("item_price"))), F.array().cast(CONTENTS))
-    num = F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"].cast("bigint"))
+    # items.reduce(sum of quantity): the order-level unit count, which is the
+    # same number and stays whole when the order is split into parts.
+    num = F.col("units")
     user = {"email": F.col("email"), "phone": F.col("phone"), "firstName": F.col("first_name"),
             "lastName": F.col("last_name"), "city": F.col("city"), "state": F.col("province"),
             "zip": F.col("postal_code"), "country": F.col("country_code"), **_meta_user(F.col("metadata"))}
@@ -227,7 +242,7 @@ def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: Payload
          "value": F.col("total") / F.lit(100.0), "contentType": F.lit("product"),
          "contentIds": ids, "contents": contents, "numItems": num,
          "orderId": F.col("id").cast("string")}, cfg)
-    return j.select("id", payload.alias("payload"))
+    return j.select("id", *_part_cols(j), payload.alias("payload"))
 
 
 # ------------------------------------------------------ measurement protocol
@@ -299,7 +314,7 @@ def ga_purchase(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig =
         F.coalesce(items, F.array().cast(GA_ITEMS)).alias("items")]
     payload = ga_envelope("purchase", params, F.col("customer_id").cast("string"), _session(F.col("metadata")),
                           F.col("event_ts"), F.col("id"))
-    return j.select("id", payload.alias("payload"))
+    return j.select("id", *_part_cols(j), payload.alias("payload"))
 
 
 def ga_view_item(views: DataFrame, catalog: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -330,7 +345,7 @@ def ga_begin_checkout(orders: DataFrame, region_currency: Column, cfg: PayloadCo
               (F.col("total") / F.lit(100.0)).alias("value"), F.coalesce(items, F.array().cast(GA_ITEMS)).alias("items")]
     payload = ga_envelope("begin_checkout", params, F.col("customer_id").cast("string"),
                           F.lit(None).cast("string"), F.col("created_at"), F.col("id"))
-    return orders.select("id", payload.alias("payload"))
+    return orders.select("id", *_part_cols(orders), payload.alias("payload"))
 
 
 def ga_search(searches: DataFrame, products: DataFrame) -> DataFrame:
