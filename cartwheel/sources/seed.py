@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartwheel.functions.cols import bounded_parts
+
 S = T.StringType()
 STR_MAP = T.MapType(S, S)
 
@@ -64,7 +66,7 @@ def product_tables(products: DataFrame) -> dict[str, DataFrame]:
     """products (one row per product, PRODUCT columns) -> product, variant,
     price, tag, product_option and variant_option_value tables."""
     product = products.select("id", "title", "subtitle", "description", "handle", "status", "category_id",
-                              "collection_id", "is_giftcard", "type", "tags")
+                              "collection_id", "is_giftcard", "type", "tags").dropDuplicates(["id"])
     v = products.select(F.col("id").alias("product_id"), F.posexplode("variants").alias("rank", "v"))
     variant = v.select(F.col("v.id").alias("id"), "product_id", "rank", "v.title", "v.sku",
                        "v.inventory_quantity", "v.manage_inventory", "v.allow_backorder")
@@ -111,11 +113,13 @@ def read_product_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PRODUCT).json(path)
 
 
-def product_documents(products: DataFrame, variants: DataFrame, prices: DataFrame) -> DataFrame:
-    """The inverse: one JSON document per product with its variants and
-    their prices nested (the seed's product shape). Prices are grouped per
-    variant and variants per product - lists of one product, never of the
-    whole catalogue."""
+def product_documents(products: DataFrame, variants: DataFrame, prices: DataFrame,
+                      max_variants_per_doc: int = 1000) -> DataFrame:
+    """The inverse: JSON product documents with their variants and prices
+    nested (the seed's product shape). A product with more than
+    ``max_variants_per_doc`` variants is written as several documents (same
+    product fields, a share of the variants each), so no group collects an
+    unbounded list; :func:`product_tables` de-duplicates the product rows."""
     pv = prices.groupBy("variant_id").agg(
         F.sort_array(F.collect_list(F.struct("currency_code", "amount"))).alias("prices"))
     v = variants.join(pv, variants.id == pv.variant_id, "left").select(
@@ -124,7 +128,8 @@ def product_documents(products: DataFrame, variants: DataFrame, prices: DataFram
                                F.array().cast(VARIANT["options"].dataType).alias("options"),
                                F.coalesce("prices", F.array().cast(T.ArrayType(PRICE))).alias("prices"))
         .alias("v"))
-    per_product = v.groupBy("product_id").agg(F.sort_array(F.collect_list("v")).alias("variants"))
+    v = bounded_parts(v, ["product_id"], ["product_id", "v.id"], max_variants_per_doc)
+    per_product = v.groupBy("product_id", "part").agg(F.sort_array(F.collect_list("v")).alias("variants"))
     p = products.join(per_product, products.id == per_product.product_id, "left")
     doc = F.struct(F.col("id").cast("string").alias("id"), "title", F.lit(None).cast("string").alias("subtitle"),
                    F.lit(None).cast("string").alias("description"), "handle",
