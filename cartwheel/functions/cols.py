@@ -108,16 +108,19 @@ def one_row_join(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def bounded_parts(df: DataFrame, group_cols: list[str], key_cols: list[str], max_per_part: int) -> DataFrame:
+def bounded_parts(df: DataFrame, group_cols: list[str], key_cols: list[str], max_per_part: int,
+                  sizes: DataFrame | None = None) -> DataFrame:
     """Assign each row of a group to one of ``ceil(n / max_per_part)`` parts
     (``part``, ``parts`` columns), so lists collected per (group, part) stay
     bounded even when one group holds a large share of all rows.
 
     The group sizes come from a partial (map-side) aggregate; parts are
     chosen by a hash of ``key_cols``, so they are deterministic on retry.
-    Groups below the bound get exactly one part (part 0).
+    Groups below the bound get exactly one part (part 0). ``sizes`` (group
+    columns + ``__n``) can be passed when the caller already counted.
     """
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    if sizes is None:
+        sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.select(*group_cols, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_per_part)))
                          .cast("int").alias("parts"))
     j = df.join(sizes, group_cols)
