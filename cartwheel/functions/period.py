@@ -32,3 +32,21 @@ def resolve_period(period: str | None, as_of: dt.datetime) -> tuple[dt.datetime,
 def sql_ts(value: dt.datetime) -> str:
     """SQL literal for oracle text."""
     return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+
+
+def period_start(period, as_of):
+    """Column form of :func:`resolve_period`'s start for per-row anchors
+    (``period`` and ``as_of`` are Columns); same rules, built-in expressions."""
+    from pyspark.sql import functions as F
+
+    def minus_days(n):
+        return F.timestamp_add("DAY", F.lit(-n), as_of)
+
+    year_back = F.timestamp_add("YEAR", F.lit(-1), as_of)
+    # setFullYear(y-1) on 29 Feb lands on 1 Mar (the year before is never leap).
+    one_year = F.when((F.month(as_of) == 2) & (F.dayofmonth(as_of) == 29),
+                      F.timestamp_add("DAY", F.lit(1), year_back)).otherwise(year_back)
+    expr = F.when(period == "1y", one_year)
+    for code, n in DAYS.items():
+        expr = expr.when(period == code, minus_days(n))
+    return expr.otherwise(minus_days(DAYS[DEFAULT_PERIOD]))

@@ -236,6 +236,13 @@ def store_directory(stores: DataFrame, currencies: DataFrame, store_currencies:
     )
 
 
+def store_currency_rows(currencies: DataFrame, store_currencies: DataFrame) -> DataFrame:
+    """J8 second read: (store_id, code, symbol, symbol_native, name) for every
+    currency linked to a store (inner join)."""
+    return (store_currencies.join(currencies, store_currencies.currency_code == currencies.code)
+            .select("store_id", "code", "symbol", "symbol_native", "name"))
+
+
 def first_store(store_dir: DataFrame) -> DataFrame:
     """``LIMIT 1`` without ORDER BY, made deterministic with the id."""
     return store_dir.orderBy(F.col("id").asc_nulls_last()).limit(1)

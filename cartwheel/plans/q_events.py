@@ -371,7 +371,7 @@ def ga_purchase(spark, sf_dir):
                      _ids(prm["items"]).alias("item_ids"), _ids(prm["items"], "category").alias("categories"))
 
 
-@register("ga_view_item", with_views(f"""
+GA_VIEW_ITEM_SQL = f"""
     SELECT v.id, 'view_item' AS name, coalesce(nullif(v.user_id, ''), {gen_client_sql('v.ts', 'v.id')}) AS client_id,
            coalesce(nullif(v.session_id, ''), {gen_session_sql('v.ts', 'v.id')}) AS session_id,
            100 AS engagement_time_msec, 'USD' AS currency, coalesce(k.first_amount / 100.0, 0.0) AS value,
@@ -379,8 +379,10 @@ def ga_purchase(spark, sf_dir):
              AS item_id,
            k.product_title AS item_name,
            coalesce(nullif(k.product_type, ''), '{pl.DEFAULT_CONFIG.default_category}') AS category
-    FROM co_view v LEFT JOIN co_catalog k ON v.product_id = k.product_id""",
-    *CART_VIEWS, extra=(CATALOG_CTE, VIEW_SQL_CTE)))
+    FROM co_view v LEFT JOIN co_catalog k ON v.product_id = k.product_id"""
+
+
+@register("ga_view_item", with_views(GA_VIEW_ITEM_SQL, *CART_VIEWS, extra=(CATALOG_CTE, VIEW_SQL_CTE)))
 def ga_view_item(spark, sf_dir):
     c = commerce(spark, sf_dir)
     df = pl.ga_view_item(ev.view_events(c.raw("events")), _catalog(c))
@@ -391,13 +393,16 @@ def ga_view_item(spark, sf_dir):
                      item["category"].alias("category"))
 
 
-@register("ga_begin_checkout", with_views(f"""
+GA_BEGIN_CHECKOUT_SQL = f"""
     SELECT id, 'begin_checkout' AS name,
            coalesce(nullif(CAST(customer_id AS VARCHAR), ''), {gen_client_sql('created_at', 'id')}) AS client_id,
            {gen_session_sql('created_at', 'id')} AS session_id, 100 AS engagement_time_msec,
            coalesce(nullif(upper(region_currency), ''), 'USD') AS currency, total / 100.0 AS value,
            coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
-    FROM co_order_enriched""", *ORDER_VIEWS, extra=ORDER_EXTRA))
+    FROM co_order_enriched"""
+
+
+@register("ga_begin_checkout", with_views(GA_BEGIN_CHECKOUT_SQL, *ORDER_VIEWS, extra=ORDER_EXTRA))
 def ga_begin_checkout(spark, sf_dir):
     o = _orders_enriched(commerce(spark, sf_dir))
     df = pl.ga_begin_checkout(o, F.col("region_currency"))
@@ -406,14 +411,17 @@ def ga_begin_checkout(spark, sf_dir):
                      F.size(prm["items"]).cast("bigint").alias("n_items"), _ids(prm["items"]).alias("item_ids"))
 
 
-@register("ga_search", with_views(f"""
+GA_SEARCH_SQL = f"""
     SELECT s.id, 'search' AS name,
            coalesce(nullif(s.user_id, ''), {gen_client_sql('s.ts', 's.id')}) AS client_id,
            {gen_session_sql('s.ts', 's.id')} AS session_id, 100 AS engagement_time_msec, p.title AS search_term
     FROM (SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS user_id,
                  CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id
           FROM events WHERE event_type = 'signup') s
-    LEFT JOIN co_product p ON s.product_id = p.id""", "co_product"))
+    LEFT JOIN co_product p ON s.product_id = p.id"""
+
+
+@register("ga_search", with_views(GA_SEARCH_SQL, "co_product"))
 def ga_search(spark, sf_dir):
     c = commerce(spark, sf_dir)
     df = pl.ga_search(ev.search_events(c.raw("events")), c.products)
@@ -421,10 +429,18 @@ def ga_search(spark, sf_dir):
     return df.select(*_ga_base(df), prm["search_term"].alias("search_term"))
 
 
-@register("ga_envelope")
+def _ga_envelope_sql() -> str:
+    parts = [_ga_cart_sql("add", "add_to_cart"), _ga_cart_sql("remove", "remove_from_cart"), GA_PURCHASE_SQL,
+             GA_VIEW_ITEM_SQL, GA_BEGIN_CHECKOUT_SQL, GA_SEARCH_SQL]
+    cols = ", ".join(GA_COLS)
+    return "\nUNION ALL\n".join(f"SELECT {cols} FROM ({p})" for p in parts)
+
+
+@register("ga_envelope", with_views(_ga_envelope_sql(), *ORDER_VIEWS,
+                                    extra=ORDER_EXTRA + (CART_EVENT_CTE, CART_DELTA_CTE, ENRICHED_CTE, VIEW_SQL_CTE)))
 def ga_envelope(spark, sf_dir):
-    """E12 over every measurement-protocol event (rows-only; each event
-    kind has its own oracle twin above)."""
+    """E12 over every measurement-protocol event: client id, session id and
+    engagement time of each payload."""
     out = None
     for fn in (ga_add_to_cart, ga_remove_from_cart, ga_purchase, ga_view_item, ga_begin_checkout, ga_search):
         part = fn(spark, sf_dir).select(*GA_COLS)

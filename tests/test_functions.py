@@ -57,3 +57,13 @@ def test_no_python_udfs_in_plans(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert F  # keep import
+
+
+def test_period_start_column_matches_driver_side(spark):
+    from cartwheel.functions.period import period_start
+    anchors = [dt.datetime(2024, 2, 29, 13, 30), dt.datetime(2023, 3, 1), dt.datetime(2000, 2, 29)]
+    codes = ["7d", "30d", "90d", "1y", "zz"]
+    df = spark.createDataFrame([(p, a) for p in codes for a in anchors], "p string, a timestamp_ntz")
+    got = {(r.p, r.a): r.s for r in df.select("p", "a", period_start(F.col("p"), F.col("a")).alias("s")).collect()}
+    for (p, a), s in got.items():
+        assert s == resolve_period(p, a)[0]
