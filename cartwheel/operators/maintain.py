@@ -227,13 +227,21 @@ def region_survivor(instances: DataFrame) -> DataFrame:
     return j.withColumn("keep", F.col("id") == F.col("survivor_id"))
 
 
+def region_moves(regions: DataFrame, options: DataFrame, countries: DataFrame) -> DataFrame:
+    """loser_id -> survivor_id for every non-surviving duplicate region."""
+    surv = region_survivor(region_instances(regions, options, countries))
+    return surv.filter(~F.col("keep")).select(F.col("id").alias("loser_id"), "survivor_id")
+
+
 def dedupe_regions(regions: DataFrame, options: DataFrame, countries: DataFrame,
-                   fulfillment_links: DataFrame, payment_links: DataFrame) -> dict[str, DataFrame]:
+                   fulfillment_links: DataFrame, payment_links: DataFrame,
+                   moves: DataFrame | None = None) -> dict[str, DataFrame]:
     """Survivors stay; options and countries of the other duplicates
     move to the survivor; their provider links and region rows go.
-    Returns the new version of each of the five tables."""
-    surv = region_survivor(region_instances(regions, options, countries))
-    moves = surv.filter(~F.col("keep")).select(F.col("id").alias("loser_id"), "survivor_id")
+    Returns the new version of each of the five tables. ``moves`` may be a
+    precomputed (e.g. checkpointed) :func:`region_moves` result."""
+    if moves is None:
+        moves = region_moves(regions, options, countries)
 
     def remap(df):
         j = df.join(moves, df.region_id == moves.loser_id, "left")

@@ -96,3 +96,19 @@ def test_ensure_store_on_empty_table(spark):
     assert rows(out["store_currencies"]) == [("store_01", "usd")]
     out = m.ensure_store(c.stores, c.store_currencies, NOW)
     assert out["store"].count() == c.stores.count()
+
+
+def test_dedupe_job_publishes_all_versions(spark):
+    from cartwheel.plans import jobs
+    from cartwheel.session import scratch_path
+    c = Commerce(spark, "/root/testdata/sf0.01")
+    root = scratch_path(spark, "t-publish")
+    jobs.run_dedupe_regions(spark, c.regions, c.shipping_options, c.countries, c.region_fulfillment_providers,
+                            c.region_payment_providers, root, "1")
+    got = jobs.read_published(spark, root, "1")
+    want = m.dedupe_regions(c.regions, c.shipping_options, c.countries, c.region_fulfillment_providers,
+                            c.region_payment_providers)
+    assert set(got) == set(want)
+    for name in got:
+        assert rows(got[name]) == rows(want[name])
+    assert got["region"].count() == 5
