@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions.cols import js_round, lit_like
-from cartwheel.operators.sales import DEFAULT_EXCLUDED, TOP_K, orders_in_period
+from cartwheel.operators.sales import DEFAULT_EXCLUDED, TOP_K, desc_key, orders_in_period
 
 
 def customer_acquisition(customers: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
@@ -22,7 +22,7 @@ def customer_acquisition(customers: DataFrame, start: dt.datetime, end: dt.datet
 
 
 def top_customers(customers: DataFrame, orders: DataFrame, start: dt.datetime, end: dt.datetime,
-                  excluded=DEFAULT_EXCLUDED, k: int = TOP_K) -> DataFrame:
+                  excluded=DEFAULT_EXCLUDED, k: int = TOP_K, sort_key: bool = False) -> DataFrame:
     """Per customer order count, spend, average and last order date over
     in-period orders; top ``k`` by spend (NULL first), customer id breaks ties.
 
@@ -47,4 +47,5 @@ def top_customers(customers: DataFrame, orders: DataFrame, start: dt.datetime, e
                     F.col("order_count").cast("bigint").alias("order_count"),
                     js_round(F.coalesce(F.col("total_spent").cast("double"), F.lit(0.0))).alias("total_spent"),
                     js_round(F.coalesce(F.col("avg_total"), F.lit(0.0))).alias("average_order_value"),
-                    "last_order_date"))
+                    "last_order_date",
+                    *([desc_key("total_spent", "id").alias("__key")] if sort_key else [])))

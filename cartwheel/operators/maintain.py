@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.functions.cols import empty_string_map, falsy, js_or
+from cartwheel.functions.cols import empty_string_map, falsy, js_or, one_row_join
 
 # Fixed values of the reference: the currencies it ensures exist
 # (code, symbol, symbol_native, name).
@@ -317,9 +317,9 @@ def ensure_store(stores: DataFrame, store_currencies: DataFrame, now: dt.datetim
          else F.lit(STORE_LINK_TEMPLATES[2]) if f.name == "invite_link_template"
          else _ts(now) if f.name in ("created_at", "updated_at")
          else F.lit(None)).cast(f.dataType).alias(f.name) for f in stores.schema.fields])
-    # The default row survives only if no store exists (anti-join on a constant key).
-    any_store = stores.select(F.lit(1).alias("__k")).limit(1)
-    inserted = default.withColumn("__k", F.lit(1)).join(any_store, "__k", "left_anti").drop("__k")
+    # The default row survives only if the table is empty (a one-row count).
+    n = stores.agg(F.count(F.lit(1)).alias("__n"))
+    inserted = one_row_join(default, n).filter(F.col("__n") == 0).select(*stores.columns)
     new_stores = updated.unionByName(inserted)
     target = new_stores.agg(F.min("id").alias("store_id")).select(
         "store_id", F.lit(DEFAULT_STORE_CURRENCY).alias("currency_code"))

@@ -58,10 +58,11 @@ def daily_sales(orders_p: DataFrame) -> DataFrame:
 
 
 def top_products(line_items: DataFrame, variants: DataFrame, products: DataFrame,
-                 orders_p: DataFrame, k: int = TOP_K) -> DataFrame:
+                 orders_p: DataFrame, k: int = TOP_K, sort_key: bool = False) -> DataFrame:
     """A2: units and revenue per product over in-period orders, top ``k`` by
     revenue (NULL revenue first, as the database sorts DESC), product id as
-    tie-breaker.
+    tie-breaker. ``sort_key`` adds ``__key``, a struct whose ascending order
+    is the report order (for sorting a collected list without a window).
 
     Plan: semi-join line items to in-period orders, aggregate per variant
     (partial aggregation map-side), then join the much smaller result to
@@ -81,7 +82,13 @@ def top_products(line_items: DataFrame, variants: DataFrame, products: DataFrame
             .limit(k)
             .select("product_id", "title", "handle",
                     F.coalesce(F.col("units_sold"), F.lit(0)).cast("bigint").alias("units_sold"),
-                    js_round(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))).alias("revenue")))
+                    js_round(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))).alias("revenue"),
+                    *([desc_key("revenue", "product_id").alias("__key")] if sort_key else [])))
+
+
+def desc_key(metric: str, tie: str):
+    """Struct whose ascending order is ``metric DESC NULLS FIRST, tie ASC``."""
+    return F.struct(F.col(metric).isNotNull().alias("a"), (-F.col(metric)).alias("b"), F.col(tie).alias("c"))
 
 
 def customer_metrics(orders: DataFrame, start: dt.datetime, end: dt.datetime,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions.cols import one_row_join
@@ -20,16 +20,12 @@ from cartwheel.operators import customers as cu
 from cartwheel.operators import sales as sa
 
 
-def _ranked(df: DataFrame, order) -> DataFrame:
-    """Rank a small (top-k) frame so its list keeps the report order."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
 def _list(df: DataFrame, name: str, sort_field: str, fields: list[str]) -> DataFrame:
-    """Collect a small frame into one sorted array column (empty list, not
-    NULL, when the frame is empty)."""
-    agg = df.agg(F.array_sort(F.collect_list(F.struct(sort_field, *fields))).alias(name))
-    return agg
+    """Collect a small (bounded: top-k or one row per day) frame into one
+    array column sorted by ``sort_field``, which is then dropped from the
+    elements (empty list, not NULL, when the frame is empty)."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(sort_field).alias("__s"), *fields)))
+    return df.agg(F.transform(items, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
 
 def _header(spark, period: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
@@ -50,10 +46,9 @@ def sales_report(orders: DataFrame, line_items: DataFrame, variants: DataFrame,
     summary = sa.sales_summary(orders_p, metrics)
     summary = summary.select(F.struct(*summary.columns).alias("summary"))
     daily = _list(sa.daily_sales(orders_p), "daily_stats", "date",
-                  ["revenue", "orders", "average_order_value"])
-    top = _ranked(sa.top_products(line_items, variants, products, orders_p),
-                  [F.col("revenue").desc_nulls_first(), F.col("product_id").asc_nulls_last()])
-    top = _list(top, "top_products", "rank", ["product_id", "title", "handle", "units_sold", "revenue"])
+                  ["date", "revenue", "orders", "average_order_value"])
+    top = sa.top_products(line_items, variants, products, orders_p, sort_key=True)
+    top = _list(top, "top_products", "__key", ["product_id", "title", "handle", "units_sold", "revenue"])
     return one_row_join(_header(orders.sparkSession, period, start, end), summary, daily, top)
 
 
@@ -62,10 +57,9 @@ def customer_report(customers: DataFrame, orders: DataFrame, period: str, as_of:
     """A10: {period, start, end, customer_acquisition[], top_customers[]}."""
     start, end = resolve_period(period, as_of)
     acq = _list(cu.customer_acquisition(customers, start, end), "customer_acquisition", "date",
-                ["new_customers"])
-    top = _ranked(cu.top_customers(customers, orders, start, end, excluded),
-                  [F.col("total_spent").desc_nulls_first(), F.col("customer_id").asc_nulls_last()])
-    top = _list(top, "top_customers", "rank",
+                ["date", "new_customers"])
+    top = cu.top_customers(customers, orders, start, end, excluded, sort_key=True)
+    top = _list(top, "top_customers", "__key",
                 ["customer_id", "email", "name", "order_count", "total_spent",
                  "average_order_value", "last_order_date"])
     return one_row_join(_header(orders.sparkSession, period, start, end), acq, top)
