@@ -69,7 +69,7 @@ def product_tables(products: DataFrame) -> dict[str, DataFrame]:
                               "collection_id", "is_giftcard", "type", "tags").dropDuplicates(["id"])
     v = products.select(F.col("id").alias("product_id"), F.posexplode("variants").alias("rank", "v"))
     variant = v.select(F.col("v.id").alias("id"), "product_id", "rank", "v.title", "v.sku",
-                       "v.inventory_quantity", "v.manage_inventory", "v.allow_backorder")
+                       "v.inventory_quantity", "v.manage_inventory", "v.allow_backorder").dropDuplicates(["id"])
     price = v.select(F.col("v.id").alias("variant_id"), F.explode("v.prices").alias("p")).select(
         "variant_id", "p.currency_code", "p.amount")
     option_value = v.select(F.col("v.id").alias("variant_id"), F.explode("v.options").alias("o")).select(
@@ -114,21 +114,24 @@ def read_product_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def product_documents(products: DataFrame, variants: DataFrame, prices: DataFrame,
-                      max_variants_per_doc: int = 1000) -> DataFrame:
+                      max_variants_per_doc: int = 1000, max_prices_per_variant: int = 1000) -> DataFrame:
     """The inverse: JSON product documents with their variants and prices
     nested (the seed's product shape). A product with more than
     ``max_variants_per_doc`` variants is written as several documents (same
     product fields, a share of the variants each), so no group collects an
-    unbounded list; :func:`product_tables` de-duplicates the product rows."""
-    pv = prices.groupBy("variant_id").agg(
-        F.sort_array(F.collect_list(F.struct("currency_code", "amount"))).alias("prices"))
+    unbounded list; a variant with more than ``max_prices_per_variant``
+    prices likewise appears once per share of its prices.
+    :func:`product_tables` de-duplicates product and variant rows."""
+    pp = bounded_parts(prices, ["variant_id"], ["variant_id", "currency_code", "amount"], max_prices_per_variant)
+    pv = pp.groupBy("variant_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct("currency_code", "amount"))).alias("prices")).drop("part")
     v = variants.join(pv, variants.id == pv.variant_id, "left").select(
         "product_id", F.struct(F.col("id").cast("string").alias("id"), "title", "sku", "inventory_quantity",
                                "manage_inventory", F.lit(False).alias("allow_backorder"),
                                F.array().cast(VARIANT["options"].dataType).alias("options"),
                                F.coalesce("prices", F.array().cast(T.ArrayType(PRICE))).alias("prices"))
         .alias("v"))
-    v = bounded_parts(v, ["product_id"], ["product_id", "v.id"], max_variants_per_doc)
+    v = bounded_parts(v, ["product_id"], ["product_id", "v"], max_variants_per_doc)
     per_product = v.groupBy("product_id", "part").agg(F.sort_array(F.collect_list("v")).alias("variants"))
     p = products.join(per_product, products.id == per_product.product_id, "left")
     doc = F.struct(F.col("id").cast("string").alias("id"), "title", F.lit(None).cast("string").alias("subtitle"),
