@@ -45,9 +45,7 @@ def report_sink(spark, sf_dir):
 @register("table_writeback", q_maintain.oracle_for("dedupe_regions"))
 def table_writeback(spark, sf_dir):
     """The deduplicated region table written as a new version and read back."""
-    c = commerce(spark, sf_dir)
-    out = m.dedupe_regions(c.regions, c.shipping_options, c.countries, c.region_fulfillment_providers,
-                           c.region_payment_providers)
+    out = q_maintain._dedupe(spark, sf_dir)
     path = m.write_version(out["region"], scratch_path(spark, "region-version"))
     return spark.read.parquet(path).select("id", "name", "currency_code")
 

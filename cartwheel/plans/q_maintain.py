@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from cartwheel.operators import maintain as m
 from cartwheel.plans.registry import commerce, register, with_views
+from cartwheel.session import checkpoint_dir
 
 NOW = dt.datetime(2024, 6, 1)
 NOW_SQL = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -114,10 +115,18 @@ def region_survivor(spark, sf_dir):
     SELECT id, name, currency_code FROM co_region
     WHERE id NOT IN (SELECT id FROM surv WHERE NOT keep)"""))
 def dedupe_regions(spark, sf_dir):
+    return _dedupe(spark, sf_dir)["region"].select("id", "name", "currency_code")
+
+
+def _dedupe(spark, sf_dir):
+    """M10 outputs with the loser -> survivor mapping computed once and
+    checkpointed (reliable checkpoint under spark.checkpoint.dir), so the
+    five output tables do not each recompute the survivor ranking."""
     c = commerce(spark, sf_dir)
-    out = m.dedupe_regions(c.regions, c.shipping_options, c.countries, c.region_fulfillment_providers,
-                           c.region_payment_providers)
-    return out["region"].select("id", "name", "currency_code")
+    checkpoint_dir(spark)
+    moves = m.region_moves(c.regions, c.shipping_options, c.countries).checkpoint(eager=True)
+    return m.dedupe_regions(c.regions, c.shipping_options, c.countries, c.region_fulfillment_providers,
+                            c.region_payment_providers, moves=moves)
 
 
 @register("dedupe_region_children", _with_surv("""
@@ -134,9 +143,7 @@ def dedupe_regions(spark, sf_dir):
     SELECT 'region_payment_providers', provider_id, region_id FROM co_rpp
     WHERE region_id NOT IN (SELECT id FROM surv WHERE NOT keep)""", "co_rfp", "co_rpp"))
 def dedupe_region_children(spark, sf_dir):
-    c = commerce(spark, sf_dir)
-    out = m.dedupe_regions(c.regions, c.shipping_options, c.countries, c.region_fulfillment_providers,
-                           c.region_payment_providers)
+    out = _dedupe(spark, sf_dir)
     return (out["shipping_option"].select(F.lit("shipping_option").alias("table_name"),
                                           F.col("id").alias("key"), "region_id")
             .unionByName(out["country"].select(F.lit("country").alias("table_name"),
