@@ -199,9 +199,13 @@ def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
     order has exactly one row with all its items, as in the reference.
     """
     li = line_items.join(catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id", "left")
-    totals = li.groupBy(F.col("order_id").alias("id")).agg(
-        F.sum("tax_total").alias("tax_total"), F.sum(F.col("quantity").cast("bigint")).alias("units"))
-    li = bounded_parts(li, ["order_id"], ["order_id", "line_number", "variant_id"], max_items_per_part)
+    # One partial aggregate per order gives the totals and the list sizes.
+    sizes = li.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("tax_total").alias("tax_total"),
+        F.sum(F.col("quantity").cast("bigint")).alias("units"))
+    li = bounded_parts(li, ["order_id"], ["order_id", "line_number", "variant_id"], max_items_per_part,
+                       sizes=sizes.select("order_id", "__n"))
+    totals = sizes.select(F.col("order_id").alias("id"), "tax_total", "units")
     # Struct order = list order: line number first, the rest breaks ties.
     item = F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
                     F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))

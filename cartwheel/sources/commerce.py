@@ -26,6 +26,7 @@ Mapping rules (fixed values of this repo, not of the reference):
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,26 @@ EXCLUDED_STATUS = ("F",)
 TEST_THRESHOLDS = (("red", 20), ("blue", 15))
 
 
+_SCHEMAS: dict[tuple, T.StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` that infers a path's schema once per process
+    (keyed by path and, for local files, modification time) and passes it
+    explicitly afterwards."""
+    try:
+        stamp = os.path.getmtime(path)
+    except OSError:
+        stamp = None
+    key = (path, stamp)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
 def _ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -64,9 +85,14 @@ class Commerce:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One read per table and instance; the schema inferred for a path is
+        reused by later reads in this process (skips the footer read)."""
+        if name not in self._raw:
+            self._raw[name] = read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # ----------------------------------------------------------------- sales
     @cached_property
