@@ -40,9 +40,6 @@ IMAGE_VARIANTS = (
     ("productZoom", "w=1500,h=2000,fit=cover"),
 )
 
-PROVIDER = T.StructType([T.StructField("provider_id", T.StringType())])
-
-
 def _provider_list(links: DataFrame, name: str) -> DataFrame:
     """region_id -> sorted distinct [{provider_id}] (NULL ids filtered out)."""
     return (links.filter(F.col("provider_id").isNotNull())

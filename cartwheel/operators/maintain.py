@@ -18,7 +18,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cartwheel.functions.cols import empty_string_map, falsy, js_or, one_row_join
 
@@ -400,5 +399,3 @@ def bulk_delete(products: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     return {"product": products.join(ids.select("id").distinct(), "id", "left_anti"),
             "report": bulk_update_report(products, ids)}
 
-
-STRING_LIST = T.ArrayType(T.StringType())

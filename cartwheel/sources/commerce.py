@@ -36,9 +36,6 @@ from pyspark.sql import types as T
 from cartwheel.functions.cols import cents
 from cartwheel.session import configure
 
-RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
-              "lineitem", "events")
-
 # Statuses that do not count as sales. The reference excludes
 # ('canceled', 'draft'); in the TPC-H mapping 'F' stands for both.
 EXCLUDED_STATUS = ("F",)
