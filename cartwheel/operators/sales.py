@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions.cols import js_round, lit_like, one_row_join
+from cartwheel.sources.layout import MONTH_COL
 
 # Order statuses that are not sales (reference vocabulary).
 DEFAULT_EXCLUDED = ("canceled", "draft")
@@ -26,11 +27,17 @@ def orders_in_period(orders: DataFrame, start: dt.datetime, end: dt.datetime,
     SQL's ``NOT IN`` does. Plain column-vs-literal predicates, so the range
     reaches the parquet scan as pushed filters."""
     ts = F.col("created_at")
-    return orders.filter(
+    out = orders.filter(
         (ts >= lit_like(start, orders, "created_at"))
         & (ts <= lit_like(end, orders, "created_at"))
         & ~F.col("status").isin(*excluded)
     )
+    if MONTH_COL in orders.columns:
+        # Month-partitioned layout: also prune whole partition folders.
+        month = F.col(MONTH_COL)
+        out = out.filter((month >= F.lit(start.date().replace(day=1)))
+                         & (month <= F.lit(end.date().replace(day=1))))
+    return out
 
 
 def daily_stats(orders_p: DataFrame) -> DataFrame:
@@ -105,9 +112,11 @@ def customer_metrics(orders: DataFrame, start: dt.datetime, end: dt.datetime,
     """
     in_period = orders_in_period(orders, start, end, excluded).filter(F.col("customer_id").isNotNull())
     per_customer = in_period.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
-    prior = (orders.filter((F.col("created_at") < lit_like(start, orders, "created_at"))
+    before = orders.filter((F.col("created_at") < lit_like(start, orders, "created_at"))
                            & F.col("customer_id").isNotNull())
-             .groupBy("customer_id").agg(F.lit(True).alias("returning")))
+    if MONTH_COL in orders.columns:
+        before = before.filter(F.col(MONTH_COL) <= F.lit(start.date().replace(day=1)))
+    prior = before.groupBy("customer_id").agg(F.lit(True).alias("returning"))
     joined = per_customer.join(prior, "customer_id", "left")
     return joined.agg(
         F.count(F.lit(1)).alias("unique_customers"),

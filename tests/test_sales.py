@@ -74,3 +74,24 @@ def test_top_customers(spark):
     assert [r.customer_id for r in top] == [10, 14, 13]
     assert top[0].name == "Ann" and top[2].name == "Lee" and top[1].name == ""
     assert top[2].average_order_value == 4   # (3+4)/2 = 3.5 -> 4
+
+
+def test_month_partitioned_orders_prune_partitions(spark):
+    import contextlib
+    import io
+
+    from cartwheel.session import scratch_path
+    from cartwheel.sources.commerce import Commerce
+    from cartwheel.sources.layout import read_by_month, write_by_month
+    c = Commerce(spark, "/root/testdata/sf0.01")
+    path = write_by_month(c.orders, scratch_path(spark, "t-orders-by-month"))
+    parted = read_by_month(spark, path)
+    start, end = dt.datetime(2000, 8, 1), dt.datetime(2001, 8, 1)
+    a = sa.daily_sales(sa.orders_in_period(parted, start, end, c.excluded_status))
+    b = sa.daily_sales(sa.orders_in_period(c.orders, start, end, c.excluded_status))
+    assert a.collect() == b.collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        a.explain("formatted")
+    pf = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PartitionFilters")][0]
+    assert "created_month" in pf
