@@ -55,7 +55,7 @@ def conversion_outbox(spark, sf_dir):
     """Both outbox streams run to completion (available-now trigger) over the
     events file; the outbox rows are read back."""
     c = commerce(spark, sf_dir)
-    catalog = pl.variant_catalog(c.variants, c.products, c.prices)
+    catalog = outbox.snapshot_catalog(spark, pl.variant_catalog(c.variants, c.products, c.prices))
     box, ckpt = scratch_path(spark, "outbox"), scratch_path(spark, "outbox-ckpt")
     for sink in outbox.SINKS:
         # A file stream source watches a folder or glob; the test data is one file.

@@ -43,12 +43,28 @@ def _writer(path: str):
     return write
 
 
+def snapshot_catalog(spark: SparkSession, catalog: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the variant catalogue once (a new folder under the shared
+    checkpoint directory unless ``path`` is given) and return the written
+    table. Micro-batches then probe a plain parquet table instead of
+    re-running the catalogue's joins and aggregate every trigger; the
+    snapshot also cuts the lineage. Re-snapshot to pick up catalogue
+    changes (the reference looks variants up at handling time)."""
+    from cartwheel.session import scratch_path
+    path = path or scratch_path(spark, "catalog-snapshot")
+    catalog.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def start_outbox(spark: SparkSession, events_path: str, catalog: DataFrame, outbox: str, checkpoint: str,
-                 sink: str, available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start one outbox stream over raw ``events`` files."""
+                 sink: str, available_now: bool = True, max_files_per_trigger: int | None = None,
+                 salt_buckets: int = 1) -> StreamingQuery:
+    """Start one outbox stream over raw ``events`` files. ``catalog`` is the
+    static side (ideally a :func:`snapshot_catalog` table); ``salt_buckets``
+    spreads hot variants over several tasks per micro-batch."""
     raw = ev.read_events_stream(spark, events_path, max_files_per_trigger)
     actions = pl.cart_delta(ev.cart_events(raw))
-    enriched = pl.cart_enriched(actions, catalog)
+    enriched = pl.cart_enriched(actions, catalog, salt_buckets)
     out = payload_frame(enriched, sink)
     w = out.writeStream.foreachBatch(_writer(os.path.join(outbox, sink))).option(
         "checkpointLocation", os.path.join(checkpoint, sink)).queryName(f"outbox_{sink}")

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_outbox_stream_equals_batch(spark):
     c = Commerce(spark, SF)
-    catalog = pl.variant_catalog(c.variants, c.products, c.prices)
+    catalog = outbox.snapshot_catalog(spark, pl.variant_catalog(c.variants, c.products, c.prices))
     box, ckpt = scratch_path(spark, "t-outbox"), scratch_path(spark, "t-ckpt")
     for sink in outbox.SINKS:
         outbox.start_outbox(spark, f"{SF}/events.parquet*", catalog, box, ckpt, sink).awaitTermination()
@@ -50,3 +50,15 @@ def test_lifecycle_log_stream(spark):
     want = ev.order_events(Commerce(spark, SF).raw("orders")).groupBy("event_name").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert F
+
+
+def test_salted_outbox_equals_plain(spark):
+    c = Commerce(spark, SF)
+    catalog = outbox.snapshot_catalog(spark, pl.variant_catalog(c.variants, c.products, c.prices))
+    box, ckpt = scratch_path(spark, "t-outbox-salt"), scratch_path(spark, "t-ckpt-salt")
+    outbox.start_outbox(spark, f"{SF}/events.parquet*", catalog, box, ckpt, "measurement",
+                        salt_buckets=4).awaitTermination()
+    enriched = pl.cart_enriched(pl.cart_delta(ev.cart_events(c.raw("events"))), catalog)
+    streamed = outbox.read_outbox(spark, box, "measurement").drop("batch_id")
+    assert streamed.exceptAll(outbox.payload_frame(enriched, "measurement")).count() == 0
+    assert streamed.count() == outbox.payload_frame(enriched, "measurement").count()
