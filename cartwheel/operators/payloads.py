@@ -200,7 +200,10 @@ def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
     """
     li = line_items.join(catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id", "left")
     # One partial aggregate per order gives the totals and the list sizes.
-    sizes = li.groupBy("order_id").agg(
+    # It reads the line items directly: the catalogue join keeps every line
+    # once (one catalogue row per variant), and this way the wide
+    # line-item x catalogue join is shuffled once, for the item lists only.
+    sizes = line_items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("__n"), F.sum("tax_total").alias("tax_total"),
         F.sum(F.col("quantity").cast("bigint")).alias("units"))
     li = bounded_parts(li, ["order_id"], ["order_id", "line_number", "variant_id"], max_items_per_part,
@@ -213,8 +216,11 @@ def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
         F.sort_array(F.collect_list(item)).alias("items"))
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")
-    o = (orders.join(totals, "id", "left").join(items, "id", "left").join(c, "customer_id", "left")
-         .join(addresses, "nation_id", "left"))
+    # Customer and address first, per-order totals and items last: the
+    # result stays hash-partitioned by order id, so joining it to order
+    # events shuffles only the (narrow) event side, not the item lists.
+    o = (orders.join(c, "customer_id", "left").join(addresses, "nation_id", "left")
+         .join(totals, "id", "left").join(items, "id", "left"))
     return (o.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("parts", F.coalesce("parts", F.lit(1)))
             .withColumn("shipping_total", F.lit(None).cast("bigint")))
 
