@@ -82,3 +82,15 @@ def test_image_variant_urls(spark):
     assert rows["original"] == "https://img.example/x/abc/public"
     assert rows["productZoom"] == "https://img.example/x/abc/w=1500,h=2000,fit=cover"
     assert len(rows) == 8
+
+
+def test_region_filter_and_first_store(spark):
+    from cartwheel.sources.commerce import Commerce
+    c = Commerce(spark, "/root/testdata/sf0.01")
+    all_live = d.region_shipping_options(c.shipping_options)
+    one = d.region_shipping_options(c.shipping_options, region_id="reg_3")
+    assert one.count() == all_live.filter("region_id = 'reg_3'").count() > 0
+    opts = d.shipping_option_directory(c.shipping_options, c.regions, c.shipping_profiles, region_id="reg_3")
+    assert {r.region_id for r in opts.collect()} == {"reg_3"}
+    first = d.first_store(d.store_directory(c.stores, c.currencies, c.store_currencies)).collect()
+    assert len(first) == 1 and first[0].id == "store_0"
