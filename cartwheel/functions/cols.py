@@ -117,12 +117,14 @@ def bounded_parts(df: DataFrame, group_cols: list[str], key_cols: list[str], max
     The group sizes come from a partial (map-side) aggregate; parts are
     chosen by a hash of ``key_cols``, so they are deterministic on retry.
     Groups below the bound get exactly one part (part 0). ``sizes`` (group
-    columns + ``__n``) can be passed when the caller already counted.
+    columns + ``__n``) can be passed when the caller already counted; any
+    other columns of ``sizes`` are carried onto the rows.
     """
     if sizes is None:
         sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
+    extra = [c for c in sizes.columns if c not in group_cols and c != "__n"]   # carried along
     sizes = sizes.select(*group_cols, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_per_part)))
-                         .cast("int").alias("parts"))
+                         .cast("int").alias("parts"), *extra)
     j = df.join(sizes, group_cols)
     return j.withColumn("part", F.when(F.col("parts") == 1, F.lit(0))
                         .otherwise(F.pmod(F.xxhash64(*key_cols), F.col("parts").cast("long")).cast("int")))

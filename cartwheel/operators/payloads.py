@@ -199,28 +199,30 @@ def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
     order has exactly one row with all its items, as in the reference.
     """
     li = line_items.join(catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id", "left")
-    # One partial aggregate per order gives the totals and the list sizes.
-    # It reads the line items directly: the catalogue join keeps every line
-    # once (one catalogue row per variant), and this way the wide
-    # line-item x catalogue join is shuffled once, for the item lists only.
+    # One partial aggregate per order gives the list sizes and the order
+    # totals. It reads the line items directly: the catalogue join keeps
+    # every line once (one catalogue row per variant), so the wide line-item
+    # x catalogue join is shuffled once, for the item lists only. The totals
+    # ride along the part assignment into the item grouping, so the
+    # aggregate is computed once and no separate totals join is needed.
     sizes = line_items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("tax_total").alias("tax_total"),
-        F.sum(F.col("quantity").cast("bigint")).alias("units"))
+        F.count(F.lit(1)).alias("__n"), F.sum("tax_total").alias("__order_tax"),
+        F.sum(F.col("quantity").cast("bigint")).alias("__order_units"))
     li = bounded_parts(li, ["order_id"], ["order_id", "line_number", "variant_id"], max_items_per_part,
-                       sizes=sizes.select("order_id", "__n"))
-    totals = sizes.select(F.col("order_id").alias("id"), "tax_total", "units")
+                       sizes=sizes)
     # Struct order = list order: line number first, the rest breaks ties.
     item = F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
                     F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
     items = li.groupBy(F.col("order_id").alias("id"), "part", "parts").agg(
-        F.sort_array(F.collect_list(item)).alias("items"))
+        F.sort_array(F.collect_list(item)).alias("items"),
+        F.first("__order_tax").alias("tax_total"), F.first("__order_units").alias("units"))
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")
     # Customer and address first, per-order totals and items last: the
     # result stays hash-partitioned by order id, so joining it to order
     # events shuffles only the (narrow) event side, not the item lists.
     o = (orders.join(c, "customer_id", "left").join(addresses, "nation_id", "left")
-         .join(totals, "id", "left").join(items, "id", "left"))
+         .join(items, "id", "left"))
     return (o.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("parts", F.coalesce("parts", F.lit(1)))
             .withColumn("shipping_total", F.lit(None).cast("bigint")))
 
