@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwheel.llm import (
-    langid, mixing, packing, quality_rules, token_counts, url_lists,
+    langid, minhash_dedup, mixing, packing, quality_rules, token_counts, toxicity, url_lists,
 )
 from cartwheel.llm.common import id_bucket, table
 
@@ -102,6 +102,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+# --- 3: near-duplicates -----------------------------------------------------
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# --- 5: toxicity ------------------------------------------------------------
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_bucket(F.col("doc_id"), 4) != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 # --- 7: quality rules -------------------------------------------------------
 
 
@@ -179,6 +196,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "op1_url_lists": op1_url_lists,
     "op2_token_counts": op2_token_counts,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
