@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwheel.llm import (
-    langid, minhash_dedup, mixing, packing, quality_rules, token_counts, toxicity, url_lists,
+    langid, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_lists,
 )
 from cartwheel.llm.common import id_bucket, table
 
@@ -109,6 +109,13 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# --- 4: repeated substrings -------------------------------------------------
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 # --- 5: toxicity ------------------------------------------------------------
 
 
@@ -197,6 +204,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_url_lists": op1_url_lists,
     "op2_token_counts": op2_token_counts,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
