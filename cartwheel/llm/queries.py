@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwheel.llm import (
-    langid, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_lists,
+    embedding_dedup, langid, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_lists,
 )
 from cartwheel.llm.common import id_bucket, table
 
@@ -126,6 +126,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+# --- 6: embeddings ----------------------------------------------------------
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 # --- 7: quality rules -------------------------------------------------------
 
 
@@ -206,6 +213,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
