@@ -294,3 +294,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     return linked.select(*columns).unionByName(alone.select(*columns)).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(
         "doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest
+    id; of repeated rows with equal id and text one stays. Documents without
+    words stay. The dropped ids, not the texts, are what is joined."""
+    found = written(near_duplicates(docs, **params), "minhash-verdict")
+    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    again = found.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(
+        F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = written(again, "minhash-repeated")
+    n_again = again.count()
+    # an id is dropped with all its rows unless one of them is the kept one
+    gone = dropped.join(found.where("kept").select("doc_id"), "doc_id", "left_anti")
+    gone = written(gone, "minhash-dropped")
+    rest = docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti")
+    repeated = bounded_broadcast(again, n_again)
+    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(repeated, "doc_id", "left_anti").unionByName(once)
