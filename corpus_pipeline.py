@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cartwheel.llm import langid, mixing, packing
+from cartwheel.llm import langid, minhash_dedup, mixing, packing, suffix_dedup
 from cartwheel.llm.common import table, written
 
 
@@ -19,6 +19,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, langid.train(docs, F.lit(True)))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near-duplicates the smallest id stays."""
+    return minhash_dedup.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: passages of 200 bytes that occur elsewhere are cut out; the
+    documents stay, with what is left of their text."""
+    return suffix_dedup.cleaned(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each document as often as its source's target asks."""
     return mixing.repeated(docs)
@@ -31,6 +42,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
