@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cartwheel.llm.common import ranked
+from cartwheel.llm.common import ranked, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -202,4 +202,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY,
                      ranks: str = RANKS) -> DataFrame:
-    return pack(token_pieces(docs, capacity, end_id, vocabulary, ranks), capacity)
+    # Written first: a range sort reads its input twice, once to find borders.
+    return pack(written(token_pieces(docs, capacity, end_id, vocabulary, ranks), "packing-pieces"), capacity)
