@@ -197,10 +197,10 @@ def shared_zones(docs: DataFrame, shared: BitFilter, length: int, seed_length: i
 RANK_SCHEMA = "h long, c long, w long, blk int, d1 int, d2 int, core long, cover long"
 
 
-def block_ranks(contents: DataFrame, block: int, length: int) -> DataFrame:
+def block_ranks(contents: DataFrame, block: int, parent: int, length: int) -> DataFrame:
     """Ranks of the blocks of ``block`` offsets of zone contents.
 
-    ``contents``: h, c, n, a, w, ctx and todo, the next wider blocks
+    ``contents``: h, c, n, a, w, ctx and todo, the blocks of ``parent`` offsets
     to split (null: all offsets).
     """
 
@@ -235,17 +235,17 @@ def block_ranks(contents: DataFrame, block: int, length: int) -> DataFrame:
                      pa.array(d2.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))],
                     names=["h", "c", "w", "blk", "d1", "d2", "core", "cover"])
 
-    wider = [b for b in BLOCKS if b > block]
-    parent = wider[-1] if wider else block
     return contents.select("h", "c", "n", "a", "w", "ctx", "todo").mapInArrow(rank, RANK_SCHEMA)
 
 
-def repeated_offsets(contents: DataFrame, length: int) -> DataFrame:
+def repeated_offsets(contents: DataFrame, length: int, seed_length: int) -> DataFrame:
     """(h, c, d1, d2): offsets d1..d2 before the anchor at which windows of a
     zone content seen once (w = 1) repeat in other contents of its anchor."""
     found, todo = None, contents.withColumn("todo", F.lit(None).cast("array<int>"))
-    for block in BLOCKS:
-        ranks = written(block_ranks(todo, block, length), f"repeats-rank{block}")
+    # a block wider than all offsets of an anchor has no string in common
+    blocks = [b for b in BLOCKS if b <= length - seed_length + 1]
+    for parent, block in zip([blocks[0], *blocks], blocks):
+        ranks = written(block_ranks(todo, block, parent, length), f"repeats-rank{block}")
         covers = ranks.groupBy("h", "core", "cover").agg(F.sum("w").alias("w"))
         dup = ranks.where("w = 1").join(covers.where("w > 1").select("h", "core", "cover"), ["h", "core", "cover"], "left_semi").select("h", "c", "d1", "d2")
         found = dup if found is None else found.unionByName(dup)
@@ -267,7 +267,7 @@ def repeated_spans(docs: DataFrame, length: int, seed_length: int) -> DataFrame:
     split = written(split, "repeats-split")
     bytes_of = held.join(bounded_broadcast(split, split.count()), "h", "left_semi").groupBy("h", "c").agg(
         F.count("*").alias("w"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("ctx").alias("ctx"))
-    some = repeated_offsets(written(bytes_of, "repeats-bytes"), length)
+    some = repeated_offsets(written(bytes_of, "repeats-bytes"), length, seed_length)
     whole = places.join(contents.where("w > 1").select("h", "c"), ["h", "c"], "left_semi").select(
         "k1", "k2", F.col("p0").alias("start"), (F.col("p0") + F.col("n") - 1 + length).alias("end"))
     parts = places.join(some, ["h", "c"]).select(
