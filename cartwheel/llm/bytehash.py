@@ -14,7 +14,7 @@ import pyarrow as pa
 
 #: Bytes handled at once. It bounds the memory of a Python worker (about 100
 #: bytes of numpy arrays per byte); it changes no result.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -18,6 +18,10 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of a batch in a Python worker, whose memory an executor must hold.
+ARROW_ROWS = 2000
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers of this machine import the package from where the
     driver did; on a cluster it is installed or given with ``--py-files``."""
@@ -27,8 +31,16 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most ARROW_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: a
     lineage cut that survives lost executors and whose columns are pruned."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

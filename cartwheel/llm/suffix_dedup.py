@@ -24,7 +24,7 @@ are aggregates with map-side combine, so a passage shared by a third of all
 documents is one row a task; names are joined with the few that matter in
 joins AQE splits. Shared names reach the scanning tasks as a bit filter whose
 size is bounded (``MAX_FILTER_BITS``); its false positives cost work, never
-results. Text is read three times and shuffled only where spans were found.
+results. Text is scanned four times, and shuffled only where spans were found.
 
 Defined results: null text is empty; texts shorter than ``length`` lose
 nothing; repeated rows and equal ids are documents of their own, whose equal
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cartwheel.llm.bytehash import BLOCK_BYTES, mix, prefix_sums, span_hashes, text_buffers, text_groups
-from cartwheel.llm.common import bounded_broadcast, written
+from cartwheel.llm.common import written
 
 LENGTH = 200
 SEED_LENGTH = 64
@@ -155,43 +155,78 @@ def anchor_counts(docs: DataFrame, length: int, seed_length: int) -> DataFrame:
     return docs.select("text").mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-ZONE_SCHEMA = "k1 long, k2 long, p0 long, n int, h long, a int, c long, ctx binary"
+def content_names(sums: np.ndarray, p0: np.ndarray, n: np.ndarray, a: np.ndarray, length: int) -> np.ndarray:
+    """Names of whole zones: their bytes, windows and anchor offset."""
+    c = span_hashes(sums, p0, p0 + n - 1 + length)
+    return mix(c * _FOLD + n.astype(np.uint64) * np.uint64(1 << 20) + a.astype(np.uint64))
 
 
 def shared_zones(docs: DataFrame, shared: BitFilter, length: int, seed_length: int) -> DataFrame:
-    """Zones whose anchor may be shared, with their bytes and the name c of those."""
+    """Zones whose anchor may be shared: place p0, windows n, anchor h at
+    offset a, and the name c of the content."""
     filt = docs.sparkSession.sparkContext.broadcast(shared)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            columns, size = [], 0
-            for row, at, piece, sums, (value, p0, n, place) in scan(batch.column(2), length, seed_length):
+            rows, size = [], 0
+            for row, at, _, sums, (value, p0, n, place) in scan(batch.column(2), length, seed_length):
+                hit = np.flatnonzero(filt.value(value))
+                if len(hit):
+                    value, p0, n, a = value[hit], p0[hit], n[hit], place[hit] - p0[hit]
+                    c = content_names(sums, p0, n, a, length)
+                    rows.append((np.full(len(hit), k1[row]), np.full(len(hit), k2[row]), p0 + at, n, value, a, c))
+                    size += len(hit)
+                if size > 1 << 16:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        k1, k2, p0, n, h, a, c = (np.concatenate(x) for x in zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(p0.astype(np.int64)), pa.array(n.astype(np.int32)),
+             pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(c.view(np.int64))], names=["k1", "k2", "p0", "n", "h", "a", "c"])
+
+    return docs.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, p0 long, n int, h long, a int, c long")
+
+
+def split_contents(docs: DataFrame, wanted: BitFilter, length: int, seed_length: int) -> DataFrame:
+    """(h, c, n, a, w, ctx): contents, with their bytes and counts, of the
+    zones whose anchor the filter has; equal ones of a batch are one row."""
+    filt = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], list] = {}
+            for _, _, piece, sums, (value, p0, n, place) in scan(batch.column(0), length, seed_length):
                 hit = np.flatnonzero(filt.value(value))
                 if not len(hit):
                     continue
                 value, p0, n, a = value[hit], p0[hit], n[hit], place[hit] - p0[hit]
-                end = p0 + n - 1 + length
-                c = mix(span_hashes(sums, p0, end) * _FOLD + n.astype(np.uint64) * np.uint64(1 << 20) + a.astype(np.uint64))
-                raw = piece.tobytes()
-                columns.append((np.full(len(hit), k1[row]), np.full(len(hit), k2[row]), p0 + at, n, value, a, c,
-                                [raw[s:e] for s, e in zip(p0.tolist(), end.tolist())]))
-                size += len(hit)
-                if size > 1 << 14:
-                    yield packed(columns)
-                    columns, size = [], 0
-            if columns:
-                yield packed(columns)
-
-    def packed(columns: list[tuple]) -> pa.RecordBatch:
-        k1, k2, p0, n, h, a, c = (np.concatenate(x) for x in list(zip(*columns))[:7])
-        ctx = [b for x in columns for b in x[7]]
+                c = content_names(sums, p0, n, a, length)
+                for h, x, start, m, d in zip(value.view(np.int64).tolist(), c.view(np.int64).tolist(), p0.tolist(), n.tolist(), a.tolist()):
+                    row = found.get((h, x))
+                    if row is None:
+                        found[h, x] = [m, d, 1, piece[start:start + m - 1 + length].tobytes()]
+                    else:
+                        row[2] += 1
+                if len(found) > 1 << 14:
+                    yield packed(found)
+                    found = {}
+            if found:
+                yield packed(found)
+
+    def packed(found: dict) -> pa.RecordBatch:
+        h, c = zip(*found)
+        n, a, w, ctx = zip(*found.values())
         return pa.RecordBatch.from_arrays(
-            [pa.array(k1.astype(np.int64)), pa.array(k2.astype(np.int64)), pa.array(p0.astype(np.int64)), pa.array(n.astype(np.int32)),
-             pa.array(h.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(c.view(np.int64)), pa.array(ctx, pa.binary())],
-            names=["k1", "k2", "p0", "n", "h", "a", "c", "ctx"])
+            [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(w, pa.int64()),
+             pa.array(ctx, pa.binary())], names=["h", "c", "n", "a", "w", "ctx"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(find, ZONE_SCHEMA)
+    rows = docs.select("text").mapInArrow(find, "h long, c long, n int, a int, w long, ctx binary")
+    return rows.groupBy("h", "c").agg(F.sum("w").alias("w"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("ctx").alias("ctx"))
 
 
 RANK_SCHEMA = "h long, c long, w long, blk int, d1 int, d2 int, core long, cover long"
@@ -260,13 +295,11 @@ def repeated_spans(docs: DataFrame, length: int, seed_length: int) -> DataFrame:
     """(k1, k2, spans) of the documents (k1, k2, text) that lose bytes; spans
     are arrays of (start, end), bounded by the document itself."""
     shared = BitFilter.of(written(anchor_counts(docs, length, seed_length), "repeats-anchors"), "h")
-    held = written(shared_zones(docs, shared, length, seed_length), "repeats-zones")
-    places = held.select("k1", "k2", "p0", "n", "h", "a", "c")
+    places = written(shared_zones(docs, shared, length, seed_length), "repeats-zones")
     contents = written(places.groupBy("h", "c").agg(F.count("*").alias("w")), "repeats-contents")
     split = contents.groupBy("h").agg(F.count("*").alias("k"), F.min("w").alias("least")).where("k > 1 and least = 1").select("h")
-    split = written(split, "repeats-split")
-    bytes_of = held.join(bounded_broadcast(split, split.count()), "h", "left_semi").groupBy("h", "c").agg(
-        F.count("*").alias("w"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("ctx").alias("ctx"))
+    wanted = BitFilter.of(written(split, "repeats-split"), "h")
+    bytes_of = split_contents(docs, wanted, length, seed_length)
     some = repeated_offsets(written(bytes_of, "repeats-bytes"), length, seed_length)
     whole = places.join(contents.where("w > 1").select("h", "c"), ["h", "c"], "left_semi").select(
         "k1", "k2", F.col("p0").alias("start"), (F.col("p0") + F.col("n") - 1 + length).alias("end"))
@@ -296,12 +329,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed_length: int = SE
     spans = written(repeated_spans(keyed.select("k1", "k2", "text"), length, seed_length), "repeats-spans")
     touched = docs.sparkSession.sparkContext.broadcast(BitFilter.of(spans.select(F.xxhash64("k1", "k2").alias("key")), "key"))
 
-    def member(wanted: bool):
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = touched.value(batch.column("_key").to_numpy().view(np.uint64))
-                yield batch.filter(pa.array(hit == wanted))
-        return choose
+    def dirty_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(touched.value(batch.column("_key").to_numpy().view(np.uint64))))
+
+    def clean_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(~touched.value(batch.column("_key").to_numpy().view(np.uint64))))
+            raw = pa.array([b"" if t is None else t for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array([[]] * part.num_rows, runs_type), raw],
+                                             names=[*columns, "_spans", "_kept"])
+
+    runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,17 +356,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed_length: int = SE
                 runs.append([{"start": a, "end": b} for a, b in run])
                 kept.append(b"".join(parts) + raw[at:])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                [*(batch.column(c) for c in columns), pa.array(runs, runs_type),
                  pa.array(kept, pa.binary())], names=[*columns, "_spans", "_kept"])
 
     from pyspark.sql.types import BinaryType, StructType
     marked = keyed.withColumn("_key", F.xxhash64("k1", "k2"))
-    empty = F.lit(None).cast(spans.schema["spans"].dataType)
-    clean = marked.mapInArrow(member(False), marked.schema).withColumn("spans", empty)
-    dirty = marked.mapInArrow(member(True), marked.schema).join(spans, ["k1", "k2"], "left")
+    dirty = marked.mapInArrow(dirty_only, marked.schema).join(spans, ["k1", "k2"], "left")
     schema = StructType([*docs.schema.fields, *spans.select(F.col("spans").alias("_spans")).schema.fields]).add("_kept", BinaryType())
-    rows = [*columns, "spans"]
-    return clean.select(*rows).unionByName(dirty.select(*rows)).mapInArrow(cut, schema)
+    clean = marked.select(*columns, "_key").mapInArrow(clean_only, schema)
+    return clean.unionByName(dirty.select(*columns, "spans").mapInArrow(cut, schema))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, seed_length: int = SEED_LENGTH) -> DataFrame:
