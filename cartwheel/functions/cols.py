@@ -25,11 +25,6 @@ def js_round(c) -> Column:
     return F.floor(col(c) + F.lit(0.5)).cast("bigint")
 
 
-def units(c) -> Column:
-    """Cents -> currency units as a double (``x / 100``)."""
-    return col(c) / F.lit(100.0)
-
-
 def falsy(c, kind: str) -> Column:
     """NULL where JavaScript would treat the value as falsy.
 
@@ -108,26 +103,17 @@ def one_row_join(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def bounded_parts(df: DataFrame, group_cols: list[str], key_cols: list[str], max_per_part: int,
-                  sizes: DataFrame | None = None) -> DataFrame:
-    """Assign each row of a group to one of ``ceil(n / max_per_part)`` parts
-    (``part``, ``parts`` columns), so lists collected per (group, part) stay
-    bounded even when one group holds a large share of all rows.
+NULL_KEY_TASKS = 1024
 
-    The group sizes come from a partial (map-side) aggregate; parts are
-    chosen by a hash of ``key_cols``, so they are deterministic on retry.
-    Groups below the bound get exactly one part (part 0). ``sizes`` (group
-    columns + ``__n``) can be passed when the caller already counted; any
-    other columns of ``sizes`` are carried onto the rows.
-    """
-    if sizes is None:
-        sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-    extra = [c for c in sizes.columns if c not in group_cols and c != "__n"]   # carried along
-    sizes = sizes.select(*group_cols, F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(max_per_part)))
-                         .cast("int").alias("parts"), *extra)
-    j = df.join(sizes, group_cols)
-    return j.withColumn("part", F.when(F.col("parts") == 1, F.lit(0))
-                        .otherwise(F.pmod(F.xxhash64(*key_cols), F.col("parts").cast("long")).cast("int")))
+
+def left_join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` that deals the left rows without a key out over
+    many tasks; as plain join keys all NULLs would hash to one. A second key
+    is constant for real keys and random for NULLs, which match nothing."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns[:4]), F.lit(NULL_KEY_TASKS)).cast("int")).otherwise(0)
+    l2 = left.withColumn("__spread", spread)
+    r2 = right.withColumn("__spread", F.lit(0))
+    return l2.join(r2, [key, "__spread"], "left").drop("__spread")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int, how: str = "inner") -> DataFrame:

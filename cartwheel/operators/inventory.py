@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwheel.functions.cols import js_round, one_row_join
 
@@ -13,17 +14,22 @@ THRESHOLD_RULES = (("popular", 20), ("suits", 15))
 DEFAULT_THRESHOLD = 10
 
 
-def tag_matches(tags: Column, word: str) -> Column:
-    """``tags LIKE '%word%'`` on the tag array (any tag value contains word).
-    A plain string column is matched directly."""
-    return F.exists(tags, lambda t: t["value"].like(f"%{word}%"))
+def tag_matches(tags: Column, word: str, text: bool = False) -> Column:
+    """``tags LIKE '%word%'``: any tag value of a tag array contains the word,
+    or (``text``) the tags' text does."""
+    return tags.like(f"%{word}%") if text else F.exists(tags, lambda t: t["value"].like(f"%{word}%"))
 
 
-def stock_threshold(tags: Column, rules=THRESHOLD_RULES, default: int = DEFAULT_THRESHOLD) -> Column:
+def has_text_tags(products: DataFrame) -> bool:
+    return isinstance(products.schema["tags"].dataType, T.StringType)
+
+
+def stock_threshold(tags: Column, rules=THRESHOLD_RULES, default: int = DEFAULT_THRESHOLD,
+                    text: bool = False) -> Column:
     """CASE over the tag rules, first match wins."""
     expr = None
     for word, limit in rules:
-        cond = tag_matches(tags, word)
+        cond = tag_matches(tags, word, text)
         expr = F.when(cond, F.lit(limit)) if expr is None else expr.when(cond, F.lit(limit))
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
@@ -39,7 +45,7 @@ def _variant_product(variants: DataFrame, products: DataFrame) -> DataFrame:
 def low_stock(variants: DataFrame, products: DataFrame, rules=THRESHOLD_RULES) -> DataFrame:
     """managed variants at or below their product's threshold, lowest stock first."""
     j = _variant_product(variants.filter(F.col("manage_inventory") == F.lit(True)), products)
-    j = j.withColumn("threshold", stock_threshold(F.col("tags"), rules))
+    j = j.withColumn("threshold", stock_threshold(F.col("tags"), rules, text=has_text_tags(products)))
     return (j.filter(F.col("inventory_quantity") <= F.col("threshold"))
             .orderBy(F.col("inventory_quantity").asc_nulls_last(), F.col("variant_id").asc_nulls_last())
             .select("variant_id", "title", "handle", "variant_title", "sku",

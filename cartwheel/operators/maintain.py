@@ -18,6 +18,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwheel.functions.cols import empty_string_map, falsy, js_or, one_row_join
 
@@ -61,13 +62,17 @@ def write_version(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 # ------------------------------------------------------------- primitives
 def latest_per_key(changes: DataFrame, key: str | list[str], seq: str | None) -> DataFrame:
-    """One change per key: the one with the highest ``seq`` (or any, when no
-    sequence column is given), via ``max_by`` so hot keys reduce map-side."""
+    """One change per key: the one with the highest ``seq``, via ``max_by`` so
+    hot keys reduce map-side. Without a sequence column keys must be unique;
+    a second change of a key is an error, since either could be the last."""
     keys = [key] if isinstance(key, str) else list(key)
-    if seq is None:
-        return changes.dropDuplicates(keys)
     others = [c for c in changes.columns if c not in keys]
-    agg = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq)).alias("__c"))
+    if seq is None:
+        agg = changes.groupBy(*keys).agg(F.first(F.struct(*others)).alias("__c"), F.count(F.lit(1)).alias("__n"))
+        error = F.raise_error(F.lit("several changes of one key need a sequence column"))
+        agg = agg.withColumn("__c", F.when(F.col("__n") > 1, error.cast(agg.schema["__c"].dataType)).otherwise(F.col("__c")))
+    else:
+        agg = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(seq)).alias("__c"))
     return agg.select(*keys, *[F.col(f"__c.{c}").alias(c) for c in others])
 
 
@@ -76,11 +81,12 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, update_cols=None,
     """``INSERT ... ON CONFLICT (key) DO UPDATE SET c = EXCLUDED.c``.
 
     New keys are inserted with all their columns; existing keys take only
-    ``update_cols`` (all non-key columns when None) from the change row.
+    ``update_cols`` (when None, the columns that the changes have) from the
+    change row, so a column absent from the changes keeps its value.
     """
     ch = latest_per_key(changes, key, seq)
     cols = [c for c in target.columns if c != key]
-    update = set(cols if update_cols is None else update_cols)
+    update = {c for c in (cols if update_cols is None else update_cols) if c in ch.columns}
     t = target.select(key, *[F.col(c).alias(f"t__{c}") for c in cols], F.lit(True).alias("t__hit"))
     c = ch.select(key, *[F.col(x).alias(f"c__{x}") for x in cols if x in ch.columns],
                   F.lit(True).alias("c__hit"))
@@ -148,9 +154,14 @@ def soft_delete(target: DataFrame, ids: DataFrame, now: dt.datetime, key: str =
 
 
 def replace_links(links: DataFrame, changes: DataFrame) -> DataFrame:
-    """M5: for every region in ``changes`` (region_id, providers:
-    array<string>), drop its links and insert the given list."""
-    new = changes.select("region_id", F.explode("providers").alias("provider_id"))
+    """M5: for every region in ``changes`` (region_id, providers: an array of
+    ids or of structs with ``provider_id``; optional ``seq``), drop its links
+    and insert the given list. Of several changes of a region the one with the
+    highest ``seq`` counts; without ``seq`` a region may occur once."""
+    latest = latest_per_key(changes, "region_id", "seq" if "seq" in changes.columns else None)
+    new = latest.select("region_id", F.explode("providers").alias("provider_id"))
+    if isinstance(new.schema["provider_id"].dataType, T.StructType):
+        new = new.select("region_id", F.col("provider_id.provider_id").alias("provider_id"))
     kept = links.join(changes.select("region_id").distinct(), "region_id", "left_anti")
     return kept.unionByName(new.select(*links.columns))
 
@@ -161,9 +172,12 @@ def upsert_countries(countries: DataFrame, changes: DataFrame) -> DataFrame:
     then the listed ones are inserted; on an ``iso_2`` conflict only
     ``region_id`` changes (other attributes stay); new rows default iso_3,
     name and display_name to the code and num_code to 0. All deletes of a
-    batch happen before its inserts.
+    batch happen before its inserts, which run in the order of the optional
+    ``seq`` column (else of the region id), then of the list.
     """
-    x = changes.select("region_id", F.posexplode("countries").alias("pos", "c"))
+    batch = F.col("seq") if "seq" in changes.columns else F.col("region_id")
+    x = changes.select("region_id", F.posexplode("countries").alias("at", "c"), batch.alias("batch")).withColumn(
+        "pos", F.struct("batch", "at"))
     code = F.col("c.iso_2")
     rows = x.select(
         code.alias("iso_2"),
@@ -346,10 +360,12 @@ def merge_metadata(regions: DataFrame, ids: DataFrame, patch: dict[str, str] = M
 
 
 def repair_links(regions: DataFrame, links: DataFrame, provider_id: str) -> DataFrame:
-    """Regions without any link get one to ``provider_id``."""
-    missing = regions.join(links.filter(F.col("provider_id").isNotNull()).select(F.col("region_id").alias("id")),
-                           "id", "left_anti")
-    return links.unionByName(missing.select(F.col("id").alias("region_id"),
+    """Regions without any link get one to ``provider_id``, in place of
+    link rows that name no provider."""
+    named = links.filter(F.col("provider_id").isNotNull())
+    missing = regions.join(named.select(F.col("region_id").alias("id")), "id", "left_anti")
+    empty = missing.select(F.col("id").alias("region_id"))
+    return links.join(empty, "region_id", "left_anti").select(*links.columns).unionByName(missing.select(F.col("id").alias("region_id"),
                                             F.lit(provider_id).alias("provider_id")))
 
 
@@ -394,6 +410,15 @@ def bulk_update_report(products: DataFrame, ids: DataFrame) -> DataFrame:
                     F.when(~ok, F.lit("Product not found")).alias("error"))
 
 
+def bulk_update(products: DataFrame, patches: DataFrame, patchable, now: dt.datetime) -> dict[str, DataFrame]:
+    """Apply the patches (see :func:`patch_rows`) and report per requested
+    id. An empty request is rejected."""
+    if patches.isEmpty():
+        raise ValueError("no products given")
+    return {"product": patch_rows(products, patches, "id", patchable, now),
+            "report": bulk_update_report(products, patches)}
+
+
 def bulk_delete(products: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """Remove the given products; per-id report as for updates."""
     return {"product": products.join(ids.select("id").distinct(), "id", "left_anti"),

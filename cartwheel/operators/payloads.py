@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.functions.cols import bounded_parts, js_or, pii_hash, salted_join
+from cartwheel.functions.cols import js_or, left_join_spread, pii_hash, salted_join
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,6 @@ class PayloadConfig:
 
 
 DEFAULT_CONFIG = PayloadConfig()
-# Largest item list one payload row carries (bigger orders are split in parts).
-MAX_ITEMS_PER_PART = 500
 
 CONTENTS = T.ArrayType(T.StructType([
     T.StructField("id", T.StringType()), T.StructField("quantity", T.LongType()),
@@ -169,10 +167,26 @@ def add_to_cart_conversion(enriched: DataFrame, cfg: PayloadConfig = DEFAULT_CON
     return a.select("id", payload.alias("payload"))
 
 
+def viewed_products(views: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Views (one row each) with the viewed product's title, type, sku and
+    first price: the event's own variant where it names one, else the
+    product's variant with the smallest id, so an event gives one payload
+    however many variants the product has."""
+    fields = ["variant_id", "sku", "product_title", "product_type", "first_amount"]
+    one = catalog.groupBy("product_id").agg(F.min_by(F.struct(*fields), "variant_id").alias("__p"))
+    if "variant_id" not in views.columns:
+        j = left_join_spread(views, one, "product_id")
+        return j.select("*", *[F.col(f"__p.{f}").alias(f) for f in fields]).drop("__p")
+    own = catalog.select(F.col("variant_id").alias("__v"), F.struct(*fields).alias("__own"))
+    v = left_join_spread(views.withColumnRenamed("variant_id", "__v"), own, "__v")
+    j = left_join_spread(v, one, "product_id").withColumn("__p", F.coalesce("__own", "__p"))
+    return j.select("*", *[F.col(f"__p.{f}").alias(f) for f in fields]).drop("__p", "__own", "__v")
+
+
 def view_content_conversion(views: DataFrame, catalog: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
-    """ViewContent keyed by the product id; value is the first price of
-    the viewed product's variant (0 when none)."""
-    j = views.join(catalog.select("product_id", "first_amount", "sku", "variant_id"), "product_id", "left")
+    """One ViewContent per view, keyed by the product id; value is the
+    first price of the viewed variant (0 when none)."""
+    j = viewed_products(views, catalog)
     price = _price_units(F.col("first_amount"))
     pid = F.col("product_id").cast("string")
     contents = F.array(F.struct(pid.alias("id"), F.lit(1).cast("bigint").alias("quantity"),
@@ -185,66 +199,95 @@ def view_content_conversion(views: DataFrame, catalog: DataFrame, cfg: PayloadCo
 
 
 # -------------------------------------------------------------- orders
+ITEMS_PER_TASK = 4096
+
+
+def order_item_rows(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per order line with its ``position`` (from 0) in the whole
+    order, the order of line number, then variant, quantity and price.
+
+    The position is the rank within a run of ``ITEMS_PER_TASK`` line numbers
+    plus the sizes of the order's earlier runs, so a huge order is dealt out
+    over tasks by (order, run) and never sorted by one of them.
+    """
+    run = F.floor(F.coalesce(F.col("line_number"), F.lit(0)) / ITEMS_PER_TASK).alias("__run")
+    lines = line_items.select("order_id", "line_number", "variant_id", "quantity", "unit_price", run)
+    inside = Window.partitionBy("order_id", "__run").orderBy("line_number", "variant_id", "quantity", "unit_price")
+    earlier = Window.partitionBy("order_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("order_id", "__run").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("order_id", "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    placed = lines.withColumn("__rank", F.row_number().over(inside)).join(starts, ["order_id", "__run"])
+    c = catalog.select("variant_id", "sku", F.col("product_title").alias("title"), "product_type")
+    return (left_join_spread(placed, c, "variant_id")
+            .select("order_id", (F.col("__start") + F.col("__rank") - 1).alias("position"), "line_number", "variant_id",
+                    "quantity", "unit_price", "sku", "title", "product_type"))
+
+
+def order_headers(line_items: DataFrame) -> DataFrame:
+    """Per order (``id``): tax total, units and number of lines, from one
+    partial aggregate; the item list of a huge order is not needed for it."""
+    return line_items.groupBy(F.col("order_id").alias("id")).agg(
+        F.sum("tax_total").alias("tax_total"), F.sum(F.col("quantity").cast("bigint")).alias("units"),
+        F.count(F.lit(1)).alias("n_items"))
+
+
 def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
-                   customers: DataFrame, addresses: DataFrame,
-                   max_items_per_part: int = MAX_ITEMS_PER_PART) -> DataFrame:
-    """Each order with its items (in line order, each with variant sku
-    and product type), tax total, unit count, customer (optional) and
-    shipping address.
-
-    Order-level totals come from a partial aggregate. The item list is
-    collected per (order, part): an order with more than
-    ``max_items_per_part`` lines is split into several rows (``part`` /
-    ``parts``), so no single group collects an unbounded list; every other
-    order has exactly one row with all its items, as in the reference.
+                   customers: DataFrame, addresses: DataFrame) -> DataFrame:
+    """One row per order, whatever its size, with all its items (in line
+    order, each with variant sku and product type), tax total, unit count,
+    customer (optional) and shipping address.
+
+    Tax and units come from the same grouping as the item list, so the line
+    items are scanned and shuffled once for the catalogue join and once for
+    the grouping. The list of one order is one document by definition; work on
+    single items of huge orders uses :func:`order_item_rows` and
+    :func:`order_headers`, which are dealt out by (order, position).
     """
-    li = line_items.join(catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id", "left")
-    # One partial aggregate per order gives the list sizes and the order
-    # totals. It reads the line items directly: the catalogue join keeps
-    # every line once (one catalogue row per variant), so the wide line-item
-    # x catalogue join is shuffled once, for the item lists only. The totals
-    # ride along the part assignment into the item grouping, so the
-    # aggregate is computed once and no separate totals join is needed.
-    sizes = line_items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("tax_total").alias("__order_tax"),
-        F.sum(F.col("quantity").cast("bigint")).alias("__order_units"))
-    li = bounded_parts(li, ["order_id"], ["order_id", "line_number", "variant_id"], max_items_per_part,
-                       sizes=sizes)
+    li = left_join_spread(line_items.select("order_id", "line_number", "variant_id", "quantity", "unit_price", "tax_total"),
+                          catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id")
     # Struct order = list order: line number first, the rest breaks ties.
     item = F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
                     F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
-    items = li.groupBy(F.col("order_id").alias("id"), "part", "parts").agg(
-        F.sort_array(F.collect_list(item)).alias("items"),
-        F.first("__order_tax").alias("tax_total"), F.first("__order_units").alias("units"))
+    items = li.groupBy(F.col("order_id").alias("id")).agg(
+        F.sort_array(F.collect_list(item)).alias("items"), F.sum("tax_total").alias("tax_total"),
+        F.sum(F.col("quantity").cast("bigint")).alias("units"))
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")
-    # Customer and address first, per-order totals and items last: the
-    # result stays hash-partitioned by order id, so joining it to order
-    # events shuffles only the (narrow) event side, not the item lists.
-    o = (orders.join(c, "customer_id", "left").join(addresses, "nation_id", "left")
+    # Customer and address first, items last: the result stays
+    # hash-partitioned by order id, so joining it to order events shuffles
+    # only the (narrow) event side, not the item lists.
+    o = (left_join_spread(orders, c, "customer_id").join(addresses, "nation_id", "left")
          .join(items, "id", "left"))
-    return (o.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("parts", F.coalesce("parts", F.lit(1)))
-            .withColumn("shipping_total", F.lit(None).cast("bigint")))
-
+    return o.withColumn("shipping_total", F.lit(None).cast("bigint"))
 
-def _part_cols(df: DataFrame) -> list[str]:
-    """Part columns of a split order, when the input carries them."""
-    return [c for c in ("part", "parts") if c in df.columns]
 
-
-def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
-    """E2 (+E5): Purchase for every ``order.placed`` event."""
+def placed_orders(orders: DataFrame, order_events: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """``order.placed`` events with their enriched order. The customer is the
+    event's: a guest event (no customer id) has none, even if the order does;
+    one that differs from the order's is looked up in ``customers``."""
     ev = order_events.filter(F.col("event_name") == "order.placed").select(
-        F.col("id"), F.col("ts").alias("event_ts"), F.col("metadata"))
+        "id", F.col("customer_id").alias("event_customer"), F.col("ts").alias("event_ts"), "metadata")
     j = ev.join(orders, "id")
+    person = [c for c in ("email", "phone", "first_name", "last_name") if c in orders.columns]
+    same = F.col("event_customer") == F.col("customer_id")
+    if customers is None:
+        return j.select(*[c for c in j.columns if c not in person], *[F.when(same, F.col(c)).alias(c) for c in person])
+    look = customers.select(F.col("id").alias("event_customer"), *[F.col(c).alias(f"__{c}") for c in person])
+    j = left_join_spread(j, look, "event_customer")
+    return j.select(*[c for c in j.columns if c not in person and not c.startswith("__")],
+                    *[F.when(same, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in person])
+
+
+def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG,
+                        customers: DataFrame | None = None) -> DataFrame:
+    """E2 (+E5): one Purchase for every ``order.placed`` event."""
+    j = placed_orders(orders, order_events, customers)
     items = F.col("items")
     ids = F.transform(items, lambda x: _item_id(x["sku"], x["variant_id"]))
     contents = F.coalesce(F.transform(items, lambda x: F.struct(
         _item_id(x["sku"], x["variant_id"]).alias("id"), x["quantity"].cast("bigint").alias("quantity"),
         (x["unit_price"] / F.lit(100.0)).alias("item_price"))), F.array().cast(CONTENTS))
-    # items.reduce(sum of quantity): the order-level unit count, which is the
-    # same number and stays whole when the order is split into parts.
-    num = F.col("units")
+    num = F.col("units")  # items.reduce(sum of quantity)
     user = {"email": F.col("email"), "phone": F.col("phone"), "firstName": F.col("first_name"),
             "lastName": F.col("last_name"), "city": F.col("city"), "state": F.col("province"),
             "zip": F.col("postal_code"), "country": F.col("country_code"), **_meta_user(F.col("metadata"))}
@@ -254,7 +297,7 @@ def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: Payload
          "value": F.col("total") / F.lit(100.0), "contentType": F.lit("product"),
          "contentIds": ids, "contents": contents, "numItems": num,
          "orderId": F.col("id").cast("string")}, cfg)
-    return j.select("id", *_part_cols(j), payload.alias("payload"))
+    return j.select("id", payload.alias("payload"))
 
 
 # ------------------------------------------------------ measurement protocol
@@ -291,7 +334,7 @@ def _session(meta: Column) -> Column:
 def ga_cart(enriched: DataFrame, action: str, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
     """add_to_cart or remove_from_cart (removals go to this format
     only); value = first price x quantity."""
-    a = enriched.filter(F.col("action") == action)
+    a = enriched.filter(F.col("action") == action).withColumn("quantity", F.coalesce("quantity", F.lit(1)))
     price = _price_units(F.col("first_amount"))
     item = F.struct(_item_id(F.col("sku"), F.col("variant_id")).alias("item_id"),
                     F.col("product_title").alias("item_name"),
@@ -308,9 +351,7 @@ def ga_cart(enriched: DataFrame, action: str, cfg: PayloadConfig = DEFAULT_CONFI
 
 def ga_purchase(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
     """Purchase with transaction id, value, shipping, tax and indexed items."""
-    ev = order_events.filter(F.col("event_name") == "order.placed").select(
-        "id", F.col("ts").alias("event_ts"), "metadata")
-    j = ev.join(orders, "id")
+    j = placed_orders(orders, order_events)
     items = F.transform(F.col("items"), lambda x, i: F.struct(
         _item_id(x["sku"], x["variant_id"]).alias("item_id"), x["title"].alias("item_name"),
         F.lit(cfg.item_affiliation).alias("affiliation"),
@@ -324,15 +365,14 @@ def ga_purchase(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig =
         (F.col("shipping_total") / F.lit(100.0)).alias("shipping"),
         (F.col("tax_total") / F.lit(100.0)).alias("tax"),
         F.coalesce(items, F.array().cast(GA_ITEMS)).alias("items")]
-    payload = ga_envelope("purchase", params, F.col("customer_id").cast("string"), _session(F.col("metadata")),
+    payload = ga_envelope("purchase", params, F.col("event_customer").cast("string"), _session(F.col("metadata")),
                           F.col("event_ts"), F.col("id"))
-    return j.select("id", *_part_cols(j), payload.alias("payload"))
+    return j.select("id", payload.alias("payload"))
 
 
 def ga_view_item(views: DataFrame, catalog: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
-    """view_item; item id is sku, else variant id, else product id."""
-    j = views.join(catalog.select("product_id", "variant_id", "sku", "product_title", "product_type",
-                                  "first_amount"), "product_id", "left")
+    """One view_item per view; item id is sku, else variant id, else product id."""
+    j = viewed_products(views, catalog)
     price = _price_units(F.col("first_amount"))
     item_id = js_or(F.col("sku"), js_or(F.col("variant_id").cast("string"), F.col("product_id").cast("string"),
                                         "string"), "string")
@@ -357,7 +397,7 @@ def ga_begin_checkout(orders: DataFrame, region_currency: Column, cfg: PayloadCo
               (F.col("total") / F.lit(100.0)).alias("value"), F.coalesce(items, F.array().cast(GA_ITEMS)).alias("items")]
     payload = ga_envelope("begin_checkout", params, F.col("customer_id").cast("string"),
                           F.lit(None).cast("string"), F.col("created_at"), F.col("id"))
-    return orders.select("id", *_part_cols(orders), payload.alias("payload"))
+    return orders.select("id", payload.alias("payload"))
 
 
 def ga_search(searches: DataFrame, products: DataFrame) -> DataFrame:

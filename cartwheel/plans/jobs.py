@@ -25,7 +25,7 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, versio
     paths = {}
     for name, df in tables.items():
         path = os.path.join(root, name, f"v={version}")
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("errorifexists").parquet(path)  # readers may hold that version
         paths[name] = path
     manifest = spark.createDataFrame([(version, json.dumps(paths, sort_keys=True))], "version string, paths string")
     manifest.coalesce(1).write.mode("overwrite").json(os.path.join(root, "_manifest", f"v={version}"))

@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwheel.operators import maintain as m
-from cartwheel.operators import payloads as pl
+from cartwheel.plans import q_events as qe
 from cartwheel.plans import q_maintain, reports
 from cartwheel.plans.registry import ORDERS_AS_OF, REPORT_PERIOD, commerce, register, with_views
 from cartwheel.session import scratch_path
+from cartwheel.sources import events as ev
 from cartwheel.sources import seed
 from cartwheel.streaming import outbox
 
@@ -50,16 +51,35 @@ def table_writeback(spark, sf_dir):
     return spark.read.parquet(path).select("id", "name", "currency_code")
 
 
-@register("conversion_outbox")
+def _outbox_sql() -> str:
+    flat = "SELECT id, '{sink}' AS sink, {name} AS event_name, value, currency FROM ({sql})"
+    parts = [flat.format(sink="pixel", name="event_name", sql=x) for x in (qe.ADD_TO_CART_SQL, qe.PURCHASE_SQL)]
+    parts += [flat.format(sink="measurement", name="name", sql=x) for x in (
+        qe._ga_cart_sql("add", "add_to_cart"), qe._ga_cart_sql("remove", "remove_from_cart"), qe.GA_PURCHASE_SQL)]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("conversion_outbox", with_views(_outbox_sql(), *qe.ORDER_VIEWS,
+                                          extra=qe.ORDER_EXTRA + (qe.CART_EVENT_CTE, qe.CART_DELTA_CTE, qe.ENRICHED_CTE)))
 def conversion_outbox(spark, sf_dir):
-    """Both outbox streams run to completion (available-now trigger) over the
-    events file; the outbox rows are read back."""
+    """Cart and order events streamed (available-now trigger) into the outbox
+    of either sink; all four streams start together, and one that fails does
+    not stop the others. The rows are read back, payloads flattened."""
     c = commerce(spark, sf_dir)
-    catalog = outbox.snapshot_catalog(spark, pl.variant_catalog(c.variants, c.products, c.prices))
+    catalog = outbox.snapshot_catalog(spark, qe._catalog(c))
+    orders = outbox.snapshot_catalog(spark, qe._orders_enriched(c))
     box, ckpt = scratch_path(spark, "outbox"), scratch_path(spark, "outbox-ckpt")
+    started = []
     for sink in outbox.SINKS:
         # A file stream source watches a folder or glob; the test data is one file.
-        q = outbox.start_outbox(spark, f"{c.sf_dir}/events.parquet*", catalog, box, ckpt, sink)
-        q.awaitTermination()
-    return (outbox.read_outbox(spark, box, "pixel").drop("batch_id")
-            .unionByName(outbox.read_outbox(spark, box, "measurement").drop("batch_id")))
+        started.append(outbox.start_outbox(spark, f"{c.sf_dir}/events.parquet*", catalog, box, ckpt, sink))
+        placed = ev.order_events(outbox.read_orders_stream(spark, f"{c.sf_dir}/orders.parquet*"))
+        started.append(outbox.start_order_outbox(placed, orders, box, ckpt, sink))
+    errors = outbox.finish(started)
+    if errors:
+        raise errors[0]
+    rows = outbox.read_outbox(spark, box, "pixel").unionByName(outbox.read_outbox(spark, box, "measurement"))
+    field = {"pixel": "$.custom_data", "measurement": "$.events[0].params"}
+    get = lambda name: F.when(F.col("sink") == "pixel", F.get_json_object("payload", f"{field['pixel']}.{name}")).otherwise(
+        F.get_json_object("payload", f"{field['measurement']}.{name}"))
+    return rows.select("id", "sink", "event_name", get("value").cast("double").alias("value"), get("currency").alias("currency"))

@@ -85,14 +85,14 @@ def ensure_default_links(spark, sf_dir):
 # ----------------------------------------------------------- dedupe
 INSTANCES_SQL = """
     inst AS (
-      SELECT r.id, r.name, r.currency_code, r.created_at,
-             COUNT(so.id) AS shipping_count, COUNT(c.iso_2) AS country_count
-      FROM co_region r
-      JOIN (SELECT name, currency_code FROM co_region GROUP BY name, currency_code HAVING COUNT(*) > 1) dup
-        ON r.name = dup.name AND r.currency_code = dup.currency_code
-      LEFT JOIN co_option so ON r.id = so.region_id
-      LEFT JOIN co_country c ON r.id = c.region_id
-      GROUP BY r.id, r.created_at, r.name, r.currency_code),
+      SELECT id, name, currency_code, created_at,
+             options * greatest(nations, 1) AS shipping_count, nations * greatest(options, 1) AS country_count
+      FROM (SELECT id, name, currency_code, created_at,
+                   count(*) OVER (PARTITION BY name, currency_code) AS twins,
+                   (SELECT count(o.id) FROM co_option o WHERE o.region_id = reg.id) AS options,
+                   (SELECT count(k.iso_2) FROM co_country k WHERE k.region_id = reg.id) AS nations
+            FROM co_region reg WHERE name IS NOT NULL AND currency_code IS NOT NULL)
+      WHERE twins > 1),
     surv AS (
       SELECT *, first_value(id) OVER w AS survivor_id, row_number() OVER w = 1 AS keep FROM inst
       WINDOW w AS (PARTITION BY name, currency_code

@@ -26,7 +26,6 @@ Mapping rules (fixed values of this repo, not of the reference):
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,26 +44,6 @@ EXCLUDED_STATUS = ("F",)
 TEST_THRESHOLDS = (("red", 20), ("blue", 15))
 
 
-_SCHEMAS: dict[tuple, T.StructType] = {}
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet`` that infers a path's schema once per process
-    (keyed by path and, for local files, modification time) and passes it
-    explicitly afterwards."""
-    try:
-        stamp = os.path.getmtime(path)
-    except OSError:
-        stamp = None
-    key = (path, stamp)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
 def _ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -85,10 +64,9 @@ class Commerce:
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        """One read per table and instance; the schema inferred for a path is
-        reused by later reads in this process (skips the footer read)."""
+        """One read per table and instance."""
         if name not in self._raw:
-            self._raw[name] = read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
     # ----------------------------------------------------------------- sales
@@ -147,7 +125,8 @@ class Commerce:
             F.concat(F.lit("Size "), F.col("p_size").cast("string")).alias("title"),
             F.when(F.col("p_type") != "PROMO",
                    F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string"))).alias("sku"),
-            F.col("p_size").alias("inventory_quantity"),
+            # every tenth size is sold out, so the out-of-stock report has rows
+            F.when(F.col("p_size") % 10 == 0, 0).otherwise(F.col("p_size")).alias("inventory_quantity"),
             (F.col("p_type") != "ECONOMY").alias("manage_inventory"),
         )
 
@@ -384,7 +363,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT p_partkey AS id, p_partkey AS product_id,
                'Size ' || CAST(p_size AS VARCHAR) AS title,
                CASE WHEN p_type <> 'PROMO' THEN 'SKU-' || CAST(p_partkey AS VARCHAR) END AS sku,
-               p_size AS inventory_quantity, (p_type <> 'ECONOMY') AS manage_inventory
+               CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END AS inventory_quantity, (p_type <> 'ECONOMY') AS manage_inventory
         FROM part"""),
     "co_price": ((), """
         SELECT p_partkey AS variant_id,

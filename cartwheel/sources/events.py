@@ -129,15 +129,28 @@ def search_events(events_raw: DataFrame) -> DataFrame:
 
 
 def request_log(events_raw: DataFrame) -> DataFrame:
-    """Request log for rate limiting: every event is one request of its user."""
-    return events_raw.select(F.col("user_id").cast("string").alias("client"),
-                             F.concat(F.lit("/store/"), F.col("event_type")).alias("path"),
-                             F.col("ts"))
-
-
-def read_events_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Raw ``events`` rows as a stream (parquet file source with a schema)."""
-    r = spark.readStream.schema(RAW_EVENT_SCHEMA)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(path)
+    """Request log for rate limiting: every event is one request of its user;
+    signups are admin logins, errors admin calls, the rest shop calls."""
+    kind = F.col("event_type")
+    path = (F.when(kind == "signup", "/admin/auth/session").when(kind == "error", "/admin/orders")
+            .otherwise(F.concat(F.lit("/store/"), kind)))
+    return events_raw.select(F.col("user_id").cast("string").alias("client"), path.alias("path"), F.col("ts"))
+
+
+def read_order_events(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:
+    """The shop's own order events (JSON lines of ORDER_EVENT_SCHEMA) as a stream."""
+    return (spark.readStream.schema(ORDER_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+            .json(path))
+
+
+def read_cart_events(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:
+    """The shop's own cart events (JSON lines of CART_EVENT_SCHEMA) as a stream."""
+    return (spark.readStream.schema(CART_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+            .json(path))
+
+
+def read_events_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:
+    """Raw ``events`` rows as a stream (parquet file source with a schema); a
+    backlog becomes several micro-batches."""
+    return (spark.readStream.schema(RAW_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(path))

@@ -22,9 +22,9 @@ def with_month(df: DataFrame, ts_col: str = "created_at") -> DataFrame:
 
 def write_by_month(df: DataFrame, path: str, ts_col: str = "created_at", mode: str = "errorifexists") -> str:
     """Write ``df`` partitioned by the first day of the month of ``ts_col``.
-    Rows are clustered by month before the write so each task writes few
-    partition folders (one sort, no small-file explosion)."""
-    (with_month(df, ts_col).repartitionByRange(MONTH_COL)
+    Rows are ranged by month and time before the write, so each task writes
+    few partition folders and a large month is shared by several tasks."""
+    (with_month(df, ts_col).repartitionByRange(MONTH_COL, ts_col)
      .write.mode(mode).partitionBy(MONTH_COL).parquet(path))
     return path
 

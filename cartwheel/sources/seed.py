@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartwheel.functions.cols import bounded_parts
 
 S = T.StringType()
 STR_MAP = T.MapType(S, S)
@@ -113,26 +112,19 @@ def read_product_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PRODUCT).json(path)
 
 
-def product_documents(products: DataFrame, variants: DataFrame, prices: DataFrame,
-                      max_variants_per_doc: int = 1000, max_prices_per_variant: int = 1000) -> DataFrame:
-    """The inverse: JSON product documents with their variants and prices
-    nested (the seed's product shape). A product with more than
-    ``max_variants_per_doc`` variants is written as several documents (same
-    product fields, a share of the variants each), so no group collects an
-    unbounded list; a variant with more than ``max_prices_per_variant``
-    prices likewise appears once per share of its prices.
-    :func:`product_tables` de-duplicates product and variant rows."""
-    pp = bounded_parts(prices, ["variant_id"], ["variant_id", "currency_code", "amount"], max_prices_per_variant)
-    pv = pp.groupBy("variant_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct("currency_code", "amount"))).alias("prices")).drop("part")
+def product_documents(products: DataFrame, variants: DataFrame, prices: DataFrame) -> DataFrame:
+    """The inverse: one JSON document per product with its variants and prices
+    nested (the seed's product shape). Prices are grouped per variant and
+    variants per product; both lists belong to one document by definition."""
+    pv = prices.groupBy("variant_id").agg(
+        F.sort_array(F.collect_list(F.struct("currency_code", "amount"))).alias("prices"))
     v = variants.join(pv, variants.id == pv.variant_id, "left").select(
         "product_id", F.struct(F.col("id").cast("string").alias("id"), "title", "sku", "inventory_quantity",
                                "manage_inventory", F.lit(False).alias("allow_backorder"),
                                F.array().cast(VARIANT["options"].dataType).alias("options"),
                                F.coalesce("prices", F.array().cast(T.ArrayType(PRICE))).alias("prices"))
         .alias("v"))
-    v = bounded_parts(v, ["product_id"], ["product_id", "v"], max_variants_per_doc)
-    per_product = v.groupBy("product_id", "part").agg(F.sort_array(F.collect_list("v")).alias("variants"))
+    per_product = v.groupBy("product_id").agg(F.sort_array(F.collect_list("v")).alias("variants"))
     p = products.join(per_product, products.id == per_product.product_id, "left")
     doc = F.struct(F.col("id").cast("string").alias("id"), "title", F.lit(None).cast("string").alias("subtitle"),
                    F.lit(None).cast("string").alias("description"), "handle",

@@ -37,6 +37,20 @@ def payload_frame(enriched: DataFrame, sink: str) -> DataFrame:
                      F.to_json("payload").alias("payload"))
 
 
+def order_payload_frame(orders: DataFrame, order_events: DataFrame, sink: str) -> DataFrame:
+    """Outbox rows of placed orders: ``orders`` is the enriched static side."""
+    if sink == "pixel":
+        df = pl.purchase_conversion(orders, order_events)
+        name = F.col("payload.event_name")
+    elif sink == "measurement":
+        df = pl.ga_purchase(orders, order_events)
+        name = F.col("payload.events")[0]["name"]
+    else:
+        raise ValueError(sink)
+    return df.select("id", F.lit(sink).alias("sink"), name.alias("event_name"),
+                     F.to_json("payload").alias("payload"))
+
+
 def _writer(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
@@ -56,35 +70,67 @@ def snapshot_catalog(spark: SparkSession, catalog: DataFrame, path: str | None =
     return spark.read.parquet(path)
 
 
-def start_outbox(spark: SparkSession, events_path: str, catalog: DataFrame, outbox: str, checkpoint: str,
-                 sink: str, available_now: bool = True, max_files_per_trigger: int | None = None,
-                 salt_buckets: int = 1) -> StreamingQuery:
-    """Start one outbox stream over raw ``events`` files. ``catalog`` is the
-    static side (ideally a :func:`snapshot_catalog` table); ``salt_buckets``
-    spreads hot variants over several tasks per micro-batch."""
-    raw = ev.read_events_stream(spark, events_path, max_files_per_trigger)
-    actions = pl.cart_delta(ev.cart_events(raw))
-    enriched = pl.cart_enriched(actions, catalog, salt_buckets)
-    out = payload_frame(enriched, sink)
-    w = out.writeStream.foreachBatch(_writer(os.path.join(outbox, sink))).option(
-        "checkpointLocation", os.path.join(checkpoint, sink)).queryName(f"outbox_{sink}")
+def _start(out: DataFrame, outbox: str, checkpoint: str, sink: str, source: str, available_now: bool) -> StreamingQuery:
+    w = out.writeStream.foreachBatch(_writer(os.path.join(outbox, sink, f"source={source}"))).option(
+        "checkpointLocation", os.path.join(checkpoint, sink, source)).queryName(f"outbox_{sink}_{source}")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def start_cart_outbox(cart_events: DataFrame, catalog: DataFrame, outbox: str, checkpoint: str, sink: str,
+                      available_now: bool = True, salt_buckets: int = 8) -> StreamingQuery:
+    """One sink's outbox of a stream of cart events. ``catalog`` is the static
+    side (ideally a :func:`snapshot_catalog` table); ``salt_buckets`` spreads
+    hot variants over several tasks per micro-batch."""
+    enriched = pl.cart_enriched(pl.cart_delta(cart_events), catalog, salt_buckets)
+    return _start(payload_frame(enriched, sink), outbox, checkpoint, sink, "cart", available_now)
+
+
+def start_order_outbox(order_events: DataFrame, orders: DataFrame, outbox: str, checkpoint: str, sink: str,
+                       available_now: bool = True) -> StreamingQuery:
+    """One sink's outbox of a stream of order events; ``orders`` is the
+    enriched order table (:func:`cartwheel.operators.payloads.order_enriched`),
+    written once as the static side."""
+    return _start(order_payload_frame(orders, order_events, sink), outbox, checkpoint, sink, "orders", available_now)
+
+
+def start_outbox(spark: SparkSession, events_path: str, catalog: DataFrame, outbox: str, checkpoint: str,
+                 sink: str, available_now: bool = True, max_files_per_trigger: int = 64,
+                 salt_buckets: int = 8) -> StreamingQuery:
+    """:func:`start_cart_outbox` over raw ``events`` files."""
+    raw = ev.read_events_stream(spark, events_path, max_files_per_trigger)
+    return start_cart_outbox(ev.cart_events(raw), catalog, outbox, checkpoint, sink, available_now, salt_buckets)
+
+
+def finish(queries: list[StreamingQuery]) -> list[Exception]:
+    """Wait for all streams, also after one failed; the errors of those that did."""
+    errors: list[Exception] = []
+    for q in queries:
+        try:
+            q.awaitTermination()
+        except Exception as e:  # the other sinks go on
+            errors.append(e)
+    return errors
+
+
 def read_outbox(spark: SparkSession, outbox: str, sink: str) -> DataFrame:
     return spark.read.parquet(os.path.join(outbox, sink))
 
 
-def start_lifecycle_log(spark: SparkSession, orders_path: str, log_path: str, checkpoint: str,
-                        available_now: bool = True) -> StreamingQuery:
-    """E15 as a stream: order rows -> lifecycle events -> appended log."""
+def read_orders_stream(spark: SparkSession, orders_path: str, max_files_per_trigger: int = 64) -> DataFrame:
+    """Rows of the test ``orders`` table as a stream."""
     from pyspark.sql import types as T
     schema = T.StructType([
         T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
         T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()),
         T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_orderpriority", T.StringType())])
-    raw = spark.readStream.schema(schema).parquet(orders_path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(orders_path)
+
+
+def start_lifecycle_log(spark: SparkSession, orders_path: str, log_path: str, checkpoint: str,
+                        available_now: bool = True) -> StreamingQuery:
+    """E15 as a stream: order rows -> lifecycle events -> appended log."""
+    raw = read_orders_stream(spark, orders_path)
     log = pl.order_lifecycle_log(ev.order_events(raw))
     w = log.writeStream.format("parquet").option("path", log_path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -54,3 +54,11 @@ def test_inventory_summary(spark):
     products, variants, prices = catalog(spark)
     s = inv.inventory_summary(variants, products, prices).collect()[0]
     assert s.low_stock_count == 4 and s.out_of_stock_count == 2
+
+
+def test_tags_may_be_text(spark):
+    products, variants, _ = catalog(spark)
+    text = products.withColumn("tags", F.array_join(F.transform("tags", lambda t: t["value"]), ","))
+    got = {r.id: r.t for r in text.select("id", inv.stock_threshold(F.col("tags"), text=True).alias("t")).collect()}
+    assert got == {1: 20, 2: 15, 3: 10}
+    assert [r.variant_id for r in inv.low_stock(variants, text).collect()] == [r.variant_id for r in inv.low_stock(variants, products).collect()]

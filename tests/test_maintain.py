@@ -149,3 +149,78 @@ def test_more_jobs_are_idempotent(spark):
     again = m.ensure_store(out["store"], out["store_currencies"], NOW)
     assert rows(again["store"]) == rows(out["store"])
     assert rows(again["store_currencies"]) == rows(out["store_currencies"])
+
+
+def test_upsert_keeps_columns_the_changes_lack(spark):
+    target = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "code string, n int, s string")
+    changes = spark.createDataFrame([("a", 9), ("c", 3)], "code string, n int")
+    got = sorted(tuple(r) for r in m.upsert(target, changes, "code").collect())
+    assert got == [("a", 9, "x"), ("b", 2, "y"), ("c", 3, None)]
+
+
+def test_several_changes_of_a_key_need_an_order(spark):
+    import pytest
+    target = spark.createDataFrame([("a", 1)], "code string, n int")
+    changes = spark.createDataFrame([("a", 2, 1), ("a", 3, 2)], "code string, n int, seq int")
+    assert m.upsert(target, changes, "code", seq="seq").collect()[0].n == 3
+    with pytest.raises(Exception, match="sequence column"):
+        m.upsert(target, changes.drop("seq"), "code").collect()
+
+
+def test_replace_links_latest_change_and_struct_elements(spark):
+    links = spark.createDataFrame([("r1", "old"), ("r2", "keep")], "region_id string, provider_id string")
+    changes = spark.createDataFrame([("r1", ["a", "b"], 1), ("r1", ["c"], 2)], "region_id string, providers array<string>, seq int")
+    assert rows(m.replace_links(links, changes)) == [("r1", "c"), ("r2", "keep")]
+    structs = spark.createDataFrame([("r1", [("x",)])], "region_id string, providers array<struct<provider_id:string>>")
+    assert rows(m.replace_links(links, structs)) == [("r1", "x"), ("r2", "keep")]
+
+
+def test_upsert_countries_does_not_depend_on_row_order(spark):
+    countries = spark.createDataFrame([], "iso_2 string, iso_3 string, num_code int, name string, display_name string, region_id string")
+    entry = "struct<iso_2:string,iso_3:string,num_code:int,name:string,display_name:string>"
+    data = [("r1", [("de", None, None, "first", None)], 2), ("r2", [("de", None, None, "second", None)], 1)]
+    for d in (data, data[::-1]):
+        got = m.upsert_countries(countries, spark.createDataFrame(d, f"region_id string, countries array<{entry}>, seq int")).collect()
+        assert [(r.name, r.region_id) for r in got] == [("second", "r1")]
+
+
+def test_repair_links_replaces_empty_links(spark):
+    regions = spark.createDataFrame([("r1",), ("r2",)], "id string")
+    links = spark.createDataFrame([("r1", None), ("r2", "p")], "region_id string, provider_id string")
+    assert rows(m.repair_links(regions, links, "manual")) == [("r1", "manual"), ("r2", "p")]
+
+
+def test_bulk_update_applies_patches_and_rejects_an_empty_list(spark):
+    import pytest
+    products = spark.createDataFrame([(1, "a", None), (2, "b", None)], "id bigint, title string, updated_at timestamp_ntz")
+    patches = spark.createDataFrame([(1, "new", ["title"]), (7, "x", ["title"])], "id bigint, title string, fields array<string>")
+    out = m.bulk_update(products, patches, ["title"], NOW)
+    assert {r.id: r.title for r in out["product"].collect()} == {1: "new", 2: "b"}
+    assert {r.id: r.success for r in out["report"].collect()} == {1: True, 7: False}
+    with pytest.raises(ValueError):
+        m.bulk_update(products, patches.where("false"), ["title"], NOW)
+
+
+def test_a_version_is_never_overwritten(spark):
+    import pytest
+    from cartwheel.plans import jobs
+    from cartwheel.session import scratch_path
+    root = scratch_path(spark, "t-version")
+    jobs.publish(spark, {"t": spark.range(3)}, root, "1")
+    with pytest.raises(Exception, match="already exists"):
+        jobs.publish(spark, {"t": spark.range(4)}, root, "1")
+
+
+def test_a_month_is_written_by_several_tasks(spark):
+    from cartwheel.session import scratch_path
+    from cartwheel.sources import layout
+    path = scratch_path(spark, "t-month")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).cast("timestamp_ntz").alias("created_at"))
+        layout.write_by_month(df, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    files = spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1 and spark.read.parquet(path).count() == 20_000

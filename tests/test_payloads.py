@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from cartwheel.operators import payloads as pl
-from cartwheel.sources.events import CART_EVENT_SCHEMA
+from cartwheel.sources.events import CART_EVENT_SCHEMA, ORDER_EVENT_SCHEMA
 from tests.conftest import ts
 
 
@@ -70,24 +70,83 @@ def test_add_to_cart_value_and_session_fallback(spark):
     assert ga.client_id.startswith("1704067200000.")
 
 
-def test_large_order_is_split_in_bounded_parts(spark):
-    from cartwheel.sources.commerce import Commerce
-    from cartwheel.plans import q_events as qe
-    c = Commerce(spark, "/root/testdata/sf0.001")
-    o = pl.order_enriched(c.orders, c.line_items, qe._catalog(c), c.customers, qe._addresses(c),
-                          max_items_per_part=2)
-    parts = o.select("id", "part", "parts", F.size(F.coalesce("items", F.array())).alias("n"), "units")
-    per_order = parts.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("rows"),
-                                        F.max("parts").alias("parts"), F.max("units").alias("units"))
-    want = c.line_items.groupBy(F.col("order_id").alias("id")).agg(F.count("*").alias("n"),
-                                                                   F.sum("quantity").alias("units"))
-    got = {r.id: r for r in per_order.collect()}
-    for r in want.collect():
-        g = got[r.id]
-        assert g.n == r.n and g.units == r.units and g.rows <= g.parts    # whole, nothing dropped
-    assert max(g.rows for g in got.values()) > 1
-    pay = pl.purchase_conversion(o, qe._order_events(c))
-    assert pay.select("id", "part").distinct().count() == pay.count()
+ORDER_FIELDS = ("id bigint, customer_id bigint, total bigint, currency_code string, created_at timestamp_ntz")
+
+
+def big_order(spark, lines=1200):
+    orders = spark.createDataFrame([(1, 5, 120000, "eur", ts(2024, 1, 1)), (2, None, 50, "eur", ts(2024, 1, 1))], ORDER_FIELDS)
+    items = spark.range(lines).select(
+        F.lit(1).cast("bigint").alias("order_id"), ((F.col("id") * 7919) % lines).cast("int").alias("line_number"),
+        F.when(F.col("id") % 10 != 0, F.col("id") % 40).alias("variant_id"), F.lit(1).alias("quantity"),
+        F.lit(100).cast("bigint").alias("unit_price"), F.lit(3).cast("bigint").alias("tax_total"))
+    catalog = spark.range(40).select(F.col("id").alias("variant_id"), F.col("id").alias("product_id"), F.concat(F.lit("s"), "id").alias("sku"),
+                                     F.lit("t").alias("product_title"), F.lit("x").alias("product_type"), F.lit(1).alias("first_amount"))
+    customers = spark.createDataFrame([(5, "e@x", "1", "f", "l", 1), (6, "other@x", "2", "g", "m", 1)],
+                                      "id bigint, email string, phone string, first_name string, last_name string, nation_id int")
+    addresses = spark.createDataFrame([(1, "c", "p", "z", "cc")], "nation_id int, city string, province string, postal_code string, country_code string")
+    return orders, items, catalog, customers, addresses
+
+
+def placed(spark, *rows):
+    return spark.createDataFrame([("order.placed", i, c, ts(2024, 1, 2), None) for i, c in rows], ORDER_EVENT_SCHEMA)
+
+
+def test_an_order_of_any_size_gives_one_payload(spark):
+    orders, items, catalog, customers, addresses = big_order(spark)
+    o = pl.order_enriched(orders, items, catalog, customers, addresses)
+    assert "part" not in o.columns and o.count() == 2
+    events = placed(spark, (1, 5))
+    p = pl.purchase_conversion(o, events).collect()
+    assert len(p) == 1 and p[0].payload.custom_data.num_items == 1200 and p[0].payload.custom_data.value == 1200.0
+    g = pl.ga_purchase(o, events).collect()
+    params = g[0].payload.events[0].params
+    assert len(g) == 1 and [i["index"] for i in params.items] == list(range(1200)) and params.tax == 36.0
+
+
+def test_item_rows_have_their_position_in_the_whole_order(spark, monkeypatch):
+    monkeypatch.setattr(pl, "ITEMS_PER_TASK", 100)   # the order spans twelve runs
+    _, items, catalog, _, _ = big_order(spark)
+    rows = pl.order_item_rows(items, catalog).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1200)) == [r.line_number for r in rows]
+    assert all((r.sku is None) == (r.variant_id is None) for r in rows)
+    h = pl.order_headers(items).collect()
+    assert [(r.id, r.units, r.tax_total, r.n_items) for r in h] == [(1, 1200, 3600, 1200)]
+
+
+def test_the_customer_is_that_of_the_event(spark):
+    orders, items, catalog, customers, addresses = big_order(spark, 3)
+    o = pl.order_enriched(orders, items, catalog, customers, addresses)
+    email = lambda c: pl.purchase_conversion(o, placed(spark, (1, c)), customers=customers).collect()[0].payload.user_data.em
+    assert email(5) == sha("e@x") and email(6) == sha("other@x") and email(None) is None
+    client = pl.ga_purchase(o, placed(spark, (1, None))).collect()[0].payload.client_id
+    assert client.startswith("1704153600000.")
+
+
+def test_one_payload_per_view(spark):
+    catalog = spark.createDataFrame([(v, 9, f"s{v}", "T", "x", 100 * v) for v in (3, 1, 2)],
+                                    "variant_id bigint, product_id bigint, sku string, product_title string, product_type string, first_amount bigint")
+    views = spark.createDataFrame([(1, ts(2024, 1, 1), "u", 9, "s", 3), (2, ts(2024, 1, 1), "u", 9, "s", None), (3, ts(2024, 1, 1), "u", None, "s", None)],
+                                  "id bigint, ts timestamp_ntz, user_id string, product_id bigint, session_id string, variant_id bigint")
+    for v, want in ((views, {1: 3.0, 2: 1.0, 3: 0.0}), (views.drop("variant_id"), {1: 1.0, 2: 1.0, 3: 0.0})):
+        got = {r.id: r.payload.custom_data.value for r in pl.view_content_conversion(v, catalog).collect()}
+        assert got == want and pl.ga_view_item(v, catalog).count() == 3
+
+
+def test_missing_cart_quantity_is_one(spark):
+    rows = spark.createDataFrame([(1, ts(2024, 1, 1), "add", 7, None, None, "k", "P", "T", 250)],
+                                 "id bigint, ts timestamp_ntz, action string, variant_id bigint, quantity int, metadata struct<clientIp:string,"
+                                 "userAgent:string,fbc:string,fbp:string,sessionId:string,gaSessionId:string,userId:string>, sku string, "
+                                 "product_title string, product_type string, first_amount bigint")
+    params = pl.ga_cart(rows, "add").collect()[0].payload.events[0].params
+    assert params.value == 2.5 and params.items[0].quantity == 1
+
+
+def test_null_keys_are_dealt_out(spark):
+    from cartwheel.functions.cols import left_join_spread
+    left = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("k"), "id")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, name string")
+    got = sorted(left_join_spread(left, right, "k").select("id", "name").collect(), key=str)
+    assert got == sorted(left.join(right, "k", "left").select("id", "name").collect(), key=str)
 
 
 def test_salted_join_matches_plain(spark):

@@ -61,7 +61,7 @@ def test_top_products_hot_order_and_variant(spark):
     assert got == [(int(p), int(u), int(r)) for p, u, r in zip(agg.product_id, agg.units, agg.rev)]
 
 
-def test_hot_order_items_split_but_whole(spark):
+def test_hot_order_items_are_whole(spark):
     li = lines_pdf()
     lines = spark.createDataFrame(li)
     orders = spark.createDataFrame(orders_pdf()).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
@@ -70,11 +70,12 @@ def test_hot_order_items_split_but_whole(spark):
     customers = spark.createDataFrame(pd.DataFrame({"id": range(100), "email": "e", "phone": "p", "first_name": "f",
                                                     "last_name": "l", "nation_id": 1}))
     addresses = spark.createDataFrame(pd.DataFrame({"nation_id": [1], "city": ["c"]}))
-    e = pl.order_enriched(orders, lines, catalog, customers, addresses, max_items_per_part=100)
-    hot = e.filter(F.col("id") == 7).select("part", "parts", F.size("items").alias("n"), "units").collect()
-    assert len(hot) > 10 and max(r.n for r in hot) < 200            # bounded lists
-    assert sum(r.n for r in hot) == int((li.order_id == 7).sum())   # nothing dropped
-    assert hot[0].units == int(li[li.order_id == 7].quantity.sum())
+    e = pl.order_enriched(orders, lines, catalog, customers, addresses)
+    hot = e.filter(F.col("id") == 7).select(F.size("items").alias("n"), "units").collect()
+    assert [(r.n, r.units) for r in hot] == [(int((li.order_id == 7).sum()), int(li[li.order_id == 7].quantity.sum()))]
+    rows = pl.order_item_rows(lines, catalog).filter("order_id = 7").select("position", "line_number").orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(hot[0].n))
+    assert [r.line_number for r in rows] == sorted(li[li.order_id == 7].line_number)
 
 
 def test_survivor_in_a_huge_duplicate_group(spark):

@@ -19,7 +19,7 @@ def test_outbox_stream_equals_batch(spark):
         outbox.start_outbox(spark, f"{SF}/events.parquet*", catalog, box, ckpt, sink).awaitTermination()
     enriched = pl.cart_enriched(pl.cart_delta(ev.cart_events(c.raw("events"))), catalog)
     for sink in outbox.SINKS:
-        streamed = outbox.read_outbox(spark, box, sink).drop("batch_id")
+        streamed = outbox.read_outbox(spark, box, sink).drop("batch_id", "source")
         batch = outbox.payload_frame(enriched, sink)
         assert streamed.count() == batch.count() > 0
         assert streamed.exceptAll(batch).count() == 0
@@ -33,12 +33,12 @@ def test_outbox_stream_equals_batch(spark):
 def test_rate_limit_stream_with_watermark(spark):
     raw = ev.read_events_stream(spark, f"{SF}/events.parquet*")
     log = ev.request_log(raw)
-    viol = rate_limit.rate_limit_violations(log, max_requests=1, watermark="15 minutes")
+    viol = rate_limit.rate_limit_violations(log, {"admin": 0, "store": 1}, watermark="15 minutes")
     q = viol.writeStream.format("memory").queryName("rl_test").outputMode("append") \
         .trigger(availableNow=True).start()
     q.awaitTermination()
     streamed = spark.table("rl_test").count()
-    batch = rate_limit.rate_limit_violations(ev.request_log(Commerce(spark, SF).raw("events")), 1)
+    batch = rate_limit.rate_limit_violations(ev.request_log(Commerce(spark, SF).raw("events")), {"admin": 0, "store": 1})
     # append mode emits windows closed by the watermark; the last open windows stay in state
     assert 0 < streamed <= batch.count()
 
@@ -59,6 +59,38 @@ def test_salted_outbox_equals_plain(spark):
     outbox.start_outbox(spark, f"{SF}/events.parquet*", catalog, box, ckpt, "measurement",
                         salt_buckets=4).awaitTermination()
     enriched = pl.cart_enriched(pl.cart_delta(ev.cart_events(c.raw("events"))), catalog)
-    streamed = outbox.read_outbox(spark, box, "measurement").drop("batch_id")
+    streamed = outbox.read_outbox(spark, box, "measurement").drop("batch_id", "source")
     assert streamed.exceptAll(outbox.payload_frame(enriched, "measurement")).count() == 0
     assert streamed.count() == outbox.payload_frame(enriched, "measurement").count()
+
+
+def test_one_broken_sink_does_not_stop_the_other(spark):
+    from cartwheel.plans import q_events as qe
+    c = Commerce(spark, SF)
+    orders = outbox.snapshot_catalog(spark, qe._orders_enriched(c))
+    box, ckpt = scratch_path(spark, "t-outbox-broken"), scratch_path(spark, "t-ckpt-broken")
+    placed = lambda: ev.order_events(outbox.read_orders_stream(spark, f"{SF}/orders.parquet*"))
+    broken = orders.withColumn("total", F.raise_error(F.lit("broken")).cast("bigint"))
+    started = [outbox.start_order_outbox(placed(), broken, box, ckpt, "pixel"),
+               outbox.start_order_outbox(placed(), orders, box, ckpt, "measurement")]
+    assert len(outbox.finish(started)) == 1
+    assert outbox.read_outbox(spark, box, "measurement").count() == c.orders.count()
+
+
+def test_own_event_files_feed_the_streams(spark):
+    from cartwheel.plans import q_events as qe
+    c = Commerce(spark, SF)
+    path, box, ckpt = (scratch_path(spark, f"t-own-{x}") for x in ("events", "box", "ckpt"))
+    ev.order_events(c.raw("orders")).write.json(path)
+    orders = outbox.snapshot_catalog(spark, qe._orders_enriched(c))
+    outbox.start_order_outbox(ev.read_order_events(spark, path), orders, box, ckpt, "pixel").awaitTermination()
+    assert outbox.read_outbox(spark, box, "pixel").count() == c.orders.count()
+
+
+def test_scopes_and_admin_login(spark):
+    log = spark.createDataFrame([("a", p) for p in ("/admin/x", "/admin/auth/session", "/store/x", "/storefront", None, "/auth", "/admin")],
+                                "client string, path string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    count = lambda **k: {r.scope: r.requests for r in rate_limit.request_windows(log, **k).collect()}
+    assert count() == {"admin": 3, "store": 1} and count(skip_auth=True) == {"admin": 2, "store": 1}
+    hit = rate_limit.rate_limit_violations(log, {"admin": 2, "store": 2}).collect()
+    assert [(r.client, r.scope) for r in hit] == [("a", "admin")]
