@@ -25,6 +25,11 @@ def js_round(c) -> Column:
     return F.floor(col(c) + F.lit(0.5)).cast("bigint")
 
 
+def number_or_zero(c) -> Column:
+    """``parseFloat(x) || 0``: text that is no number counts as 0."""
+    return F.coalesce(col(c).try_cast("double"), F.lit(0.0))
+
+
 def falsy(c, kind: str) -> Column:
     """NULL where JavaScript would treat the value as falsy.
 

@@ -350,11 +350,15 @@ def add_column_backfill(df: DataFrame, column: str = "includes_tax", default: bo
 
 def merge_metadata(regions: DataFrame, ids: DataFrame, patch: dict[str, str] = METADATA_PATCH) -> DataFrame:
     """``metadata = COALESCE(metadata, '{}') || patch`` on the given
-    regions; on a key clash the patch wins (LAST_WIN map dedup)."""
+    regions; on a key clash the patch wins (LAST_WIN map dedup). Metadata kept
+    as JSON text is parsed, merged and written back as text."""
     hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
     pm = F.create_map(*[F.lit(x) for kv in patch.items() for x in kv])
     j = regions.join(hit, "id", "left")
-    merged = F.map_concat(F.coalesce(F.col("metadata"), empty_string_map()), pm)
+    text = isinstance(regions.schema["metadata"].dataType, T.StringType)
+    held = F.from_json("metadata", T.MapType(T.StringType(), T.StringType())) if text else F.col("metadata")
+    merged = F.map_concat(F.coalesce(held, empty_string_map()), pm)
+    merged = F.to_json(merged) if text else merged
     return j.select(*[F.when(F.col("__hit"), merged).otherwise(F.col(c)).alias(c) if c == "metadata"
                       else F.col(c) for c in regions.columns])
 

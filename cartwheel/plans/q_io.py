@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartwheel.functions.cols import iso_timestamp
 from cartwheel.operators import maintain as m
 from cartwheel.plans import q_events as qe
 from cartwheel.plans import q_maintain, reports
@@ -38,6 +39,7 @@ def report_sink(spark, sf_dir):
     c = commerce(spark, sf_dir)
     report = reports.sales_report(c.orders, c.line_items, c.variants, c.products, REPORT_PERIOD,
                                   ORDERS_AS_OF, c.excluded_status)
+    report = report.withColumn("start", iso_timestamp("start")).withColumn("end", iso_timestamp("end"))
     path = scratch_path(spark, "sales-report")
     report.coalesce(1).write.json(path)
     return spark.read.text(path)

@@ -224,3 +224,10 @@ def test_a_month_is_written_by_several_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", old)
     files = spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().count()
     assert files > 1 and spark.read.parquet(path).count() == 20_000
+
+
+def test_metadata_kept_as_text_is_merged(spark):
+    regions = spark.createDataFrame([("r1", '{"a": "1"}'), ("r2", None)], "id string, metadata string")
+    ids = regions.select("id")
+    got = {r.id: r.metadata for r in m.merge_metadata(regions, ids, {"a": "2", "b": "3"}).collect()}
+    assert got == {"r1": '{"a":"2","b":"3"}', "r2": '{"a":"2","b":"3"}'}

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import datetime as dt
 
 from cartwheel.operators import customers as cu
@@ -95,3 +96,29 @@ def test_month_partitioned_orders_prune_partitions(spark):
         a.explain("formatted")
     pf = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PartitionFilters")][0]
     assert "created_month" in pf
+
+
+def test_reports_run_on_the_shops_own_tables(spark):
+    import datetime as dt
+
+    import pytest
+    from cartwheel.plans import reports
+    from cartwheel.session import scratch_path
+    from cartwheel.sources.commerce import Commerce
+    from cartwheel.sources.tables import Tables
+    c = Commerce(spark, "/root/testdata/sf0.001")
+    folder = scratch_path(spark, "t-shop")
+    for name, df in (("order", c.orders.withColumn("total", F.col("total").cast("string"))), ("line_item", c.line_items),
+                     ("product", c.products), ("product_variant", c.variants), ("country", c.countries.drop("region_id"))):
+        df.write.parquet(f"{folder}/{name}")
+    t = Tables(spark, folder)
+    report = lambda x: reports.sales_report(x.orders, x.line_items, x.variants, x.products, "1y", dt.datetime(2001, 8, 1), ("F",)).collect()
+    assert report(t) == report(c)
+    with pytest.raises(ValueError, match="region_id"):
+        t.countries
+
+
+def test_text_numbers(spark):
+    from cartwheel.functions.cols import number_or_zero
+    df = spark.createDataFrame([("12.5",), ("x",), (None,)], "v string")
+    assert [r.n for r in df.select(number_or_zero("v").alias("n")).collect()] == [12.5, 0.0, 0.0]
