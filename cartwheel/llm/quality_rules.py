@@ -110,8 +110,10 @@ def default_rules() -> dict[str, Column]:
 
 
 def order_rules(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules by rejections per second on a bounded sample."""
-    sample = docs.limit(sample_rows).cache()
+    """Names of the rules by rejections per second on a bounded sample: the
+    first rows that Spark finds, which it reads without scanning the rest."""
+    rows = docs.take(sample_rows)
+    sample = docs.sparkSession.createDataFrame(rows, docs.schema).cache()
     try:
         total = sample.count()
         if not total:
@@ -147,7 +149,8 @@ def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows:
     """Documents with the base measures, base_failed and kept."""
     rules = default_rules() if rules is None else rules
     base = measured(docs)
-    order = order_rules(base, rules, sample_rows)
+    measures = ["text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    order = order_rules(base.select(*measures), rules, sample_rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = base.withColumn("base_failed", failed)
     return judged.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(rules, order).isNull()))
