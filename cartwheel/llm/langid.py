@@ -78,7 +78,7 @@ def window_counts(docs: DataFrame) -> DataFrame:
                         code |= back << np.uint32(8 * k)
                     grams, n = np.unique(code, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
+                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
                         names=["lang", "gram", "n"])
 
     counted = docs.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
