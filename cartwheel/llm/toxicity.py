@@ -7,8 +7,10 @@ Training (labelled rows of the training fold; a bounded sample of them):
    that loses no toxic document, so a term is a whole word or a stem.
 2. Words near the hits are counted by label: the context window.
 3. A logistic regression weighs what a document's hits show: exact and
-   misspelled hits, distinct terms, density, hits between quotation marks or
-   after reporting words (quotation rather than abuse), and the context score.
+   misspelled hits, weights of the terms, density, hits between quotation marks
+   or after reporting words (quotation rather than abuse), and the context
+   score. It is fitted on either half of the sample with the lexicon of the
+   other half, so that terms found by chance do not look better than they are.
 
 Scoring walks each distinct word through the product of the trie and the
 Levenshtein automaton (insertions, deletions, substitutions within a term's
@@ -41,6 +43,8 @@ MAX_DOCS = 4000
 MAX_TERMS = 128
 MAX_CONTEXT_WORDS = 2000
 MIN_LOG_ODDS = 3.0
+#: Weight (log odds less one standard error) from which misspellings count.
+STRONG = 4.0
 WINDOW = 5
 CACHE_WORDS = 400_000
 THRESHOLD = 0.3
@@ -61,8 +65,11 @@ class ToxicityModel:
     prior: float = 0.0
 
 
-def edit_limit(term: str, stem: bool) -> int:
-    """Misspellings allowed: none in short terms, whose neighbours are words."""
+def edit_limit(term: str, stem: bool, weight: float) -> int:
+    """Misspellings allowed: only in long terms of strong weight, since the
+    neighbours of short or doubtful ones are other words."""
+    if weight < STRONG:
+        return 0
     return (1 if len(term) >= 6 else 0) if stem else (2 if len(term) >= 9 else 1 if len(term) >= 5 else 0)
 
 
@@ -75,7 +82,7 @@ class LexiconAutomaton:
     MAX_STATES = 50_000
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
-        self.limits = [edit_limit(t, s) for t, s, _ in terms]
+        self.limits = [edit_limit(*t) for t in terms]
         self.children: list[dict[str, int]] = [{}]
         self.budget = [0]
         self.ends: list[list[tuple[int, bool]]] = [[]]
@@ -185,7 +192,7 @@ class Matcher(dict):
     def features(self, text: str) -> list[float]:
         words, hits = self.hits(text)
         if not hits:
-            return [1.0] + [0.0] * 7
+            return [1.0] + [0.0] * 8
         quoted, context = 0.0, 0.0
         for i, _, _ in hits:
             near = words[max(0, i - WINDOW):i + 1 + WINDOW]
@@ -194,9 +201,9 @@ class Matcher(dict):
             quoted += marks >= 2 or any(w in REPORTING for w in window)
             context += math.tanh(sum(self.model.context.get(w, 0.0) for w in window) / WINDOW)
         exact = sum(e == 0 for _, _, e in hits)
-        weight = sum(self.model.terms[k][2] for k in {k for _, k, _ in hits})
-        return [1.0, 1.0, len({k for _, k, _ in hits}), math.log1p(exact), math.log1p(len(hits) - exact),
-                min(weight, 20.0) * min(1.0, 20 * len(hits) / len(words)) / 10, quoted / len(hits), context / len(hits)]
+        weights = [self.model.terms[k][2] for k in {k for _, k, _ in hits}]
+        return [1.0, 1.0, min(sum(weights), 20.0) / 5, max(weights) / 5, math.log1p(exact), math.log1p(len(hits) - exact),
+                min(1.0, 20 * len(hits) / len(words)), quoted / len(hits), context / len(hits)]
 
 
 def log_odds(n_toxic, n_clean, toxic: int, clean: int):
@@ -242,9 +249,9 @@ def choose_terms(rows, toxic: int, clean: int, max_terms: int) -> list[tuple[str
     """Lexicon from counted terms: whole words first, then the longest stems
     that stand for words which no chosen term explains."""
     odds = {(r["term"], r["stem"]): float(log_odds(r["n_toxic"], r["n_clean"], toxic, clean)) for r in rows}
+    error = {(r["term"], r["stem"]): math.sqrt(1 / (r["n_toxic"] + 0.5) + 1 / (r["n_clean"] + 0.5)) for r in rows}
     count = {(r["term"], r["stem"]): r["n_toxic"] for r in rows}
     chosen: list[tuple[str, bool, float]] = []
-    explained: set[str] = set()
     for (term, stem) in sorted(count, key=lambda k: (-count[k], k[1], -len(k[0]), k[0])):
         if len(chosen) >= max_terms or odds[term, stem] < MIN_LOG_ODDS:
             continue
@@ -252,7 +259,7 @@ def choose_terms(rows, toxic: int, clean: int, max_terms: int) -> list[tuple[str
             continue
         if stem and any(count.get((term + c, True), 0) >= 0.98 * count[term, True] for c in {t[len(term)] for t, s in count if s and len(t) == len(term) + 1 and t.startswith(term)}):
             continue
-        chosen.append((term, stem, odds[term, stem]))
+        chosen.append((term, stem, odds[term, stem] - error[term, stem]))
     return chosen
 
 
@@ -270,21 +277,23 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MAX_DOCS, max_terms: int = MAX_TERMS) -> ToxicityModel:
-    spark = docs.sparkSession
-    sample = written(training_sample(docs, labels, trains, max_docs), "toxicity-sample")
+def lexicon(sample: DataFrame, max_terms: int) -> list[tuple[str, bool, float]]:
+    """Terms of a sample (text, toxic); none without both labels."""
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    model = ToxicityModel(prior=toxic / max(1, toxic + clean))
     if not toxic or not clean:
-        return model
+        return []
     support = max(3, math.ceil(0.004 * toxic))
     # far more beginnings than words are tried, so they need more support
     counted = count_terms(sample).where(F.col("n_toxic") >= F.when(F.col("stem"), 2 * support).otherwise(support))
     odds = F.log((F.col("n_toxic") + 0.5) / (toxic + 0.5 - F.col("n_toxic"))) - F.log((F.col("n_clean") + 0.5) / (clean + 0.5 - F.col("n_clean")))
     likely = counted.where(odds >= MIN_LOG_ODDS).orderBy(F.desc("n_toxic"), "term", "stem").limit(40 * max_terms).collect()
-    model.terms = choose_terms(likely, toxic, clean, max_terms)
-    shared = spark.sparkContext.broadcast(model)
+    return choose_terms(likely, toxic, clean, max_terms)
+
+
+def context_words(sample: DataFrame, model: ToxicityModel) -> dict[str, float]:
+    """Log odds of the words near hits; none without hits in clean documents."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
@@ -300,21 +309,39 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MA
     windows = sample.mapInArrow(near, "word string, n_toxic long, n_clean long").groupBy("word").agg(
         F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     total = windows.agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).first()
-    if total["t"] and total["c"]:  # without clean hits the windows tell nothing apart
-        rows = windows.where((F.col("n_toxic") + F.col("n_clean") >= 5) & (F.col("word") != "")).orderBy(
-            F.desc(F.col("n_toxic") + F.col("n_clean")), "word").limit(MAX_CONTEXT_WORDS).collect()
-        model.context = {r["word"]: float(np.log((r["n_toxic"] + 1) / (total["t"] + 1)) - np.log((r["n_clean"] + 1) / (total["c"] + 1))) for r in rows}
-    shared_context = spark.sparkContext.broadcast(model)
+    if not total["t"] or not total["c"]:
+        return {}
+    rows = windows.where((F.col("n_toxic") + F.col("n_clean") >= 5) & (F.col("word") != "")).orderBy(
+        F.desc(F.col("n_toxic") + F.col("n_clean")), "word").limit(MAX_CONTEXT_WORDS).collect()
+    return {r["word"]: float(np.log((r["n_toxic"] + 1) / (total["t"] + 1)) - np.log((r["n_clean"] + 1) / (total["c"] + 1))) for r in rows}
+
+
+def feature_rows(sample: DataFrame, model: ToxicityModel) -> list:
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared_context.value)
+        matcher = Matcher(shared.value)
         for batch in batches:
             x = [matcher.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.int64())], names=["x", "toxic"])
 
-    found = sample.mapInArrow(rows_of, "x array<double>, toxic long").collect()  # bounded by the sample
-    x = np.array([r["x"] for r in found])
-    model.weights = fit_weights(x, np.array([r["toxic"] for r in found], float))
+    return sample.mapInArrow(rows_of, "x array<double>, toxic long").collect()  # bounded by the sample
+
+
+def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MAX_DOCS, max_terms: int = MAX_TERMS) -> ToxicityModel:
+    sample = written(training_sample(docs, labels, trains, max_docs), "toxicity-sample")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    toxic, clean = n.get(1, 0), n.get(0, 0)
+    model = ToxicityModel(prior=toxic / max(1, toxic + clean))
+    if not toxic or not clean:
+        return model
+    model.terms = lexicon(sample, max_terms)
+    model.context = context_words(sample, model)
+    found, half = [], F.pmod(F.xxhash64("text"), F.lit(2))
+    for k in (0, 1):
+        other = ToxicityModel(terms=lexicon(sample.where(half != k), max_terms), context=model.context)
+        found += feature_rows(sample.where(half == k), other)
+    model.weights = fit_weights(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
     return model
 
 

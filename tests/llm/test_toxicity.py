@@ -29,8 +29,8 @@ def test_automaton_equals_edit_distance():
         words.append("".join(w))
     for w in words:
         best = []
-        for k, (term, stem, _) in enumerate(TERMS):
-            limit = t.edit_limit(term, stem)
+        for k, (term, stem, weight) in enumerate(TERMS):
+            limit = t.edit_limit(term, stem, weight)
             d = min(distance(term, w[:n]) for n in range(len(w) + 1)) if stem else distance(term, w)
             if d <= limit:
                 best.append((d, k))
