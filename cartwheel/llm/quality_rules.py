@@ -23,7 +23,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cartwheel.llm.common import SPACE_PATTERN, words
+from cartwheel.llm.common import words
 
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
@@ -36,14 +36,8 @@ def word_list(text: Column) -> Column:
     return words(text)
 
 
-def char_count(text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_PATTERN, "")).cast("long")
-
-
 def symbol_count(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return sum((F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in SYMBOLS[1:-1]), F.lit(0)).cast("long")
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOLS), F.lit(0))).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -52,44 +46,55 @@ def duplicate_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def window_hashes(word_array: Column) -> Column:
-    """64-bit hash of every 3-word window (no window: an empty array)."""
-    return F.when(F.size(word_array) < 3, F.array().cast("array<bigint>")).otherwise(
-        F.zip_with(F.zip_with(word_array, F.slice(word_array, 2, F.greatest(F.size(word_array) - 1, F.lit(0))),
-                              lambda a, b: F.when(b.isNull(), F.lit(None)).otherwise(F.xxhash64(a, b))),
-                   F.slice(word_array, 3, F.greatest(F.size(word_array) - 2, F.lit(0))),
-                   lambda ab, c: F.when(c.isNull(), F.lit(None)).otherwise(F.xxhash64(ab, c))))
-
-
-def repeated_words(word_array: Column, hashes: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in the text."""
-    held = F.filter(hashes, lambda h: h.isNotNull())
-    repeats = F.size(held) > F.size(F.array_distinct(held))
-    # (hash, place) sorted by hash: a window repeats if a neighbour has its hash
-    placed = F.array_sort(F.zip_with(held, F.sequence(F.lit(0), F.greatest(F.size(held) - 1, F.lit(0))),
-                                     lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    start = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("i"))
-    ahead = F.concat(F.slice(placed, 2, F.size(placed)), F.array(start))
-    behind = F.concat(F.array(start), F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))))
-    same = F.zip_with(F.zip_with(placed, behind, lambda x, b: F.struct(x.alias("x"), (x["h"] == b["h"]).alias("b"))), ahead,
-                      lambda xb, a: F.when(F.coalesce(xb["b"], F.lit(False)) | F.coalesce(xb["x"]["h"] == a["h"], F.lit(False)), xb["x"]["i"]))
-    places = F.array_sort(F.filter(same, lambda i: i.isNotNull()))
-    # windows overlap: each adds the words up to the next repeated window, 3 at most
-    following = F.concat(F.slice(places, 2, F.size(places)), F.array(F.lit(1 << 30)))
-    covered = F.aggregate(F.zip_with(places, following, lambda i, j: F.least(j - i, F.lit(3))), F.lit(0), lambda acc, n: acc + n)
-    return F.when(repeats, covered).otherwise(0).cast("long")
+def window_hashes(word_array: str) -> Column:
+    """64-bit hash of every 3-word window of an array column."""
+    w = F.col(word_array)
+    hashes = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.slice(hashes, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+
+
+def placed_windows(hashes: str) -> Column:
+    """(hash, place) sorted by hash; null for a text without a repeated hash."""
+    h = F.col(hashes)
+    places = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)))
+    pairs = F.zip_with(h, places, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    return F.when(F.size(h) > F.size(F.array_distinct(h)), F.sort_array(pairs))
+
+
+def repeated_places(placed: str) -> Column:
+    """Sorted places of the windows with a neighbour of equal hash."""
+    x = F.col(placed)
+    none = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("i"))
+    behind = F.concat(F.array(none), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))))
+    ahead = F.concat(F.slice(x, 2, F.size(x)), F.array(none))
+    after = F.zip_with(x, behind, lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("same")))
+    hit = F.zip_with(after, ahead, lambda a, b: F.when(a["same"] | F.coalesce(a["h"] == b["h"], F.lit(False)), a["i"]))
+    return F.sort_array(F.array_compact(hit))
+
+
+def covered_words(places: str) -> Column:
+    """Words in 3-word windows at these places: each adds the words up to the
+    next repeated window, 3 at most."""
+    p = F.col(places)
+    following = F.concat(F.slice(p, 2, F.size(p)), F.array(F.lit(1 << 30)))
+    gaps = F.zip_with(p, following, lambda i, j: F.least(j - i, F.lit(3)))
+    return F.coalesce(F.aggregate(gaps, F.lit(0), lambda acc, n: acc + n), F.lit(0)).cast("long")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Documents with the base measures, arrays computed once per document."""
-    step = docs.withColumn("_words", word_list(F.col("text")))
-    step = step.withColumn("_windows", window_hashes(F.col("_words")))
-    return (step.withColumn("n_words", F.size("_words").cast("long"))
-            .withColumn("word_chars", char_count(F.col("text")))
-            .withColumn("n_symbols", symbol_count(F.col("text")))
-            .withColumn("n_dup_lines", duplicate_lines(F.col("text")))
-            .withColumn("n_repeat_words", repeated_words(F.col("_words"), F.col("_windows")))
-            .drop("_words", "_windows"))
+    """Documents with the base measures. Each step is a projection of its own,
+    so that an array is computed once however often the next step reads it."""
+    text = F.col("text")
+    return (docs.withColumn("_words", word_list(text))
+            .withColumn("_windows", window_hashes("_words"))
+            .withColumn("_placed", placed_windows("_windows"))
+            .withColumn("_places", repeated_places("_placed"))
+            .withColumn("n_words", F.size("_words").cast("long"))
+            .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+            .withColumn("n_symbols", symbol_count(text))
+            .withColumn("n_dup_lines", duplicate_lines(text))
+            .withColumn("n_repeat_words", covered_words("_places"))
+            .drop("_words", "_windows", "_placed", "_places"))
 
 
 def default_rules() -> dict[str, Column]:
