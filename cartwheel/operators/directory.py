@@ -97,14 +97,19 @@ def region_directory(regions: DataFrame, fulfillment_links: DataFrame, payment_l
     )
 
 
-def region_lookup(region_dir: DataFrame, ids: DataFrame) -> DataFrame:
-    """F11 as a batch: requested ids left-joined to the directory; ``found``
-    is false for ids that do not exist (the reference answers 404)."""
+def found_or_not(directory: DataFrame, ids: DataFrame) -> DataFrame:
+    """F11 as a batch: requested ids left-joined to a directory; ``found`` is
+    false for ids that do not exist (the reference answers 404)."""
     req = ids.select(F.col("id").alias("requested_id")).distinct()
-    return (req.join(region_dir, req.requested_id == region_dir.id, "left")
+    return (req.join(directory, req.requested_id == directory.id, "left")
             .withColumn("found", F.col("id").isNotNull()))
 
 
+def region_lookup(region_dir: DataFrame, ids: DataFrame) -> DataFrame:
+    """F11 for regions."""
+    return found_or_not(region_dir, ids)
+
+
 def region_shipping_options(options: DataFrame, region_id: str | None = None) -> DataFrame:
     """F14 (+F9): live shipping options, optionally of one region, with the
     by-region defaults (``is_return``, ``admin_only`` false; empty
@@ -179,7 +184,8 @@ def shipping_option_directory(options: DataFrame, regions: DataFrame, profiles:
 def shipping_option_lookup(options: DataFrame, regions: DataFrame, profiles: DataFrame,
                            ids: DataFrame) -> DataFrame:
     """F11 for options: by-id read, which does *not* hide soft-deleted rows
-    (S15). Batch form: one row per requested id that exists."""
+    (S15). Batch form: one row per requested id that exists; see
+    :func:`found_or_not` for those that do not."""
     o = options.join(ids.select("id").distinct(), "id", "left_semi")
     return _option_projection(_options_joined(o, regions, profiles), options.schema)
 
