@@ -18,10 +18,10 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from cartwheel.plans import registry  # noqa: E402
 from cartwheel.session import local_session  # noqa: E402
 
-SKIP = {"conversion_outbox", "report_sink", "table_writeback"}  # these run jobs while building the frame
+SKIP = {"conversion_outbox", "report_sink", "table_writeback", "load_tables"}  # these run jobs while building the frame
 # dedupe_regions / dedupe_region_children checkpoint their survivor mapping first, so their plans start
 # from the checkpointed rows.
 
@@ -35,7 +35,7 @@ def main() -> None:
           "pushed = scans with pushed filters / all scans.\n")
     print("| key | shuffles | bcast | SMJ | BHJ | partial aggs | pushed / scans |")
     print("|---|---|---|---|---|---|---|")
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(registry.queries().items()):
         if name in SKIP:
             continue
         buf = io.StringIO()
