@@ -98,22 +98,28 @@ def training_sample(docs: DataFrame, trains: Column, max_docs: int) -> DataFrame
 
 def train(docs: DataFrame, trains: Column, max_docs: int = MAX_DOCS, max_contexts: int = MAX_CONTEXTS,
           max_symbols: int = MAX_SYMBOLS) -> PpmModel:
-    counts = window_counts(training_sample(docs, trains, max_docs)).toPandas()  # of a bounded sample
-    return build(counts["lang"].to_numpy(), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64),
+    counts = window_counts(training_sample(docs, trains, max_docs)).toArrow()  # of a bounded sample
+    lang = counts["lang"].combine_chunks().dictionary_encode()
+    names = np.array(lang.dictionary.to_pylist(), dtype=object)
+    return build(names, lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts["gram"].to_numpy(), counts["n"].to_numpy(),
                  max_contexts, max_symbols)
 
 
-def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int, max_symbols: int) -> PpmModel:
-    """Cost table of the context trees of windows (oldest byte in the high bits)."""
-    languages = sorted(set(lang.tolist()))
-    last = (gram & 255).astype(np.int64)
-    per_byte = np.bincount(last, weights=n, minlength=256)
+#: Contexts whose costs are worked out at once, which bounds the driver's memory.
+CHUNK = 512
+
+
+def build(names: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int, max_symbols: int) -> PpmModel:
+    """Cost table of the context trees of windows (oldest byte in the high
+    bits) with their language numbers and counts."""
+    languages = sorted(names.tolist())
+    which = np.array([languages.index(x) for x in names.tolist()], dtype=np.int64)[lang] if len(lang) else np.empty(0, np.int64)
+    per_byte = np.bincount(gram & 255, weights=n, minlength=256)
     kept = [int(b) for b in np.argsort(-per_byte, kind="stable") if per_byte[b] > 0][:max_symbols]
     symbol = np.zeros(256, dtype=np.int32)
     symbol[sorted(kept)] = np.arange(1, len(kept) + 1)
     size = len(kept) + 1
     s = [symbol[(gram >> (8 * k)) & 255].astype(np.int64) for k in range(4)]  # s[0] newest
-    which = np.array([languages.index(x) for x in lang.tolist()], dtype=np.int64) if len(lang) else np.empty(0, np.int64)
 
     def rows_of(code: np.ndarray, limit: int | None) -> np.ndarray:
         values, inverse = np.unique(code, return_inverse=True)
@@ -122,40 +128,41 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int,
         weight = np.bincount(inverse, weights=n)
         return np.sort(values[np.argsort(-weight, kind="stable")[:limit]])
 
-    codes = [None, s[1], s[2] * size + s[1], (s[3] * size + s[2]) * size + s[1]]
+    codes = [np.zeros(len(gram), np.int64), s[1], s[2] * size + s[1], (s[3] * size + s[2]) * size + s[1]]
     nodes = [np.zeros(1, np.int64), rows_of(codes[1], None), rows_of(codes[2], None), rows_of(codes[3], max_contexts)]
     first = np.cumsum([0] + [len(x) for x in nodes])
     total = int(first[-1])
-    prob = np.empty((total, size, len(languages)))
+    bits = np.empty((total, size, len(languages)), np.float32)
+    shorter_prob = np.full((1, size, len(languages)), 1.0 / size)
     for order, values in enumerate(nodes):
-        rows = slice(int(first[order]), int(first[order + 1]))
-        if order == 0:
-            below = np.full((1, size, len(languages)), 1.0 / size)
-            at, inside = np.zeros(len(gram), np.int64), np.ones(len(gram), bool)
-        else:
-            shorter = values % size ** (order - 1)
-            below = prob[first[order - 1] + np.searchsorted(nodes[order - 1], shorter)]
-            at = np.minimum(np.searchsorted(values, codes[order]), max(0, len(values) - 1))
-            inside = values[at] == codes[order] if len(values) else np.zeros(len(gram), bool)
-        c = np.zeros((len(values), size, len(languages)))
-        np.add.at(c, (at[inside], s[0][inside], which[inside]), n[inside])
-        seen = c > 0
-        n_all, d = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        total_nd = np.maximum(n_all + d, 1)
-        left = np.maximum(1 - (below * seen).sum(1, keepdims=True), 1e-12)
-        escape = np.where(n_all > 0, d / total_nd, 1.0)
-        # all symbols seen: the escape is never used and its mass stays unused
-        prob[rows] = np.where(seen, c / total_nd, escape * below / left)
-    context = np.zeros((size, size, size), dtype=np.int32)
-    grid1 = np.zeros(size, np.int32)
-    grid1[nodes[1]] = first[1] + np.arange(len(nodes[1]))
-    grid2 = np.broadcast_to(grid1, (size, size)).copy().ravel()
-    grid2[nodes[2]] = first[2] + np.arange(len(nodes[2]))
-    grid3 = np.broadcast_to(grid2.reshape(size, size), (size, size, size)).copy().ravel()
-    grid3[nodes[3]] = first[3] + np.arange(len(nodes[3]))
-    context[:] = grid3.reshape(size, size, size)
-    bits = -np.log2(np.maximum(prob, 1e-30)).astype(np.float32).reshape(total * size, len(languages))
-    return PpmModel(languages, symbol, context, bits)
+        prob = np.empty((len(values) if order < 3 else 0, size, len(languages)))
+        at = np.searchsorted(values, codes[order])
+        event = np.argsort(at, kind="stable")
+        for lo in range(0, len(values), CHUNK):
+            part = values[lo:lo + CHUNK]
+            below = shorter_prob[np.searchsorted(nodes[order - 1], part % size ** (order - 1))] if order else shorter_prob
+            some = event[np.searchsorted(at, lo, sorter=event):np.searchsorted(at, lo + len(part), sorter=event)]
+            some = some[values[at[some]] == codes[order][some]]  # other contexts were not kept
+            c = np.zeros((len(part), size, len(languages)))
+            np.add.at(c, (at[some] - lo, s[0][some], which[some]), n[some])
+            seen = c > 0
+            n_all, d = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+            left = np.maximum(1 - (below * seen).sum(1, keepdims=True), 1e-12)
+            escape = np.where(n_all > 0, d / np.maximum(n_all + d, 1), 1.0)
+            # all symbols seen: the escape is never used and its mass stays unused
+            p = np.where(seen, c / np.maximum(n_all + d, 1), escape * below / left)
+            bits[first[order] + lo:first[order] + lo + len(part)] = -np.log2(np.maximum(p, 1e-30))
+            if order < 3:
+                prob[lo:lo + len(part)] = p
+        if order < 3:
+            shorter_prob = prob
+    grid = np.zeros(size, np.int32)
+    grid[nodes[1]] = first[1] + np.arange(len(nodes[1]))
+    for order in (2, 3):  # a context that was not kept points at its shorter one
+        grid = np.broadcast_to(grid, (size,) + grid.shape).copy().ravel()
+        grid[nodes[order]] = first[order] + np.arange(len(nodes[order]))
+        grid = grid.reshape((size,) * order)
+    return PpmModel(languages, symbol, grid, bits.reshape(total * size, len(languages)))
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
