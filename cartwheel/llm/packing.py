@@ -41,7 +41,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks of merges.
 RANKS = "byte_bpe_50k.tiktoken"
 #: Chunks a Python worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
