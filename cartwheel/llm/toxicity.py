@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cartwheel.llm.bytehash import text_buffers, text_groups
 from cartwheel.llm.common import written
+from cartwheel.llm.minhash_dedup import near_duplicates
 
 #: Bounds of the training sample (documents of each label) and of the lexicon.
 MAX_DOCS = 4000
@@ -212,16 +213,18 @@ def log_odds(n_toxic, n_clean, toxic: int, clean: int):
 
 def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int) -> DataFrame:
     """(text, toxic): at most about ``max_docs`` labelled documents of each
-    label, by a hash of the id; of copies and close copies one stays."""
+    label, by a hash of the id; of copies and close copies (a near-duplicate
+    group of operator 3) one of each label stays."""
     known = labels.where(F.col("toxic").isin(0, 1) & trains & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     unit = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, max_docs / max(1, n.get(1, 0))))).otherwise(
         F.lit(min(1.0, max_docs / max(1, n.get(0, 0)))))
     chosen = known.where(unit < share)  # a few times max_docs rows at most: may be broadcast
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    sketch = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    return texts.withColumn("sketch", sketch).groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic")
+    texts = written(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"), "toxicity-texts")
+    group = near_duplicates(texts).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))  # bounded like ``chosen``
+    first = texts.select("doc_id", "toxic").join(group, "doc_id").groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return texts.join(first.select("doc_id"), "doc_id", "left_semi").select("text", "toxic").distinct()
 
 
 def count_terms(sample: DataFrame) -> DataFrame:

@@ -76,6 +76,23 @@ def test_held_out_on_the_documents(llm):
     assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
 
 
+def test_only_copies_leave_the_training_sample(llm):
+    rnd = random.Random(5)
+    common = [f"common{k}" for k in range(60)]
+    texts = []
+    for i in range(100):  # the same words in another order, and some of its own: no five words in common
+        words = common + [f"own{i}x{k}" for k in range(20)]
+        rnd.shuffle(words)
+        texts.append(" ".join(words))
+    copies = [texts[0], texts[0].upper(), texts[1] + " end"]
+    docs = llm.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 1 and doc_id < 100 as int) AS toxic")
+    labels = labels.where("doc_id != 102").unionByName(llm.createDataFrame([(102, 1)], "doc_id long, toxic int"))
+    sample = t.training_sample(docs, labels, F.lit(True), 1000).collect()
+    assert sorted(r["text"] for r in sample) == sorted(texts)
+    assert sum(r["toxic"] for r in sample) == 50
+
+
 def test_edge_rows(llm, edge_documents):
     docs, labels, _ = corpus(llm, 300)
     labels = labels.unionByName(llm.createDataFrame([(5, None), (None, 1), (5, 1)], "doc_id long, toxic int"))
