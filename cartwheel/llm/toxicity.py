@@ -11,6 +11,8 @@ Training (labelled rows of the training fold; a bounded sample of them):
    or after reporting words (quotation rather than abuse), and the context
    score. It is fitted on either half of the sample with the lexicon of the
    other half, so that terms found by chance do not look better than they are.
+   A row counts as often as rows of its label were left out of the sample, so
+   a score means the same whether the bound of a label acts or not.
 
 Scoring walks each distinct word through the product of the trie and the
 Levenshtein automaton (insertions, deletions, substitutions within a term's
@@ -212,9 +214,10 @@ def log_odds(n_toxic, n_clean, toxic: int, clean: int):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int) -> DataFrame:
-    """(text, toxic): at most about ``max_docs`` labelled documents of each
-    label, by a hash of the id; of copies and close copies (a near-duplicate
-    group of operator 3) one of each label stays."""
+    """(text, toxic, weight): at most about ``max_docs`` labelled documents of
+    each label, by a hash of the id; of copies and close copies (a
+    near-duplicate group of operator 3) one of each label stays. The weight is
+    the inverse of the label's sampling share."""
     known = labels.where(F.col("toxic").isin(0, 1) & trains & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     unit = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -224,7 +227,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, max_docs
     texts = written(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id"), "toxicity-texts")
     group = near_duplicates(texts).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))  # bounded like ``chosen``
     first = texts.select("doc_id", "toxic").join(group, "doc_id").groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return texts.join(first.select("doc_id"), "doc_id", "left_semi").select("text", "toxic").distinct()
+    return texts.join(first.select("doc_id"), "doc_id", "left_semi").select("text", "toxic", (1 / share).alias("weight")).distinct()
 
 
 def count_terms(sample: DataFrame) -> DataFrame:
@@ -266,13 +269,14 @@ def choose_terms(rows, toxic: int, clean: int, max_terms: int) -> list[tuple[str
     return chosen
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; rows count ``weight`` times."""
     w = np.zeros(x.shape[1])
+    weight = np.ones(len(x)) if weight is None else weight
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -326,16 +330,16 @@ def feature_rows(sample: DataFrame, model: ToxicityModel) -> list:
         matcher = Matcher(shared.value)
         for batch in batches:
             x = [matcher.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.int64())], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast(pa.int64()), batch.column(2)], names=["x", "toxic", "weight"])
 
-    return sample.mapInArrow(rows_of, "x array<double>, toxic long").collect()  # bounded by the sample
+    return sample.mapInArrow(rows_of, "x array<double>, toxic long, weight double").collect()  # bounded by the sample
 
 
 def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MAX_DOCS, max_terms: int = MAX_TERMS) -> ToxicityModel:
     sample = written(training_sample(docs, labels, trains, max_docs), "toxicity-sample")
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    model = ToxicityModel(prior=toxic / max(1, toxic + clean))
+    model = ToxicityModel(prior=toxic / max(1.0, toxic + clean))
     if not toxic or not clean:
         return model
     model.terms = lexicon(sample, max_terms)
@@ -344,7 +348,8 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MA
     for k in (0, 1):
         other = ToxicityModel(terms=lexicon(sample.where(half != k), max_terms), context=model.context)
         found += feature_rows(sample.where(half == k), other)
-    model.weights = fit_weights(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float))
+    model.weights = fit_weights(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float),
+                                weight=np.array([r["weight"] for r in found]))
     return model
 
 

@@ -93,6 +93,23 @@ def test_only_copies_leave_the_training_sample(llm):
     assert sum(r["toxic"] for r in sample) == 50
 
 
+def test_scores_do_not_depend_on_the_sample_bound(llm):
+    rnd = random.Random(7)
+    docs, labels = [], []
+    for i in range(1600):  # one in ten is toxic, half of them without a telling word
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(20)]
+        if i % 20 == 0:
+            words[5:5] = ["you", rnd.choice(["idiot", "worthless"])]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 10 == 0)))
+    docs, labels = llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(labels, "doc_id long, toxic int")
+    plain = llm.createDataFrame([(1, "a calm and quiet day")], "doc_id long, text string")
+    whole, bounded = (t.score(plain, t.train(docs, labels, F.lit(True), max_docs=n)).first() for n in (4000, 100))
+    assert whole["predicted"] == bounded["predicted"] == 0
+    odds = [np.log(r["score"] / (1 - r["score"])) for r in (whole, bounded)]
+    assert abs(odds[0] - odds[1]) < 0.7
+
+
 def test_edge_rows(llm, edge_documents):
     docs, labels, _ = corpus(llm, 300)
     labels = labels.unionByName(llm.createDataFrame([(5, None), (None, 1), (5, 1)], "doc_id long, toxic int"))
