@@ -1,11 +1,12 @@
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cartwheel.llm import langid, mixing
-from tests.llm.test_minhash_dedup import brute_force as components
+from tests.llm.test_minhash_dedup import brute_force as components, shingles
 from tests.llm.test_packing import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +72,31 @@ def test_every_stage_equals_brute_force_on_its_own_input(llm, documents, edge_do
     check_packing(packed, docs.collect(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def test_near_copies_from_80_percent_on_go(llm, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect() if r["text"]]
+    for n, size, edited in ((0, 94, 6), (1, 104, 6), (2, 104, 7), (3, 104, 8)):  # similarity 80/100, 90/110, 89/111, 88/112
+        words = [f"word{k}of{n}" for k in range(size)]
+        other = words[:40] + [f"new{k}of{n}" for k in range(edited)] + words[40 + edited:]
+        rows += [(10**9 + 2 * n, " ".join(words)), (10**9 + 2 * n + 1, " ".join(other))]
+    sets = {i: shingles(x) for i, x in rows}
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            p, q = sorted((find(a), find(b)))
+            top[q] = p
+    df = llm.createDataFrame([(i, x, "en", "a", len(x)) for i, x in rows], documents.schema)
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](llm, df, SF).collect()}
+    assert got == {i for i in top if find(i) == i}
+    assert {i - 10**9 for i in got if i >= 10**9} == {0, 2, 4, 6, 7}
+
+
 def test_run_and_columns(llm):
     out = corpus_pipeline.run(llm, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
