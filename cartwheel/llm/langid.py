@@ -191,36 +191,41 @@ def code_lengths(model: PpmModel, data: np.ndarray, starts: np.ndarray) -> np.nd
     return out
 
 
+def judgements(model: PpmModel, column: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(from, to, lang_pred, score, bits per byte of the winner) of groups of texts."""
+    data, offsets = text_buffers(column)
+    for i, j in text_groups(offsets):
+        size = int(offsets[j] - offsets[i])
+        if j == i + 1 and size > BLOCK_BYTES:  # one long text: block by block, contexts carried over
+            bits = np.zeros((1, len(model.languages)))
+            for at in range(0, size, BLOCK_BYTES):
+                lead = min(3, at)
+                block = data[offsets[i] + at - lead:offsets[i] + min(size, at + BLOCK_BYTES)]
+                bits += code_lengths(model, block, np.array([0]))
+                if lead:
+                    bits -= code_lengths(model, block[:lead], np.array([0]))
+        else:
+            bits = code_lengths(model, data[offsets[i]:offsets[j]], offsets[i:j] - offsets[i])
+        texts = column.slice(i, j - i)
+        lettered = np.array([t.is_valid and bool(_LETTER.search(t.as_py())) for t in texts], bool)
+        if model.languages:
+            best = bits.argmin(1)
+            rel = bits - bits.min(1, keepdims=True)
+            score = np.where(lettered, 1 / np.exp2(-np.minimum(rel, 1000)).sum(1), 0.0)
+            pred = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
+            rate = bits.min(1) / np.maximum(1, offsets[i + 1:j + 1] - offsets[i:j])
+        else:
+            score, rate, pred = np.zeros(j - i), np.zeros(j - i), [UNDETERMINED] * (j - i)
+        yield i, j, pred, score, rate
+
+
 def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     """doc_id, lang_pred, score and the bits per byte of the winner."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, j in text_groups(offsets):
-                size = int(offsets[j] - offsets[i])
-                if j == i + 1 and size > BLOCK_BYTES:  # one long text: block by block, contexts carried over
-                    bits = np.zeros((1, len(model.languages)))
-                    for at in range(0, size, BLOCK_BYTES):
-                        lead = min(3, at)
-                        block = data[offsets[i] + at - lead:offsets[i] + min(size, at + BLOCK_BYTES)]
-                        bits += code_lengths(model, block, np.array([0]))
-                        if lead:
-                            bits -= code_lengths(model, block[:lead], np.array([0]))
-                else:
-                    bits = code_lengths(model, data[offsets[i]:offsets[j]], offsets[i:j] - offsets[i])
-                texts = batch.column(1).slice(i, j - i)
-                lettered = np.array([t.is_valid and bool(_LETTER.search(t.as_py())) for t in texts], bool)
-                if model.languages:
-                    best = bits.argmin(1)
-                    rel = bits - bits.min(1, keepdims=True)
-                    score = np.where(lettered, 1 / np.exp2(-np.minimum(rel, 1000)).sum(1), 0.0)
-                    pred = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
-                    rate = bits.min(1) / np.maximum(1, offsets[i + 1:j + 1] - offsets[i:j])
-                else:
-                    score, rate, pred = np.zeros(j - i), np.zeros(j - i), [UNDETERMINED] * (j - i)
+            for i, j, pred, score, rate in judgements(shared.value, batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)],
                     names=["doc_id", "lang_pred", "score", "bits_per_byte"])
@@ -230,7 +235,8 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """Documents whose language can be told; their columns stay as they are.
+    """Documents whose language can be told, by the scores of ``predict``;
+    their columns stay as they are.
 
     The texts are scored in place, so repeated ids and rows stay apart.
     """
@@ -238,9 +244,8 @@ def keep_identified(docs: DataFrame, model: PpmModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = not shared.value.languages
         for batch in batches:
-            keep = [not none and t.is_valid and bool(_LETTER.search(t.as_py())) for t in batch.column("text")]
+            keep = [p != UNDETERMINED for _, _, pred, _, _ in judgements(shared.value, batch.column("text")) for p in pred]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.select(*columns).mapInArrow(known, docs.schema)

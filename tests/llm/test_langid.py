@@ -81,6 +81,15 @@ def test_edge_rows_and_blocks(llm, edge_documents, monkeypatch):
     assert kept.columns == edge_documents.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 1, 5, 6, 7, 8]
 
 
+def test_kept_are_those_the_model_identifies(llm):
+    texts = [(i, f"the cat and the dog {i} walk on the road", "en") for i in range(20)] + [(100 + i, f"zqxj {i} xqzj qqzx jxqz", "und") for i in range(20)]
+    docs = llm.createDataFrame(texts + [(200, "jxqz zqxj qqzx", None), (201, "a cat and a dog", None), (202, "12 345", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    want = {r["doc_id"] for r in langid.predict(docs, model).where("lang_pred <> 'und'").collect()}
+    assert want == {*range(20), 201}
+    assert {r["doc_id"] for r in langid.keep_identified(docs, model).collect()} == want
+
+
 def test_no_training_rows(documents):
     model = langid.train(documents, F.lit(False))
     assert {r["lang_pred"] for r in langid.predict(documents, model).collect()} == {"und"}
