@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwheel.llm import (
-    embedding_dedup, langid, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_lists,
+    embedding_dedup, langid, minhash_dedup, mixing, packing, periodic_runs, quality_rules, suffix_dedup, token_counts,
+    toxicity, url_lists,
 )
-from cartwheel.llm.common import id_bucket, table
+from cartwheel.llm.common import id_bucket, table, words
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -207,6 +208,38 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+# --- 11: periodic runs ------------------------------------------------------
+
+
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """The contract's texts (doc_id, text): with h the crc32 of the id and g its
+    tenth, the words from a = g % n on of one document in ten repeat with period
+    1 + (n - a) / (3 + g % 8). A null id counts as ''."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    i = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    place = F.transform(i, lambda k: F.when(k < F.col("_a"), k).otherwise(F.col("_a") + (k - F.col("_a")) % F.col("_p")))
+    g = F.floor(F.col("_h") / 10)
+    return (docs.select("doc_id", "text", h.alias("_h"))
+            .withColumn("_w", F.when(F.col("_h") % 10 == 0, words(F.col("text"))))  # null: the text stays
+            .withColumn("_n", F.size("_w").cast("long"))
+            .withColumn("_a", F.when(F.col("_n") > 0, g % F.col("_n")))
+            .withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("long"))
+            .withColumn("_text", F.when(F.col("_n") > 0, F.array_join(F.transform(place, lambda k: F.get(F.col("_w"), k.cast("int"))), " ")))
+            .select("doc_id", F.coalesce("_text", "text").alias("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_texts(table(spark, sf_dir, "documents")))
+    # the longest run: least of (-length, start, period)
+    order = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("_top", order).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_top.s").alias("start"), (-F.col("_top.n")).alias("length"),
+        F.col("_top.p").alias("period"), F.floor(-1000 * F.col("_top.n") / F.col("_top.p")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_url_lists": op1_url_lists,
     "op2_token_counts": op2_token_counts,
@@ -218,6 +251,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
