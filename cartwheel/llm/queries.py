@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwheel.llm import (
-    embedding_dedup, langid, minhash_dedup, mixing, packing, periodic_runs, quality_rules, suffix_dedup, token_counts,
-    toxicity, url_lists,
+    embedding_dedup, langid, minhash_dedup, mixing, packing, periodic_runs, quality_rules, source_divergence,
+    suffix_dedup, token_counts, toxicity, url_lists,
 )
 from cartwheel.llm.common import id_bucket, table, words
 
@@ -240,6 +240,40 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+# --- 12: source divergence --------------------------------------------------
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.lang_n, l.v, l.n AS lang_total,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v)::HUGEINT AS q FROM dense),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+  WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+rows_of AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows_of)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES: dict[str, QueryFn] = {
     "op1_url_lists": op1_url_lists,
     "op2_token_counts": op2_token_counts,
@@ -252,10 +286,12 @@ QUERIES: dict[str, QueryFn] = {
     "op9_language": op9_language,
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_lists": OP1_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
