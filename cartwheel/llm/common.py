@@ -54,6 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, after as many underscores as make it a name that ``columns``
+    do not hold (Spark's names ignore case)."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array (null text: no words)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), "")

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartwheel.llm import (
-    embedding_dedup, langid, minhash_dedup, mixing, packing, periodic_runs, quality_rules, source_divergence,
-    suffix_dedup, token_counts, toxicity, url_lists,
+    embedding_dedup, langid, minhash_dedup, mixing, packing, periodic_runs, personal_data, quality_rules,
+    source_divergence, suffix_dedup, token_counts, toxicity, url_lists,
 )
 from cartwheel.llm.common import id_bucket, table, words
 
@@ -273,6 +273,22 @@ SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows_of)
 WHERE part = 'pair' OR rank <= 50
 """
+# --- 13: personal data ------------------------------------------------------
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, personal_data.BASE_KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
 
 QUERIES: dict[str, QueryFn] = {
     "op1_url_lists": op1_url_lists,
@@ -287,6 +303,7 @@ QUERIES: dict[str, QueryFn] = {
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
