@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cartwheel.operators import payloads as pl
 from cartwheel.plans.registry import commerce, register, with_views
 from cartwheel.sources import events as ev
-from cartwheel.streaming import rate_limit as rl
+from cartwheel.streaming import limiter, rate_limit as rl
 
 # ----------------------------------------------------------- SQL mappings
 ORDER_EVENT_CTE = ("co_order_event", """
@@ -504,3 +504,29 @@ def rate_limit_violations(spark, sf_dir):
     """Limits per scope; the admin login (signups of the log) is not counted."""
     log = ev.request_log(commerce(spark, sf_dir).raw("events"))
     return rl.rate_limit_violations(log, TEST_LIMITS, skip_auth=True)
+
+
+LIMITER_SQL = f"""
+    WITH RECURSIVE log AS (
+      SELECT CAST(user_id AS VARCHAR) AS client,
+             CASE WHEN event_type IN ('signup', 'error') THEN 'admin' ELSE 'store' END AS scope,
+             epoch_us(ts) // 1000 AS ms FROM events),
+    chain(client, scope, begin) AS (
+      SELECT client, scope, min(ms) FROM log GROUP BY client, scope
+      UNION ALL
+      SELECT c.client, c.scope, min(l.ms)
+      FROM chain c JOIN log l ON l.client = c.client AND l.scope = c.scope AND l.ms >= c.begin + {limiter.WINDOW_MS}
+      GROUP BY c.client, c.scope, c.begin)
+    SELECT c.client, c.scope, make_timestamp(c.begin * 1000) AS window_start,
+           make_timestamp((c.begin + {limiter.WINDOW_MS}) * 1000) AS window_end, count(*) AS requests,
+           greatest(count(*) - CASE c.scope WHEN 'admin' THEN {TEST_LIMITS['admin']} ELSE {TEST_LIMITS['store']} END, 0) AS rejected
+    FROM chain c JOIN log l ON l.client = c.client AND l.scope = c.scope
+      AND l.ms >= c.begin AND l.ms < c.begin + {limiter.WINDOW_MS}
+    GROUP BY c.client, c.scope, c.begin"""
+
+
+@register("limiter_windows", LIMITER_SQL)
+def limiter_windows(spark, sf_dir):
+    """Windows from each client's own requests on, as the middleware counts."""
+    log = ev.request_log(commerce(spark, sf_dir).raw("events"))
+    return limiter.limiter_windows(log, TEST_LIMITS)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwheel.session import scratch_path
+
 MONTH_COL = "created_month"
 
 
@@ -31,3 +33,11 @@ def write_by_month(df: DataFrame, path: str, ts_col: str = "created_at", mode: s
 
 def read_by_month(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder under the shared checkpoint directory
+    and read back: cuts the plan of an iterative job, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
