@@ -46,12 +46,13 @@ DEFAULT_CONTENT_TYPE = "product"
 
 
 # ---------------------------------------------------------------- cart delta
-def cart_delta(cart_events: DataFrame) -> DataFrame:
+def cart_delta(cart_events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cart actions. ``item_updated`` becomes an add of the increase or a
     remove of the decrease (nothing when equal or unknown); adds and removes
     pass through. Stateless: the previous quantity is in the message.
 
-    Output: id, ts, action ('add' | 'remove'), variant_id, quantity, metadata.
+    Output: id, ts, action ('add' | 'remove'), variant_id, quantity, metadata
+    and the columns in ``keep``.
     """
     diff = F.col("item.quantity") - F.col("previousQuantity")
     name = F.col("event_name")
@@ -61,7 +62,7 @@ def cart_delta(cart_events: DataFrame) -> DataFrame:
     qty = F.when(name == "cart.item_updated", F.abs(diff)).otherwise(F.col("item.quantity"))
     return (cart_events.select("id", "ts", action.alias("action"),
                                F.col("item.variant_id").alias("variant_id"), qty.cast("int").alias("quantity"),
-                               F.col("item.metadata").alias("metadata"))
+                               F.col("item.metadata").alias("metadata"), *keep)
             .filter(F.col("action").isNotNull()))
 
 
@@ -199,7 +200,11 @@ def view_content_conversion(views: DataFrame, catalog: DataFrame, cfg: PayloadCo
 
 
 # -------------------------------------------------------------- orders
+#: Lines of an order that one task may hold before the last concatenation.
 ITEMS_PER_TASK = 4096
+UNNUMBERED_RUNS = 1024
+#: Huge orders whose counted ids may be broadcast (8 bytes each).
+BROADCAST_ORDERS = 1_000_000
 
 
 def order_item_rows(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -208,15 +213,20 @@ def order_item_rows(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
 
     The position is the rank within a run of ``ITEMS_PER_TASK`` line numbers
     plus the sizes of the order's earlier runs, so a huge order is dealt out
-    over tasks by (order, run) and never sorted by one of them.
+    over tasks by (order, run) and never sorted by one of them. Lines without a
+    number come first; each variant of theirs is a run.
     """
-    run = F.floor(F.coalesce(F.col("line_number"), F.lit(0)) / ITEMS_PER_TASK).alias("__run")
-    lines = line_items.select("order_id", "line_number", "variant_id", "quantity", "unit_price", run)
-    inside = Window.partitionBy("order_id", "__run").orderBy("line_number", "variant_id", "quantity", "unit_price")
-    earlier = Window.partitionBy("order_id").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = lines.groupBy("order_id", "__run").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("order_id", "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    placed = lines.withColumn("__rank", F.row_number().over(inside)).join(starts, ["order_id", "__run"])
+    number = F.col("line_number")
+    run = F.coalesce(F.floor(number / ITEMS_PER_TASK), F.lit(-1)).alias("__run")
+    sub = F.when(number.isNull(), F.col("variant_id")).alias("__sub")
+    lines = line_items.select("order_id", "line_number", "variant_id", "quantity", "unit_price", run, sub)
+    inside = Window.partitionBy("order_id", "__run", "__sub").orderBy("line_number", "variant_id", "quantity", "unit_price")
+    earlier = Window.partitionBy("order_id").orderBy("__run", "__sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("order_id", "__run", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(F.col("order_id").alias("__o"), F.col("__run").alias("__r"), F.col("__sub").alias("__s"),
+                          F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    placed = lines.withColumn("__rank", F.row_number().over(inside)).join(
+        starts, (F.col("order_id") == F.col("__o")) & (F.col("__run") == F.col("__r")) & F.col("__sub").eqNullSafe(F.col("__s")))
     c = catalog.select("variant_id", "sku", F.col("product_title").alias("title"), "product_type")
     return (left_join_spread(placed, c, "variant_id")
             .select("order_id", (F.col("__start") + F.col("__rank") - 1).alias("position"), "line_number", "variant_id",
@@ -231,26 +241,70 @@ def order_headers(line_items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_items"))
 
 
+def _item() -> Column:
+    """An order line as a struct whose order is the list's: line number first
+    (none before all others), the rest breaks ties."""
+    return F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
+                    F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
+
+
+def _whole_lists(lines: DataFrame) -> DataFrame:
+    """id, items, tax_total, units of orders that one task can hold."""
+    return lines.groupBy(F.col("order_id").alias("id")).agg(
+        F.sort_array(F.collect_list(_item())).alias("items"), F.sum("tax_total").alias("tax_total"),
+        F.sum(F.col("quantity").cast("bigint")).alias("units"))
+
+
+def catalogued(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Order lines with sku, title and product type of their variant."""
+    return left_join_spread(line_items.select("order_id", "line_number", "variant_id", "quantity", "unit_price", "tax_total"),
+                            catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id")
+
+
+def lists_by_runs(lines: DataFrame, per_run: int | None = None) -> DataFrame:
+    """id and items of huge orders, assembled in two levels: lists of runs of
+    ``per_run`` (``ITEMS_PER_TASK``) line numbers, sorted by the tasks that hold
+    them, then one concatenation an order. Lines without a number are dealt into
+    runs by hash. ``lines`` are :func:`catalogued`."""
+    salt = F.pmod(F.xxhash64("variant_id", "quantity", "unit_price"), F.lit(UNNUMBERED_RUNS))
+    run = F.coalesce(F.floor(F.col("line_number") / (per_run or ITEMS_PER_TASK)), -1 - salt)
+    runs = lines.withColumn("__run", run).groupBy(F.col("order_id").alias("id"), "__run").agg(
+        F.sort_array(F.collect_list(_item())).alias("__part"))
+    both = runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("__run", "__part"))).alias("__runs"))
+    part = lambda keep: F.flatten(F.transform(F.filter("__runs", keep), lambda r: r["__part"]))
+    return both.select("id", F.concat(F.sort_array(part(lambda r: r["__run"] < 0)), part(lambda r: r["__run"] >= 0)).alias("items"))
+
+
+def order_items(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """id, items (in line order, each with variant sku and product type),
+    tax_total and units of every order with lines.
+
+    Orders of more than ``ITEMS_PER_TASK`` lines are found first, by a count
+    that reads one column. Without any, each order is one group. Otherwise
+    theirs are assembled by :func:`lists_by_runs` and their sums come from
+    :func:`order_headers`, so no aggregate holds the raw lines of a huge order;
+    the list itself is one document by definition."""
+    li = catalogued(line_items, catalog)
+    huge = (line_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > ITEMS_PER_TASK)
+            .select("order_id"))
+    n_huge = huge.count()
+    if not n_huge:
+        return _whole_lists(li)
+    if n_huge <= BROADCAST_ORDERS:
+        huge = F.broadcast(huge)  # counted above
+    headers = order_headers(line_items.join(huge, "order_id", "left_semi"))
+    big = lists_by_runs(li.join(huge, "order_id", "left_semi")).join(headers.drop("n_items"), "id")
+    return _whole_lists(li.join(huge, "order_id", "left_anti")).unionByName(big.select("id", "items", "tax_total", "units"))
+
+
 def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
                    customers: DataFrame, addresses: DataFrame) -> DataFrame:
-    """One row per order, whatever its size, with all its items (in line
-    order, each with variant sku and product type), tax total, unit count,
-    customer (optional) and shipping address.
-
-    Tax and units come from the same grouping as the item list, so the line
-    items are scanned and shuffled once for the catalogue join and once for
-    the grouping. The list of one order is one document by definition; work on
-    single items of huge orders uses :func:`order_item_rows` and
-    :func:`order_headers`, which are dealt out by (order, position).
+    """One row per order, whatever its size, with all its items
+    (:func:`order_items`), tax total, unit count, customer (optional) and
+    shipping address. Work on single items of huge orders uses
+    :func:`order_item_rows`, which is dealt out by (order, position).
     """
-    li = left_join_spread(line_items.select("order_id", "line_number", "variant_id", "quantity", "unit_price", "tax_total"),
-                          catalog.select("variant_id", "sku", "product_title", "product_type"), "variant_id")
-    # Struct order = list order: line number first, the rest breaks ties.
-    item = F.struct(F.col("line_number"), F.col("variant_id"), F.col("quantity"), F.col("unit_price"),
-                    F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
-    items = li.groupBy(F.col("order_id").alias("id")).agg(
-        F.sort_array(F.collect_list(item)).alias("items"), F.sum("tax_total").alias("tax_total"),
-        F.sum(F.col("quantity").cast("bigint")).alias("units"))
+    items = order_items(line_items, catalog)
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")
     # Customer and address first, items last: the result stays
@@ -402,8 +456,7 @@ def ga_begin_checkout(orders: DataFrame, region_currency: Column, cfg: PayloadCo
 
 def ga_search(searches: DataFrame, products: DataFrame) -> DataFrame:
     """Search with its term."""
-    j = searches.join(products.select(F.col("id").alias("product_id"), F.col("title").alias("term")),
-                      "product_id", "left")
+    j = left_join_spread(searches, products.select(F.col("id").alias("product_id"), F.col("title").alias("term")), "product_id")
     params = [F.col("term").alias("search_term")]
     payload = ga_envelope("search", params, F.col("user_id"), F.lit(None).cast("string"), F.col("ts"), F.col("id"))
     return j.select("id", payload.alias("payload"))

@@ -282,6 +282,16 @@ def add_to_cart_conversion(spark, sf_dir):
     return _pixel_flat(pl.add_to_cart_conversion(_cart_enriched(commerce(spark, sf_dir))))
 
 
+@register("order_lists_by_runs", with_views("""
+    SELECT id, n_items, item_ids FROM co_order_enriched WHERE n_items IS NOT NULL""", *ORDER_VIEWS, extra=ORDER_EXTRA))
+def order_lists_by_runs(spark, sf_dir):
+    """Every order's list, assembled as a huge order's is, from runs of two lines."""
+    c = commerce(spark, sf_dir)
+    lists = pl.lists_by_runs(pl.catalogued(c.line_items, _catalog(c)), per_run=2)
+    ids = F.transform("items", lambda x: F.coalesce(F.when(x["sku"] != "", x["sku"]), x["variant_id"].cast("string")))
+    return lists.select("id", F.size("items").cast("bigint").alias("n_items"), F.array_join(ids, ",").alias("item_ids"))
+
+
 @register("purchase_conversion", with_views(PURCHASE_SQL, *ORDER_VIEWS, extra=ORDER_EXTRA))
 def purchase_conversion(spark, sf_dir):
     c = commerce(spark, sf_dir)

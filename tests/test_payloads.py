@@ -156,3 +156,64 @@ def test_salted_join_matches_plain(spark):
     plain = sorted(map(tuple, left.join(right, "k").collect()))
     salted = sorted(map(tuple, salted_join(left, right, "k", 8).select("k", "v", "name").collect()))
     assert plain == salted
+
+
+def hot_order(spark):
+    """An order with a third of all lines: numbers twice or missing, null and
+    unknown variants; small orders beside it."""
+    hot = spark.range(1500).select(
+        F.lit(1).cast("bigint").alias("order_id"), F.when(F.col("id") % 5 > 0, (F.col("id") * 7 % 1100).cast("int")).alias("line_number"),
+        F.when(F.col("id") % 11 > 0, F.col("id") % 9).alias("variant_id"), (F.col("id") % 4).cast("int").alias("quantity"),
+        (F.col("id") % 13 * 100).alias("unit_price"), (F.col("id") % 3).alias("tax_total"))
+    cold = spark.range(3000).select(
+        (2 + F.col("id") % 400).alias("order_id"), (F.col("id") % 17).cast("int").alias("line_number"), (F.col("id") % 9).alias("variant_id"),
+        F.lit(1).cast("int").alias("quantity"), (F.col("id") % 13 * 100).alias("unit_price"), F.lit(2).cast("bigint").alias("tax_total"))
+    catalog = spark.createDataFrame([(v, f"s{v}", f"t{v}", "x") for v in range(7)], "variant_id bigint, sku string, product_title string, product_type string")
+    return hot.unionByName(cold), catalog
+
+
+def test_a_hot_order_is_assembled_by_runs(spark, monkeypatch):
+    items, catalog = hot_order(spark)
+    want = {r.id: r for r in pl.order_items(items, catalog).collect()}  # one group an order
+    # plain Python, one order after the other
+    sku = {v: f"s{v}" for v in range(7)}
+    key = lambda x: tuple((v is not None, v or 0) for v in x)
+    lines = {}
+    for r in items.collect():
+        lines.setdefault(r.order_id, []).append((r.line_number, r.variant_id, r.quantity, r.unit_price))
+    assert {i: [(x.line_number, x.variant_id, x.quantity, x.unit_price) for x in r["items"]] for i, r in want.items()} == {
+        i: sorted(x, key=key) for i, x in lines.items()}
+    assert all(x.sku == sku.get(x.variant_id) for x in want[1]["items"])
+    monkeypatch.setattr(pl, "ITEMS_PER_TASK", 64)
+    for broadcast in (10, 0):
+        monkeypatch.setattr(pl, "BROADCAST_ORDERS", broadcast)
+        df = pl.order_items(items, catalog)
+        assert {r.id: r for r in df.collect()} == want
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "__run" in plan and "left_anti" in plan.lower().replace("leftanti", "left_anti")
+
+
+def test_no_run_holds_more_than_its_lines(spark, monkeypatch):
+    monkeypatch.setattr(pl, "ITEMS_PER_TASK", 64)
+    items, catalog = hot_order(spark)
+    li = items.where("order_id = 1").join(catalog, "variant_id", "left")
+    run = F.coalesce(F.floor(F.col("line_number") / 64), -1 - F.pmod(F.xxhash64("variant_id", "quantity", "unit_price"), F.lit(pl.UNNUMBERED_RUNS)))
+    most = li.groupBy(run.alias("r")).count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 64  # each number is there twice at most
+    assert [len(r["items"]) for r in pl.lists_by_runs(li).collect()] == [1500]
+
+
+def test_positions_of_lines_without_a_number(spark, monkeypatch):
+    monkeypatch.setattr(pl, "ITEMS_PER_TASK", 64)
+    items, catalog = hot_order(spark)
+    want = [(x.line_number, x.variant_id, x.quantity, x.unit_price) for r in pl.order_items(items, catalog).where("id = 1").collect() for x in r["items"]]
+    rows = pl.order_item_rows(items, catalog).where("order_id = 1").orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1500))
+    assert [(r.line_number, r.variant_id, r.quantity, r.unit_price) for r in rows] == want
+
+
+def test_searches_without_a_product(spark):
+    searches = spark.createDataFrame([(k, ts(2024, 1, 1), "u", None if k % 2 else 1) for k in range(6)], "id bigint, ts timestamp_ntz, user_id string, product_id bigint")
+    products = spark.createDataFrame([(1, "red")], "id bigint, title string")
+    got = {r.id: r.payload.events[0].params.search_term for r in pl.ga_search(searches, products).collect()}
+    assert got == {k: None if k % 2 else "red" for k in range(6)}
