@@ -2,7 +2,9 @@
 
 Everything here is a small numpy helper that works on the bytes of one piece
 of text inside a Spark task. Hashes are polynomial over random byte values
-modulo 2**64, so the hash of any substring comes from two prefix sums.
+modulo 2**64, so the hash of any substring comes from two prefix sums. Where
+equal hashes stand for equal strings (names), a second hash modulo a prime is
+mixed in: modulo a power of two some strings of two letters always collide.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 
 #: Bytes handled at once. It bounds the memory of a Python worker (about 100
 #: bytes of numpy arrays per byte); it changes no result.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -51,6 +53,41 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (sums[end] - sums[start]) * q[start]
 
 
+#: Field of the second hash: products of two elements fit into 64 bits.
+PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_948_211_367
+PRIME_VALUES = np.random.default_rng(20240301).integers(1, (1 << 31) - 1, 256, dtype=np.uint64)
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """C**i and C**-i for i < n, modulo PRIME."""
+    if "c" not in _powers or len(_powers["c"]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        for key, base in (("c", _PRIME_BASE), ("d", pow(_PRIME_BASE, -1, int(PRIME)))):
+            out = np.ones(size, dtype=np.uint64)
+            done = 1
+            while done < size:
+                out[done:2 * done] = out[:done] * np.uint64(pow(base, done, int(PRIME))) % PRIME
+                done *= 2
+            _powers[key] = out
+    return _powers["c"][:n], _powers["d"][:n]
+
+
+def prime_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the second hash."""
+    c, _ = prime_powers(len(data))
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(PRIME_VALUES[data] * c % PRIME, out=out[1:])
+    return out % PRIME
+
+
+def span_names(sums: np.ndarray, primes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the bytes start..end of each span, from both hashes."""
+    _, d = prime_powers(len(primes))
+    second = (primes[end] + PRIME - primes[start]) % PRIME * d[start] % PRIME
+    return span_hashes(sums, start, end) ^ mix(second + np.uint64(1))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer: spreads a 64-bit hash over all bits."""
     x = x ^ (x >> np.uint64(30))

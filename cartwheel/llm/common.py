@@ -18,8 +18,32 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-#: Rows of a batch in a Python worker, whose memory an executor must hold.
-ARROW_ROWS = 2000
+#: Rows and bytes of a batch in a Python worker, whose memory an executor must hold.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
+
+_caches: list[dict] = []
+
+
+def worker_cache(cache: dict) -> dict:
+    """Registers what a Python worker remembers between the tasks of a stage."""
+    _caches.append(cache)
+    return cache
+
+
+def fresh_worker(keep: dict | None = None) -> None:
+    """Workers outlive a stage: at the start of a task of the next one, what
+    they remember from other stages is dropped and given back to the system."""
+    stale = [c for c in _caches if c is not keep and c]
+    for cache in stale:
+        cache.clear()
+    if stale:
+        import ctypes
+        import gc
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no glibc
+            pass
 
 
 def importable(spark: SparkSession) -> None:
@@ -32,10 +56,15 @@ def importable(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers in batches of at most ARROW_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Texts go to Python workers in batches of at most ARROW_ROWS rows and
+    about ARROW_BYTES bytes. The settings are the session's, because Spark reads
+    them when a plan runs; smaller ones of the caller stay."""
+    for key, unset, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS),
+                             ("spark.sql.execution.arrow.maxBytesPerBatch", "64MB", ARROW_BYTES)):
+        held = spark.conf.get(key, unset)
+        bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        if not 0 < bytes_of(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cartwheel.llm.bytehash import BLOCK_BYTES, text_buffers, text_groups
+from cartwheel.llm.common import fresh_worker
 
 MAX_DOCS = 1500
 MAX_CONTEXTS = 12_000
@@ -60,6 +61,7 @@ def window_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): counts of 4-byte windows, zero bytes before the text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in set(langs.tolist()):
@@ -224,6 +226,7 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for i, j, pred, score, rate in judgements(shared.value, batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
@@ -244,6 +247,7 @@ def keep_identified(docs: DataFrame, model: PpmModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             keep = [p != UNDETERMINED for _, _, pred, _, _ in judgements(shared.value, batch.column("text")) for p in pred]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -24,8 +24,9 @@ that AQE splits. Nothing but row counts reaches the driver.
 
 Defined results: null or empty text, or text without words: empty set, linked
 with nothing, its own component; repeated rows (one id, one text) are joined
-into one class and each keeps its row; a null id is its own component; an empty
-table gives an empty result; only the id and text columns are read.
+into one class and each keeps its row; of an id with several texts one set (the
+last in order) is verified for all of them; a null id is its own component; an
+empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cartwheel.llm.bytehash import BLOCK_BYTES, mix, prefix_sums, span_hashes, text_buffers, text_groups
-from cartwheel.llm.common import bounded_broadcast, written
+from cartwheel.llm.bytehash import BLOCK_BYTES, mix, prefix_sums, prime_sums, span_names, text_buffers, text_groups
+from cartwheel.llm.common import bounded_broadcast, fresh_worker, written
 
 WORDS = 5
 THRESHOLD = 85  # percent
@@ -56,7 +57,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    return mix(span_hashes(prefix_sums(_LOWER[data]), starts, ends)), starts
+    lower = _LOWER[data]
+    return mix(span_names(prefix_sums(lower), prime_sums(lower), starts, ends)), starts
 
 
 def text_word_hashes(data: np.ndarray) -> np.ndarray:
@@ -134,6 +136,7 @@ def signatures(docs: DataFrame, words: int = WORDS, side: int = SIDE, rows: int
     """doc_id, n_shingles, set hash (two longs, null for an empty set) and the sketches."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             n, h1, h2, sk = [], [], [], []
             for shingles in shingle_sets(batch.column(1), words):
@@ -156,6 +159,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n_ids: int, words: int = WORDS) -
     """(doc_id, shingles) of the documents in ``ids``; one row an id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             found = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
             sizes = np.cumsum([0] + [len(s) for s in found])
@@ -171,6 +175,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             keep = []
@@ -229,14 +234,16 @@ def bounded_pairs(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFra
              .select("doc_id", "n", "label", "index", (F.col("p") + F.col("u")).alias("at"), F.col("d.token").alias("token")))
     # a shingle all of whose sets have one label has no pair to look for
     mixed = heads.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    heads = heads.join(mixed, "token")
-    x = heads.where("at < index").select("token", *[F.col(c).alias("x_" + c) for c in ("doc_id", "n", "label", "at")])
+    heads = written(heads.join(mixed, "token"), "minhash-heads")
+    # sets meet those of the token's other labels only, never their own label's
+    labels_at = heads.select("token", F.col("label").alias("y_label")).distinct()
+    x = (heads.where("at < index").select("token", *[F.col(c).alias("x_" + c) for c in ("doc_id", "n", "label", "at")])
+         .join(labels_at, "token").where("x_label != y_label"))
     y = heads.select("token", *[F.col(c).alias("y_" + c) for c in ("doc_id", "n", "label", "at")])
     need = (F.col("x_n") + F.col("y_n")) * t / (100 + t)
     rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    found = x.join(y, "token").where(
-        (F.col("x_label") != F.col("y_label"))
-        & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_doc_id") < F.col("y_doc_id"))))
+    found = x.join(y, ["token", "y_label"]).where(
+        ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_doc_id") < F.col("y_doc_id"))))
         & (F.col("x_n") * 100 >= F.col("y_n") * t) & (rest >= need - 1e-6))
     return found.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
@@ -272,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     stars = written(banded_stars(classes.select("class_id", "sketch"), side), "minhash-stars")
     members = stars.select(F.col("b").alias("doc_id"))
     n_members = stars.count()
-    sets = written(full_sets(docs, members, n_members, words).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+    sets = written(full_sets(docs, members, n_members, words).groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "minhash-sets")
     first = written(verified(stars.where("a != b"), sets, threshold), "minhash-links")
     # labels: the leader after one verified step; leaders of leaders follow twice
     label = members.join(first.select(F.col("b").alias("doc_id"), F.col("a").alias("label")), "doc_id", "left").select(

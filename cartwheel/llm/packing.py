@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cartwheel.llm.common import ranked, written
+from cartwheel.llm.common import fresh_worker, ranked, worker_cache, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -99,7 +99,7 @@ class WordIds(dict):
                         for part in self.split_special.split(text))
 
 
-_caches: dict[tuple[str, str], WordIds] = {}
+_caches: dict[tuple[str, str], WordIds] = worker_cache({})
 
 
 def word_ids(vocabulary: str, ranks: str) -> WordIds:
@@ -118,6 +118,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker(_caches)
         ids = word_ids(vocabulary, ranks)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

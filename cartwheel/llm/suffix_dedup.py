@@ -41,8 +41,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cartwheel.llm.bytehash import BLOCK_BYTES, mix, prefix_sums, span_hashes, text_buffers, text_groups
-from cartwheel.llm.common import written
+from cartwheel.llm.bytehash import (
+    BLOCK_BYTES, mix, prefix_sums, prime_sums, span_hashes, span_names, text_buffers, text_groups,
+)
+from cartwheel.llm.common import fresh_worker, written
 
 LENGTH = 200
 SEED_LENGTH = 64
@@ -137,6 +139,7 @@ def anchor_counts(docs: DataFrame, length: int, seed_length: int) -> DataFrame:
     """(h): anchors of two zones or more."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             found, size = [], 0
             for *_, (value, _, _, _) in scan(batch.column(0), length, seed_length):
@@ -155,9 +158,9 @@ def anchor_counts(docs: DataFrame, length: int, seed_length: int) -> DataFrame:
     return docs.select("text").mapInArrow(anchors, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def content_names(sums: np.ndarray, p0: np.ndarray, n: np.ndarray, a: np.ndarray, length: int) -> np.ndarray:
+def content_names(piece: np.ndarray, sums: np.ndarray, p0: np.ndarray, n: np.ndarray, a: np.ndarray, length: int) -> np.ndarray:
     """Names of whole zones: their bytes, windows and anchor offset."""
-    c = span_hashes(sums, p0, p0 + n - 1 + length)
+    c = span_names(sums, prime_sums(piece), p0, p0 + n - 1 + length)
     return mix(c * _FOLD + n.astype(np.uint64) * np.uint64(1 << 20) + a.astype(np.uint64))
 
 
@@ -167,14 +170,15 @@ def shared_zones(docs: DataFrame, shared: BitFilter, length: int, seed_length: i
     filt = docs.sparkSession.sparkContext.broadcast(shared)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             rows, size = [], 0
-            for row, at, _, sums, (value, p0, n, place) in scan(batch.column(2), length, seed_length):
+            for row, at, piece, sums, (value, p0, n, place) in scan(batch.column(2), length, seed_length):
                 hit = np.flatnonzero(filt.value(value))
                 if len(hit):
                     value, p0, n, a = value[hit], p0[hit], n[hit], place[hit] - p0[hit]
-                    c = content_names(sums, p0, n, a, length)
+                    c = content_names(piece, sums, p0, n, a, length)
                     rows.append((np.full(len(hit), k1[row]), np.full(len(hit), k2[row]), p0 + at, n, value, a, c))
                     size += len(hit)
                 if size > 1 << 16:
@@ -198,6 +202,7 @@ def split_contents(docs: DataFrame, wanted: BitFilter, length: int, seed_length:
     filt = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             found: dict[tuple[int, int], list] = {}
             for _, _, piece, sums, (value, p0, n, place) in scan(batch.column(0), length, seed_length):
@@ -205,7 +210,7 @@ def split_contents(docs: DataFrame, wanted: BitFilter, length: int, seed_length:
                 if not len(hit):
                     continue
                 value, p0, n, a = value[hit], p0[hit], n[hit], place[hit] - p0[hit]
-                c = content_names(sums, p0, n, a, length)
+                c = content_names(piece, sums, p0, n, a, length)
                 for h, x, start, m, d in zip(value.view(np.int64).tolist(), c.view(np.int64).tolist(), p0.tolist(), n.tolist(), a.tolist()):
                     row = found.get((h, x))
                     if row is None:
@@ -240,13 +245,14 @@ def block_ranks(contents: DataFrame, block: int, parent: int, length: int) -> Da
     """
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             n, a = batch.column("n").to_numpy().astype(np.int64), batch.column("a").to_numpy().astype(np.int64)
             todo = batch.column("todo").to_pylist()
             data, offsets = text_buffers(batch.column("ctx"))
             h, c, w = (batch.column(k).to_numpy() for k in ("h", "c", "w"))
             for i, j in text_groups(offsets):
-                sums = prefix_sums(data[offsets[i]:offsets[j]])
+                sums, primes = prefix_sums(data[offsets[i]:offsets[j]]), prime_sums(data[offsets[i]:offsets[j]])
                 rows, blocks = [], []
                 for r in range(i, j):
                     lo, hi = (a[r] - n[r] + 1) // block, a[r] // block
@@ -263,8 +269,8 @@ def block_ranks(contents: DataFrame, block: int, parent: int, length: int) -> Da
                 low, high = b * block, b * block + block - 1
                 d1, d2 = np.maximum(low, a[r] - n[r] + 1), np.minimum(high, a[r])
                 tag = (b.astype(np.uint64) + np.uint64(1)) * _FOLD
-                core = mix(span_hashes(sums, base - low, base - high + length) ^ tag)
-                cover = mix(span_hashes(sums, base - d2, base - d1 + length) + d1.astype(np.uint64) * np.uint64(1 << 32) + d2.astype(np.uint64))
+                core = mix(span_names(sums, primes, base - low, base - high + length) ^ tag)
+                cover = mix(span_names(sums, primes, base - d2, base - d1 + length) + d1.astype(np.uint64) * np.uint64(1 << 32) + d2.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[r]), pa.array(c[r]), pa.array(w[r]), pa.array(b.astype(np.int32)), pa.array(d1.astype(np.int32)),
                      pa.array(d2.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(cover.view(np.int64))],
@@ -318,72 +324,82 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, seed_length: int = SEED_LENGTH) -> DataFrame:
-    """The documents' columns, ``_spans`` (merged removed runs) and ``_kept``
-    (remaining bytes); one row per row of ``docs``."""
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def kept_bytes(raw: bytes, runs: list[tuple[int, int]], characters: bool) -> bytes:
+    """What is left of a text without its runs; with ``characters`` a character
+    of which a byte goes goes as a whole."""
+    parts, at = [], 0
+    for a, b in runs:
+        if characters:
+            while a > 0 and raw[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b += 1
+        parts.append(raw[at:a])
+        at = max(at, b)
+    return b"".join(parts) + raw[at:]
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, seed_length: int = SEED_LENGTH, characters: bool = False) -> DataFrame:
+    """``row`` (a struct of the documents' columns, whatever their names),
+    ``spans`` (merged removed runs) and ``kept`` (remaining bytes; with
+    ``characters``, of whole characters); one row per row of ``docs``."""
     if not 8 <= seed_length <= length:
         raise ValueError("seed_length must be between 8 and length")
-    columns = docs.columns
     # an id may be null or repeated: the text's hash is part of the key
-    keyed = docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("k2", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k1"),
+                        F.xxhash64("text").alias("k2"), F.col("text"))
     spans = written(repeated_spans(keyed.select("k1", "k2", "text"), length, seed_length), "repeats-spans")
     touched = docs.sparkSession.sparkContext.broadcast(BitFilter.of(spans.select(F.xxhash64("k1", "k2").alias("key")), "key"))
 
     def dirty_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(touched.value(batch.column("_key").to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(touched.value(batch.column("key").to_numpy().view(np.uint64))))
 
     def clean_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(~touched.value(batch.column("_key").to_numpy().view(np.uint64))))
+            part = batch.filter(pa.array(~touched.value(batch.column("key").to_numpy().view(np.uint64))))
             raw = pa.array([b"" if t is None else t for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array([[]] * part.num_rows, runs_type), raw],
-                                             names=[*columns, "_spans", "_kept"])
-
-    runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([[]] * part.num_rows, RUNS), raw], names=["row", "spans", "kept"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             texts, spans = batch.column("text"), batch.column("spans").to_pylist()
             runs, kept = [], []
             for k, s in enumerate(spans):
                 raw = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
                 run = merged(s) if s else []
-                parts, at = [], 0
-                for a, b in run:
-                    parts.append(raw[at:a])
-                    at = b
                 runs.append([{"start": a, "end": b} for a, b in run])
-                kept.append(b"".join(parts) + raw[at:])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(runs, runs_type),
-                 pa.array(kept, pa.binary())], names=[*columns, "_spans", "_kept"])
+                kept.append(kept_bytes(raw, run, characters))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(runs, RUNS), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
 
     from pyspark.sql.types import BinaryType, StructType
-    marked = keyed.withColumn("_key", F.xxhash64("k1", "k2"))
+    marked = keyed.withColumn("key", F.xxhash64("k1", "k2"))
     dirty = marked.mapInArrow(dirty_only, marked.schema).join(spans, ["k1", "k2"], "left")
-    schema = StructType([*docs.schema.fields, *spans.select(F.col("spans").alias("_spans")).schema.fields]).add("_kept", BinaryType())
-    clean = marked.select(*columns, "_key").mapInArrow(clean_only, schema)
-    return clean.unionByName(dirty.select(*columns, "spans").mapInArrow(cut, schema))
+    schema = StructType([keyed.schema["row"], spans.schema["spans"]]).add("kept", BinaryType())
+    clean = marked.select("row", "text", "key").mapInArrow(clean_only, schema)
+    return clean.unionByName(dirty.select("row", "text", "spans").mapInArrow(cut, schema))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, seed_length: int = SEED_LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     cut = without_repeats(docs.select("doc_id", "text"), length, seed_length)
-    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return cut.select("doc_id", (F.length("_kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
-                      F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return cut.select("row.doc_id", (F.length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, seed_length: int = SEED_LENGTH) -> DataFrame:
     """The documents with their repeated passages cut out; a character of which
     a byte went is dropped, and a column n_chars follows the new text."""
-    cut = without_repeats(docs, length, seed_length)
-    changed = F.size("_spans") > 0
-    # an invalid sequence becomes U+FFFD, which the text may not hold otherwise
-    text = F.when(changed, F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("text"))
-    out = cut.withColumn("text", text)
+    cut = without_repeats(docs, length, seed_length, characters=True)
+    changed = F.size("spans") > 0
+    text = F.when(changed, F.col("kept").cast("string")).otherwise(F.col("row")["text"])
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        size = F.length(text).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, size).otherwise(F.col("row")["n_chars"])
+    return cut.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cartwheel.llm.bytehash import text_buffers, text_groups
+from cartwheel.llm.common import fresh_worker, worker_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -93,7 +94,7 @@ class PretokenCounts(dict):
         return out
 
 
-_caches: dict[str, PretokenCounts] = {}
+_caches: dict[str, PretokenCounts] = worker_cache({})
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
@@ -102,6 +103,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     whole = spark.sparkContext.broadcast(prove_model(vocabulary))  # at most the vocabulary
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker(_caches)
         if vocabulary not in _caches:  # kept between the tasks of a worker
             _caches[vocabulary] = PretokenCounts(vocabulary, whole.value)
         counts = _caches[vocabulary]

@@ -17,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_force(docs):
+def brute_force(docs, threshold=85):
     """id -> (set size, smallest reachable id) over (id, text) rows."""
     sets = [(i, shingles(t)) for i, t in docs]
     where = defaultdict(list)
@@ -33,7 +33,7 @@ def brute_force(docs):
         return x
 
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a][1]) + len(sets[b][1]) - n):
+        if 100 * n >= threshold * (len(sets[a][1]) + len(sets[b][1]) - n):
             x, y = sorted((find(a), find(b)), key=lambda k: sets[k][0])
             top[y] = x
     return {i: (len(s), sets[find(k)][0]) for k, (i, s) in enumerate(sets)}
@@ -122,3 +122,24 @@ def test_components(llm):
 
 def test_empty_table(documents):
     assert m.near_duplicates(documents.where("false")).count() == 0
+
+
+def test_words_that_collide_modulo_a_power_of_two_stay_apart(llm):
+    """A Thue-Morse word and its mirror differ in every byte, but polynomials
+    modulo 2**64 cannot tell them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = llm.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in m.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_large_group_that_shares_a_shingle_with_an_outsider(llm):
+    """Sets of one label are not joined with each other."""
+    common, sets = list(range(100)), []
+    for k in range(600):
+        sets.append(common + [1000 + k])
+    sets.append([5, *range(5000, 5100)])
+    df = llm.createDataFrame(list(enumerate(sets)), "doc_id long, shingles array<long>")
+    labels = df.select("doc_id", F.when(F.col("doc_id") < 600, 0).otherwise(600).cast("long").alias("label"))
+    plan = m.bounded_pairs(df, labels, 85)
+    assert plan.count() == 0 and "y_label" in plan._jdf.queryExecution().optimizedPlan().toString()

@@ -85,3 +85,29 @@ def test_parameters(documents):
 
 def test_empty_table(documents):
     assert s.digest(documents.where("false")).collect() == []
+
+
+def test_cleaned_keeps_characters_and_columns_of_any_name(llm):
+    passage = "é" * 60 + "passage of two documents " * 8
+    rows = [(1, "one \ufffd start " + passage + " and \ufffd the end"), (2, "日本" + passage), (3, "\ufffd untouched"), (4, None)]
+    names = ["k1", "k2", "spans", "key", "row", "kept", "_key", "_spans", "_kept", "h", "c"]
+    df = llm.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = {r["doc_id"]: r for r in s.cleaned(df, 200, 64).collect()}
+    assert s.cleaned(df, 200, 64).columns == df.columns and all(r[n] == n for r in out.values() for n in names)
+    assert out[1]["text"].startswith("one \ufffd start ") and out[1]["text"].endswith(" and \ufffd the end") and "passage" not in out[1]["text"]
+    assert out[2]["text"] == "日本" and out[3]["text"] == "\ufffd untouched" and out[4]["text"] is None
+
+
+def test_a_character_cut_in_two_goes_as_a_whole():
+    raw = "aéz日b".encode()
+    assert s.kept_bytes(raw, [(2, 4)], False) == raw[:2] + raw[4:]
+    assert s.kept_bytes(raw, [(2, 4)], True).decode() == "a日b"
+    assert s.kept_bytes(raw, [(2, 3), (5, 6)], True).decode() == "azb"
+    assert s.kept_bytes(raw, [(0, len(raw))], True) == b""
+
+
+def test_strings_that_collide_modulo_a_power_of_two_are_two(llm):
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = llm.createDataFrame([(1, "x" + one), (2, "y" + other)], "doc_id long, text string")
+    compare(df, length=1024, seed_length=64)
