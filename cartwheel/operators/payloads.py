@@ -152,9 +152,10 @@ def _meta_user(meta: Column) -> dict[str, Column]:
     return {k: meta[k] for k in ("clientIp", "userAgent", "fbc", "fbp")}
 
 
-def add_to_cart_conversion(enriched: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
+def add_to_cart_conversion(enriched: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG, keep: tuple[str, ...] = ()) -> DataFrame:
     """E3 (+E5): AddToCart for every 'add' action. Quantity in the payload
-    is always 1 and the value is the first price (0 when none)."""
+    is always 1 and the value is the first price (0 when none). Columns in
+    ``keep`` pass by, here and in the other builders that take it."""
     a = enriched.filter(F.col("action") == "add")
     price = _price_units(F.col("first_amount"))
     item_id = _item_id(F.col("sku"), F.col("variant_id"))
@@ -165,7 +166,7 @@ def add_to_cart_conversion(enriched: DataFrame, cfg: PayloadConfig = DEFAULT_CON
         _meta_user(F.col("metadata")),
         {"currency": F.lit("USD"), "value": price, "contentType": F.lit("product"),
          "contentIds": F.array(item_id), "contents": contents, "numItems": F.lit(1).cast("bigint")}, cfg)
-    return a.select("id", payload.alias("payload"))
+    return a.select("id", *keep, payload.alias("payload"))
 
 
 def viewed_products(views: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -315,27 +316,28 @@ def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
     return o.withColumn("shipping_total", F.lit(None).cast("bigint"))
 
 
-def placed_orders(orders: DataFrame, order_events: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+def placed_orders(orders: DataFrame, order_events: DataFrame, customers: DataFrame | None = None,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
     """``order.placed`` events with their enriched order. The customer is the
     event's: a guest event (no customer id) has none, even if the order does;
     one that differs from the order's is looked up in ``customers``."""
     ev = order_events.filter(F.col("event_name") == "order.placed").select(
-        "id", F.col("customer_id").alias("event_customer"), F.col("ts").alias("event_ts"), "metadata")
+        "id", F.col("customer_id").alias("event_customer"), F.col("ts").alias("event_ts"), "metadata", *keep)
     j = ev.join(orders, "id")
     person = [c for c in ("email", "phone", "first_name", "last_name") if c in orders.columns]
     same = F.col("event_customer") == F.col("customer_id")
     if customers is None:
         return j.select(*[c for c in j.columns if c not in person], *[F.when(same, F.col(c)).alias(c) for c in person])
-    look = customers.select(F.col("id").alias("event_customer"), *[F.col(c).alias(f"__{c}") for c in person])
+    look = customers.select(F.col("id").alias("event_customer"), F.struct(*person).alias("__person"))
     j = left_join_spread(j, look, "event_customer")
-    return j.select(*[c for c in j.columns if c not in person and not c.startswith("__")],
-                    *[F.when(same, F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in person])
+    return j.select(*[c for c in j.columns if c not in (*person, "__person")],
+                    *[F.when(same, F.col(c)).otherwise(F.col(f"__person.{c}")).alias(c) for c in person])
 
 
 def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG,
-                        customers: DataFrame | None = None) -> DataFrame:
+                        customers: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """E2 (+E5): one Purchase for every ``order.placed`` event."""
-    j = placed_orders(orders, order_events, customers)
+    j = placed_orders(orders, order_events, customers, keep)
     items = F.col("items")
     ids = F.transform(items, lambda x: _item_id(x["sku"], x["variant_id"]))
     contents = F.coalesce(F.transform(items, lambda x: F.struct(
@@ -351,7 +353,7 @@ def purchase_conversion(orders: DataFrame, order_events: DataFrame, cfg: Payload
          "value": F.col("total") / F.lit(100.0), "contentType": F.lit("product"),
          "contentIds": ids, "contents": contents, "numItems": num,
          "orderId": F.col("id").cast("string")}, cfg)
-    return j.select("id", payload.alias("payload"))
+    return j.select("id", *keep, payload.alias("payload"))
 
 
 # ------------------------------------------------------ measurement protocol
@@ -385,7 +387,7 @@ def _session(meta: Column) -> Column:
     return js_or(meta["sessionId"], js_or(meta["gaSessionId"], F.lit(None).cast("string"), "string"), "string")
 
 
-def ga_cart(enriched: DataFrame, action: str, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
+def ga_cart(enriched: DataFrame, action: str, cfg: PayloadConfig = DEFAULT_CONFIG, keep: tuple[str, ...] = ()) -> DataFrame:
     """add_to_cart or remove_from_cart (removals go to this format
     only); value = first price x quantity."""
     a = enriched.filter(F.col("action") == action).withColumn("quantity", F.coalesce("quantity", F.lit(1)))
@@ -400,12 +402,12 @@ def ga_cart(enriched: DataFrame, action: str, cfg: PayloadConfig = DEFAULT_CONFI
     name = "add_to_cart" if action == "add" else "remove_from_cart"
     payload = ga_envelope(name, params, F.col("metadata.userId"), _session(F.col("metadata")), F.col("ts"),
                           F.col("id"))
-    return a.select("id", payload.alias("payload"))
+    return a.select("id", *keep, payload.alias("payload"))
 
 
-def ga_purchase(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:
+def ga_purchase(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG, keep: tuple[str, ...] = ()) -> DataFrame:
     """Purchase with transaction id, value, shipping, tax and indexed items."""
-    j = placed_orders(orders, order_events)
+    j = placed_orders(orders, order_events, keep=keep)
     items = F.transform(F.col("items"), lambda x, i: F.struct(
         _item_id(x["sku"], x["variant_id"]).alias("item_id"), x["title"].alias("item_name"),
         F.lit(cfg.item_affiliation).alias("affiliation"),
@@ -421,7 +423,7 @@ def ga_purchase(orders: DataFrame, order_events: DataFrame, cfg: PayloadConfig =
         F.coalesce(items, F.array().cast(GA_ITEMS)).alias("items")]
     payload = ga_envelope("purchase", params, F.col("event_customer").cast("string"), _session(F.col("metadata")),
                           F.col("event_ts"), F.col("id"))
-    return j.select("id", payload.alias("payload"))
+    return j.select("id", *keep, payload.alias("payload"))
 
 
 def ga_view_item(views: DataFrame, catalog: DataFrame, cfg: PayloadConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -13,7 +13,7 @@ from cartwheel.plans.registry import ORDERS_AS_OF, REPORT_PERIOD, commerce, regi
 from cartwheel.session import scratch_path
 from cartwheel.sources import events as ev
 from cartwheel.sources import seed
-from cartwheel.streaming import outbox
+from cartwheel.streaming import delivery, outbox, versions
 
 
 @register("seed_catalog", with_views("""
@@ -70,13 +70,14 @@ def conversion_outbox(spark, sf_dir):
     c = commerce(spark, sf_dir)
     catalog = outbox.snapshot_catalog(spark, qe._catalog(c))
     orders = outbox.snapshot_catalog(spark, qe._orders_enriched(c))
+    people = outbox.snapshot_catalog(spark, c.customers)
     box, ckpt = scratch_path(spark, "outbox"), scratch_path(spark, "outbox-ckpt")
     started = []
     for sink in outbox.SINKS:
         # A file stream source watches a folder or glob; the test data is one file.
         started.append(outbox.start_outbox(spark, f"{c.sf_dir}/events.parquet*", catalog, box, ckpt, sink))
         placed = ev.order_events(outbox.read_orders_stream(spark, f"{c.sf_dir}/orders.parquet*"))
-        started.append(outbox.start_order_outbox(placed, orders, box, ckpt, sink))
+        started.append(outbox.start_order_outbox(placed, orders, box, ckpt, sink, customers=people))
     errors = outbox.finish(started)
     if errors:
         raise errors[0]
@@ -85,3 +86,48 @@ def conversion_outbox(spark, sf_dir):
     get = lambda name: F.when(F.col("sink") == "pixel", F.get_json_object("payload", f"{field['pixel']}.{name}")).otherwise(
         F.get_json_object("payload", f"{field['measurement']}.{name}"))
     return rows.select("id", "sink", "event_name", get("value").cast("double").alias("value"), get("currency").alias("currency"))
+
+
+# Cart events in two micro-batches. Promotional articles are not in the
+# catalogue that is published before the first one; before the second, all are,
+# at twice the price. Dead letters are replayed after it.
+DELIVERY_CUT = "2024-01-16 00:00:00"
+DELIVERY_SQL = f"""
+    SELECT CAST(id AS VARCHAR) AS id, CASE action WHEN 'add' THEN 'add_to_cart' ELSE 'remove_from_cart' END AS event_name,
+           coalesce(first_amount * CASE WHEN ts < TIMESTAMP '{DELIVERY_CUT}' AND product_type NOT LIKE 'PROMO%' THEN 1 ELSE 2 END / 100.0, 0.0)
+             * quantity AS value,
+           CASE WHEN ts >= TIMESTAMP '{DELIVERY_CUT}' THEN 1 WHEN product_type LIKE 'PROMO%' THEN -1 ELSE 0 END AS batch_id
+    FROM co_cart_enriched"""
+
+
+def _delivered(spark, sf_dir, replay: bool) -> delivery.Delivery:
+    c = commerce(spark, sf_dir)
+    root = scratch_path(spark, "delivery")
+    catalog, events = qe._catalog(c), ev.cart_events(c.raw("events"))
+    d = delivery.Delivery(spark, delivery.CART, "measurement", f"{root}/outbox", f"{root}/lookups", f"{root}/dead")
+    versions.publish(spark, d.lookups, {"catalog": catalog.where("product_type NOT LIKE 'PROMO%'")})
+    cut = F.lit(DELIVERY_CUT).cast("timestamp_ntz")
+    d.write(events.where(F.col("ts") < cut), 0)
+    if replay:
+        versions.publish(spark, d.lookups, {"catalog": catalog.withColumn("first_amount", F.col("first_amount") * 2)})
+        d.write(events.where(F.col("ts") >= cut), 1)
+        d.replay()
+    return d
+
+
+@register("event_delivery", with_views(DELIVERY_SQL, *qe.CART_VIEWS, extra=qe.CART_EXTRA))
+def event_delivery(spark, sf_dir):
+    """Payloads of two micro-batches and a replay, each with the catalogue that
+    was published when it was run."""
+    rows = _delivered(spark, sf_dir, True).deliveries()
+    value = F.get_json_object("payload", "$.events[0].params.value").cast("double")
+    return rows.select("id", "event_name", value.alias("value"), F.col("batch_id").cast("int").alias("batch_id"))
+
+
+@register("dead_letters", with_views(f"""
+    SELECT CAST(id AS VARCHAR) AS id, 'unknown_variant' AS reason, 1 AS version
+    FROM co_cart_enriched WHERE ts < TIMESTAMP '{DELIVERY_CUT}' AND product_type LIKE 'PROMO%'""", *qe.CART_VIEWS, extra=qe.CART_EXTRA))
+def dead_letters(spark, sf_dir):
+    """Events of the first micro-batch whose article the catalogue lacks."""
+    letters = _delivered(spark, sf_dir, False).dead_letters()
+    return letters.select(F.get_json_object("message", "$.id").alias("id"), "reason", F.col("version").cast("int").alias("version"))

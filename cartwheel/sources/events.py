@@ -48,6 +48,9 @@ CART_EVENT_SCHEMA = T.StructType([
     ])),
 ])
 
+#: Text of a JSON line that is no message; NULL for messages.
+CORRUPT = "_corrupt_record"
+
 # Raw `events` rows as a stream source (file source needs the schema).
 RAW_EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -137,16 +140,23 @@ def request_log(events_raw: DataFrame) -> DataFrame:
     return events_raw.select(F.col("user_id").cast("string").alias("client"), path.alias("path"), F.col("ts"))
 
 
-def read_order_events(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:
-    """The shop's own order events (JSON lines of ORDER_EVENT_SCHEMA) as a stream."""
-    return (spark.readStream.schema(ORDER_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(path))
+def _read_json_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int, keep_malformed: bool) -> DataFrame:
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    if keep_malformed:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.schema(schema).json(path)
+
+
+def read_order_events(spark: SparkSession, path: str, max_files_per_trigger: int = 64, keep_malformed: bool = False) -> DataFrame:
+    """The shop's own order events (JSON lines of ORDER_EVENT_SCHEMA) as a
+    stream; with ``keep_malformed`` the text of bad lines is a column."""
+    return _read_json_stream(spark, path, ORDER_EVENT_SCHEMA, max_files_per_trigger, keep_malformed)
 
 
-def read_cart_events(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:
+def read_cart_events(spark: SparkSession, path: str, max_files_per_trigger: int = 64, keep_malformed: bool = False) -> DataFrame:
     """The shop's own cart events (JSON lines of CART_EVENT_SCHEMA) as a stream."""
-    return (spark.readStream.schema(CART_EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(path))
+    return _read_json_stream(spark, path, CART_EVENT_SCHEMA, max_files_per_trigger, keep_malformed)
 
 
 def read_events_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 64) -> DataFrame:

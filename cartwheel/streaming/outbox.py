@@ -23,31 +23,34 @@ from cartwheel.sources import events as ev
 SINKS = ("pixel", "measurement")
 
 
-def payload_frame(enriched: DataFrame, sink: str) -> DataFrame:
-    """Rows (id, sink, event_name, payload JSON) for one outbox."""
+def payload_frame(enriched: DataFrame, sink: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, ``keep``, sink, event_name, payload JSON) for one outbox."""
     if sink == "pixel":
-        df = pl.add_to_cart_conversion(enriched)
+        df = pl.add_to_cart_conversion(enriched, keep=keep)
         name = F.col("payload.event_name")
     elif sink == "measurement":
-        df = pl.ga_cart(enriched, "add").unionByName(pl.ga_cart(enriched, "remove"))
+        df = pl.ga_cart(enriched, "add", keep=keep).unionByName(pl.ga_cart(enriched, "remove", keep=keep))
         name = F.col("payload.events")[0]["name"]
     else:
         raise ValueError(sink)
-    return df.select("id", F.lit(sink).alias("sink"), name.alias("event_name"),
+    return df.select("id", *keep, F.lit(sink).alias("sink"), name.alias("event_name"),
                      F.to_json("payload").alias("payload"))
 
 
-def order_payload_frame(orders: DataFrame, order_events: DataFrame, sink: str) -> DataFrame:
-    """Outbox rows of placed orders: ``orders`` is the enriched static side."""
+def order_payload_frame(orders: DataFrame, order_events: DataFrame, sink: str, customers: DataFrame | None = None,
+                        keep: tuple[str, ...] = ()) -> DataFrame:
+    """Outbox rows of placed orders: ``orders`` is the enriched static side,
+    ``customers`` the table in which an event's customer is looked up who is
+    not the order's."""
     if sink == "pixel":
-        df = pl.purchase_conversion(orders, order_events)
+        df = pl.purchase_conversion(orders, order_events, customers=customers, keep=keep)
         name = F.col("payload.event_name")
     elif sink == "measurement":
-        df = pl.ga_purchase(orders, order_events)
+        df = pl.ga_purchase(orders, order_events, keep=keep)
         name = F.col("payload.events")[0]["name"]
     else:
         raise ValueError(sink)
-    return df.select("id", F.lit(sink).alias("sink"), name.alias("event_name"),
+    return df.select("id", *keep, F.lit(sink).alias("sink"), name.alias("event_name"),
                      F.to_json("payload").alias("payload"))
 
 
@@ -87,11 +90,11 @@ def start_cart_outbox(cart_events: DataFrame, catalog: DataFrame, outbox: str, c
 
 
 def start_order_outbox(order_events: DataFrame, orders: DataFrame, outbox: str, checkpoint: str, sink: str,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, customers: DataFrame | None = None) -> StreamingQuery:
     """One sink's outbox of a stream of order events; ``orders`` is the
     enriched order table (:func:`cartwheel.operators.payloads.order_enriched`),
-    written once as the static side."""
-    return _start(order_payload_frame(orders, order_events, sink), outbox, checkpoint, sink, "orders", available_now)
+    written once as the static side, and ``customers`` the customer table."""
+    return _start(order_payload_frame(orders, order_events, sink, customers), outbox, checkpoint, sink, "orders", available_now)
 
 
 def start_outbox(spark: SparkSession, events_path: str, catalog: DataFrame, outbox: str, checkpoint: str,
