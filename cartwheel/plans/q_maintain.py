@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from cartwheel.operators import maintain as m
 from cartwheel.plans.registry import commerce, register, with_views
-from cartwheel.session import checkpoint_dir
+from cartwheel.session import checkpoint_dir, scratch_path
+from cartwheel.sources import file_versions
 
 NOW = dt.datetime(2024, 6, 1)
 NOW_SQL = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -287,6 +288,20 @@ def patch_rows(spark, sf_dir):
     return out.select("id", "name", "amount", "price_type", "is_return", "updated_at")
 
 
+@register("patch_by_file", with_views(f"""
+    SELECT id, total, CASE WHEN total > 40000000 THEN 'reviewed' ELSE status END AS status FROM co_order""", "co_order"))
+def patch_by_file(spark, sf_dir):
+    """The order table as a table of files, one status patched in the orders of
+    400,000 and more; files without such an order are shared by both versions."""
+    c = commerce(spark, sf_dir)
+    table = file_versions.FileTable(spark, scratch_path(spark, "orders-by-file"))
+    table.create(c.orders.select("id", "total", "status").repartitionByRange(16, "total"))
+    large = table.read().where("total > 40000000")
+    patches = large.select("id", F.lit("reviewed").alias("status"), F.array(F.lit("status")).alias("fields"))
+    file_versions.patch(table, patches, "id", ("status",), NOW)
+    return table.read()
+
+
 @register("patch_report", with_views("""
     SELECT p.id, CASE WHEN o.id IS NULL THEN 'not_found' WHEN p.n = 0 THEN 'empty' ELSE 'updated' END AS status
     FROM patches p LEFT JOIN co_option o ON p.id = o.id""", "co_option", extra=PATCH_CTE))
