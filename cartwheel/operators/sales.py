@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwheel.functions.cols import js_round, lit_like, one_row_join
+from cartwheel.functions.period import resolve_period
 from cartwheel.sources.layout import MONTH_COL
 
 # Order statuses that are not sales (reference vocabulary).
 DEFAULT_EXCLUDED = ("canceled", "draft")
 TOP_K = 10
+PERIODS = ("7d", "30d", "90d", "1y")
 
 
 def orders_in_period(orders: DataFrame, start: dt.datetime, end: dt.datetime,
@@ -125,6 +127,51 @@ def customer_metrics(orders: DataFrame, start: dt.datetime, end: dt.datetime,
     )
 
 
+def customer_metrics_by_period(orders: DataFrame, as_of: dt.datetime, codes=PERIODS, excluded=DEFAULT_EXCLUDED) -> DataFrame:
+    """A3 for several periods that end at ``as_of``: period, unique_customers and
+    returning_customers, from one scan and one shuffle of one row a customer and
+    task: the customer's first order (of any status) and its in-period orders
+    per period. Equal to one :func:`customer_metrics` a period."""
+    seen = orders.filter((F.col("created_at") <= lit_like(as_of, orders, "created_at")) & F.col("customer_id").isNotNull())
+    starts = {code: resolve_period(code, as_of)[0] for code in codes}
+    ts, sale = F.col("created_at"), ~F.col("status").isin(*excluded)
+    counts = [F.count_if((ts >= lit_like(start, orders, "created_at")) & sale).alias(f"n_{code}") for code, start in starts.items()]
+    per_customer = seen.groupBy("customer_id").agg(F.min(ts).alias("first"), *counts)
+    sums = []
+    for code, start in starts.items():
+        n = F.col(f"n_{code}")
+        returning = F.sum(F.when(F.col("first") < lit_like(start, orders, "created_at"), n))
+        sums.append(F.struct(F.lit(code).alias("period"), F.count_if(n > 0).alias("unique_customers"),
+                             F.coalesce(returning, F.lit(0)).cast("bigint").alias("returning_customers")).alias(f"m_{code}"))
+    one = per_customer.agg(*sums)
+    return one.select(F.explode(F.array(*[f"m_{code}" for code in starts])).alias("m")).select("m.*")
+
+
+def daily_customer_bitmaps(orders: DataFrame, numbers: DataFrame, excluded=DEFAULT_EXCLUDED) -> DataFrame:
+    """(date, bucket, bitmap): the customers with a sale on a day as bitmaps of
+    32,768 customer numbers each (4 KB). They are exact and merge by OR, so a
+    day's are built once and serve every period that has the day. ``numbers``:
+    customer_id, no (:func:`cartwheel.sources.layout.numbered`)."""
+    sales = orders.filter(~F.col("status").isin(*excluded) & F.col("customer_id").isNotNull())
+    pairs = sales.select("customer_id", F.col("created_at").cast("date").alias("date")).where("date IS NOT NULL").distinct()
+    return (pairs.join(numbers, "customer_id")
+            .groupBy("date", F.bitmap_bucket_number("no").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bitmap")))
+
+
+def customers_in_periods(bitmaps: DataFrame, last_days: list[dt.date], days: dict[str, int]) -> DataFrame:
+    """(last_day, period, unique_customers) of the periods of ``days`` whole days
+    that end with each of ``last_days`` (bounded lists of the caller), from
+    :func:`daily_customer_bitmaps` alone."""
+    ends = F.array(*[F.lit(d) for d in last_days])
+    out = None
+    for code, n in days.items():
+        fits = F.filter(ends, lambda e: (F.col("date") <= e) & (F.col("date") > F.date_sub(e, n)))  # noqa: B023
+        part = bitmaps.select(F.explode(fits).alias("last_day"), F.lit(code).alias("period"), "bucket", "bitmap")
+        out = part if out is None else out.unionByName(part)
+    merged = out.groupBy("last_day", "period", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("n"))
+    return merged.groupBy("last_day", "period").agg(F.sum("n").alias("unique_customers"))
+
+
 def sales_summary(orders_p: DataFrame, metrics: DataFrame) -> DataFrame:
     """A4: totals of the period plus the customer metrics.
 

@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwheel.sources.layout import written
 from cartwheel.streaming.versions import read_if_any
 
 LIST_SCHEMA = "file string, origin string"
@@ -139,10 +140,13 @@ def upsert(table: FileTable, changes: DataFrame, key: str, update_cols=None, seq
     """Upsert on a file table: files with a changed key are rewritten, new keys
     go to files of their own."""
     from cartwheel.operators import maintain as m
-    one = m.latest_per_key(changes, key, seq)
-    known = table.read().select(key).join(one.select(key), key, "left_semi").distinct()
-    fresh = one.join(known, key, "left_anti")
-    old = one.join(known, key, "left_semi")
+    one = written(m.latest_per_key(changes, key, seq), "upsert-changes")
+    # the table's keys are filtered before the join, which a small change set's
+    # broadcast does without moving the table
+    known = table.read().select(key).join(one.select(key), key, "left_semi").distinct().withColumn("__known", F.lit(True))
+    marked = written(one.join(known, key, "left"), "upsert-marked")
+    fresh = marked.where("__known IS NULL").drop("__known")
+    old = marked.where("__known").drop("__known")
 
     def rewrite(rows: DataFrame) -> DataFrame:
         # only the changes of rows at hand, or the others would be inserted
