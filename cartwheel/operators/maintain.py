@@ -15,6 +15,7 @@ caller's step; see :func:`write_version`.
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -348,17 +349,25 @@ def add_column_backfill(df: DataFrame, column: str = "includes_tax", default: bo
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
-def merge_metadata(regions: DataFrame, ids: DataFrame, patch: dict[str, str] = METADATA_PATCH) -> DataFrame:
+def merge_metadata(regions: DataFrame, ids: DataFrame, patch: dict = METADATA_PATCH) -> DataFrame:
     """``metadata = COALESCE(metadata, '{}') || patch`` on the given
     regions; on a key clash the patch wins (LAST_WIN map dedup). Metadata kept
-    as JSON text is parsed, merged and written back as text."""
+    as JSON text or VARIANT is merged key by key as VARIANT values, so numbers,
+    booleans and nested objects stay what they are; the patch may hold such
+    values too. Metadata that is a map of strings takes strings."""
     hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
-    pm = F.create_map(*[F.lit(x) for kv in patch.items() for x in kv])
     j = regions.join(hit, "id", "left")
-    text = isinstance(regions.schema["metadata"].dataType, T.StringType)
-    held = F.from_json("metadata", T.MapType(T.StringType(), T.StringType())) if text else F.col("metadata")
-    merged = F.map_concat(F.coalesce(held, empty_string_map()), pm)
-    merged = F.to_json(merged) if text else merged
+    kind = regions.schema["metadata"].dataType
+    if isinstance(kind, (T.StringType, T.VariantType)):
+        any_map = T.MapType(T.StringType(), T.VariantType())
+        values = [F.parse_json(F.lit(json.dumps(v))) for v in patch.values()]
+        held = F.from_json("metadata", any_map) if isinstance(kind, T.StringType) else F.col("metadata").cast(any_map)
+        pm = F.map_from_arrays(F.array(*[F.lit(k) for k in patch]), F.array(*values))
+        merged = F.map_concat(F.coalesce(held, F.from_json(F.lit("{}"), any_map)), pm)
+        merged = F.to_json(merged) if isinstance(kind, T.StringType) else F.to_variant_object(merged)
+    else:
+        pm = F.create_map(*[F.lit(x) for kv in patch.items() for x in kv])
+        merged = F.map_concat(F.coalesce(F.col("metadata"), empty_string_map()), pm)
     return j.select(*[F.when(F.col("__hit"), merged).otherwise(F.col(c)).alias(c) if c == "metadata"
                       else F.col(c) for c in regions.columns])
 

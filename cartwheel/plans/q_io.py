@@ -33,6 +33,30 @@ def seed_catalog(spark, sf_dir):
         "currency_code", "amount")
 
 
+@register("seed_documents", with_views("""
+    SELECT CAST(v.product_id AS VARCHAR) AS product_id, CAST(v.id AS VARCHAR) AS variant_id, v.sku, p.currency_code, p.amount,
+           CAST(v.product_id % 7 AS BIGINT) AS shelf, 'row ' || CAST(v.product_id % 3 AS VARCHAR) AS place
+    FROM co_variant v JOIN co_price p ON v.id = p.variant_id""", "co_variant", "co_price"))
+def seed_documents(spark, sf_dir):
+    """Product documents written as JSON lines with keys that no schema knows,
+    read back as VARIANT, taken apart, put together again and read once more:
+    every price with the unknown keys of its product."""
+    c = commerce(spark, sf_dir)
+    root = scratch_path(spark, "seed-documents")
+    lines = seed.product_documents(c.products, c.variants, c.prices)
+    number = F.get_json_object("value", "$.id").cast("bigint")
+    store = F.to_json(F.struct((number % 7).alias("shelf"), F.struct(F.concat(F.lit("row "), (number % 3).cast("string")).alias("row")).alias("place")))
+    lines.select(F.concat(F.expr("substr(value, 1, length(value) - 1)"), F.lit(', "store": '), store, F.lit("}")).alias("value")).write.text(f"{root}/in")
+    seed.open_documents(seed.open_products(seed.read_documents(spark, f"{root}/in"))).write.text(f"{root}/out")
+    rows = seed.open_products(seed.read_documents(spark, f"{root}/out"))
+    tables = seed.product_tables(rows)
+    more = rows.select(F.col("id").alias("product_id"), F.variant_get(F.col("more")["store"], "$.shelf", "bigint").alias("shelf"),
+                       F.variant_get(F.col("more")["store"], "$.place.row", "string").alias("place"))
+    v, p = tables["product_variant"], tables["money_amount"]
+    return v.join(p, v.id == p.variant_id).join(more, "product_id").select(
+        "product_id", F.col("id").alias("variant_id"), "sku", "currency_code", "amount", "shelf", "place")
+
+
 @register("report_sink")
 def report_sink(spark, sf_dir):
     """The sales report written as one JSON document and read back."""

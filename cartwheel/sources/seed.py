@@ -133,3 +133,46 @@ def product_documents(products: DataFrame, variants: DataFrame, prices: DataFram
                    "type", "tags", F.array().cast(PRODUCT["options"].dataType).alias("options"),
                    F.coalesce("variants", F.array().cast(T.ArrayType(VARIANT))).alias("variants"))
     return p.select(F.to_json(doc).alias("value"))
+
+
+# ------------------------------------------------------------ open documents
+ANY_MAP = T.MapType(S, T.VariantType())
+
+
+def read_documents(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
+    """JSON documents under ``path`` as a VARIANT column ``doc``: one a line, or
+    each file one document. Every key is kept, whatever the schema knows."""
+    return spark.read.option("singleVariantColumn", "doc").option("multiLine", one_document).json(path)
+
+
+def seed_products(doc: DataFrame) -> DataFrame:
+    """The product documents of seed documents, as VARIANT ``doc``."""
+    return doc.select(F.explode(F.variant_get("doc", "$.products", "array<variant>")).alias("doc"))
+
+
+def open_products(docs: DataFrame) -> DataFrame:
+    """PRODUCT rows of VARIANT product documents, and ``more``: the keys that
+    the schema does not know, as a map of VARIANT values. The variants' own
+    unknown keys are in ``more_variants``, one map a variant."""
+    known, known_variant = (F.array(*[F.lit(f.name) for f in t.fields]) for t in (PRODUCT, VARIANT))
+
+    def rest(value, names):
+        return F.map_filter(value.cast(ANY_MAP), lambda k, v: ~F.array_contains(names, k))
+
+    variants = F.variant_get("doc", "$.variants", "array<variant>")
+    return docs.select(F.col("doc").cast(PRODUCT).alias("p"), rest(F.col("doc"), known).alias("more"),
+                       F.transform(variants, lambda v: rest(v, known_variant)).alias("more_variants")).select("p.*", "more", "more_variants")
+
+
+def open_documents(rows: DataFrame) -> DataFrame:
+    """The inverse of :func:`open_products`: documents as JSON text (``value``),
+    unknown keys included. Keys without a value are left out."""
+    def joined(known, more):
+        return F.map_concat(F.from_json(F.to_json(known), ANY_MAP), F.coalesce(more, F.from_json(F.lit("{}"), ANY_MAP)))
+
+    variants = F.zip_with("variants", "more_variants", lambda v, m: joined(v, m))
+    plain = [f.name for f in PRODUCT.fields if f.name != "variants"]
+    held = F.map_concat(joined(F.struct(*plain), F.col("more")),
+                        F.when(F.col("variants").isNotNull(), F.map_from_arrays(F.array(F.lit("variants")), F.array(F.parse_json(F.to_json(variants)))))
+                        .otherwise(F.from_json(F.lit("{}"), ANY_MAP)))
+    return rows.select(F.to_json(held).alias("value"))

@@ -231,3 +231,19 @@ def test_metadata_kept_as_text_is_merged(spark):
     ids = regions.select("id")
     got = {r.id: r.metadata for r in m.merge_metadata(regions, ids, {"a": "2", "b": "3"}).collect()}
     assert got == {"r1": '{"a":"2","b":"3"}', "r2": '{"a":"2","b":"3"}'}
+
+
+def test_metadata_keeps_numbers_and_nested_objects(spark):
+    import json
+    held = {"1": '{"n": 1, "deep": {"a": [1, true, null]}, "s": "x"}', "2": None, "3": '{"n": 7}'}
+    df = spark.createDataFrame(list(held.items()), "id string, metadata string")
+    ids = spark.createDataFrame([("1",), ("2",), ("9",)], "id string")
+    patch = {"s": "new", "k": {"m": 2}, "f": 1.5}
+    want = {"1": {"n": 1, "deep": {"a": [1, True, None]}, **patch}, "2": patch, "3": {"n": 7}}
+    got = {r.id: json.loads(r.metadata) for r in m.merge_metadata(df, ids, patch).collect()}
+    assert got == want
+    from pyspark.sql import functions as F
+    variant = df.select("id", F.parse_json("metadata").alias("metadata"))
+    out = m.merge_metadata(variant, ids, patch)
+    assert out.schema == variant.schema
+    assert {r.id: json.loads(r.metadata) for r in out.select("id", F.to_json("metadata").alias("metadata")).collect()} == want

@@ -86,3 +86,21 @@ def test_product_lines_round_trip(spark):
     assert back["product"].count() == 2
     assert sorted(r.id for r in back["product_variant"].collect()) == ["v1", "v2", "v3"]
     assert sorted(map(tuple, back["money_amount"].collect())) == sorted(map(tuple, t["money_amount"].collect()))
+
+
+def test_unknown_keys_survive_the_round_trip(spark):
+    import json
+    docs = [{"id": "p1", "title": "T", "tags": [{"id": "t", "value": "x"}], "weight": 1.5, "origin": {"land": "PT", "lots": [1, {"n": 2}]}, "flag": True,
+             "variants": [{"id": "v1", "sku": "k", "prices": [{"currency_code": "usd", "amount": 5}], "ean": 123}, {"id": "v2", "box": {"w": 1}}]},
+            {"id": "p2", "variants": []}, {"id": "p3", "none": None, "variants": [{"id": "v3"}]}]
+    path = scratch_path(spark, "t-seed-open")
+    spark.createDataFrame([(json.dumps(d),) for d in docs], "value string").write.text(path)
+    rows = seed.open_products(seed.read_documents(spark, path))
+    assert rows.count() == 3 and seed.product_tables(rows)["money_amount"].collect()[0].amount == 5
+    back = {json.loads(r.value)["id"]: json.loads(r.value) for r in seed.open_documents(rows).collect()}
+    assert back["p1"] == docs[0] and back["p2"] == docs[1]
+    assert {k: v for k, v in back["p3"].items() if v is not None} == {"id": "p3", "variants": [{"id": "v3"}]}
+    one = scratch_path(spark, "t-seed-one")
+    spark.createDataFrame([(json.dumps({"store": {"x": 1}, "products": docs}, indent=1),)], "value string").coalesce(1).write.text(one)
+    whole = seed.open_products(seed.seed_products(seed.read_documents(spark, one, one_document=True)))
+    assert sorted(r.value for r in seed.open_documents(whole).collect()) == sorted(r.value for r in seed.open_documents(rows).collect())
