@@ -235,10 +235,16 @@ def bounded_pairs(sets: DataFrame, labels: DataFrame, threshold: int) -> DataFra
     # a shingle all of whose sets have one label has no pair to look for
     mixed = heads.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     heads = written(heads.join(mixed, "token"), "minhash-heads")
-    # sets meet those of the token's other labels only, never their own label's
-    labels_at = heads.select("token", F.col("label").alias("y_label")).distinct()
-    x = (heads.where("at < index").select("token", *[F.col(c).alias("x_" + c) for c in ("doc_id", "n", "label", "at")])
-         .join(labels_at, "token").where("x_label != y_label"))
+    # sets meet those of the token's other labels only, never their own label's;
+    # the bounds below hold for a label if they hold for its best members
+    labels_at = heads.groupBy("token", F.col("label").alias("y_label")).agg(
+        F.min("n").alias("lo"), F.max(F.struct("n", "doc_id")).alias("top"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    x = heads.where("at < index").select("token", *[F.col(c).alias("x_" + c) for c in ("doc_id", "n", "label", "at")])
+    least_need = (F.col("x_n") + F.greatest("x_n", "lo")) * t / (100 + t)
+    x = x.join(labels_at.withColumnRenamed("token", "l_token"), (F.col("token") == F.col("l_token")) & (F.col("x_label") != F.col("y_label"))
+               & ((F.col("x_n") < F.col("top.n")) | ((F.col("x_n") == F.col("top.n")) & (F.col("x_doc_id") < F.col("top.doc_id"))))
+               & (F.col("x_n") * 100 >= F.col("lo") * t) & (F.least(F.col("x_n") - F.col("x_at"), F.col("rest")) >= least_need - 1e-6))
+    x = x.select("token", "y_label", "x_doc_id", "x_n", "x_label", "x_at")
     y = heads.select("token", *[F.col(c).alias("y_" + c) for c in ("doc_id", "n", "label", "at")])
     need = (F.col("x_n") + F.col("y_n")) * t / (100 + t)
     rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
