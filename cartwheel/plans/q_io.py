@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cartwheel.functions.cols import iso_timestamp
 from cartwheel.operators import maintain as m
 from cartwheel.plans import q_events as qe
-from cartwheel.plans import q_maintain, reports
-from cartwheel.plans.registry import ORDERS_AS_OF, REPORT_PERIOD, commerce, register, with_views
+from cartwheel.plans import q_maintain, q_sales as qs, reports
+from cartwheel.plans.registry import ORDERS_AS_OF, REPORT_PERIOD, E, S, commerce, register, with_views
 from cartwheel.session import scratch_path
 from cartwheel.sources import events as ev
 from cartwheel.sources import seed
@@ -57,9 +57,27 @@ def seed_documents(spark, sf_dir):
         "product_id", F.col("id").alias("variant_id"), "sku", "currency_code", "amount", "shelf", "place")
 
 
-@register("report_sink")
+def _json_list(sql: str, order: str, fields: tuple[str, ...]) -> str:
+    """A list of JSON objects with the given fields of a query's rows."""
+    return f"(SELECT coalesce(list({{{', '.join(f"'{f}': {f}" for f in fields)}}} ORDER BY {order}), []) FROM ({sql}))"
+
+
+def _iso_sql(ts) -> str:
+    return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+SALES_JSON_SQL = f"""
+    SELECT CAST(to_json({{'period': '{REPORT_PERIOD}', 'start': {_iso_sql(S)}, 'end': {_iso_sql(E)},
+      'summary': (SELECT {{'total_revenue': total_revenue, 'total_orders': total_orders, 'average_order_value': average_order_value,
+                          'unique_customers': unique_customers, 'returning_customers': returning_customers}} FROM report_summary),
+      'daily_stats': {_json_list('SELECT * FROM report_days', 'date', ('date', 'revenue', 'orders', 'average_order_value'))},
+      'top_products': {_json_list('SELECT row_number() OVER () AS k, * FROM report_top', 'k', ('product_id', 'title', 'handle', 'units_sold', 'revenue'))}}}) AS VARCHAR) AS value"""
+
+
+@register("report_sink", with_views(SALES_JSON_SQL, "co_order", "co_line_item", "co_variant", "co_product",
+                                    extra=(("report_days", qs.DAILY_SQL), ("report_top", qs.TOP_SQL), ("report_summary", qs.SUMMARY_SQL))))
 def report_sink(spark, sf_dir):
-    """The sales report written as one JSON document and read back."""
+    """The sales report (A5) written as one JSON document and read back."""
     c = commerce(spark, sf_dir)
     report = reports.sales_report(c.orders, c.line_items, c.variants, c.products, REPORT_PERIOD,
                                   ORDERS_AS_OF, c.excluded_status)
@@ -69,6 +87,21 @@ def report_sink(spark, sf_dir):
     return spark.read.text(path)
 
 
+@register("customer_report_document", with_views(f"""
+    SELECT CAST(to_json({{'period': '{REPORT_PERIOD}', 'start': {_iso_sql(S)}, 'end': {_iso_sql(E)},
+      'customer_acquisition': {_json_list('SELECT * FROM report_days', 'date', ('date', 'new_customers'))},
+      'top_customers': {_json_list(f"SELECT * REPLACE ({_iso_sql('last_order_date')} AS last_order_date), row_number() OVER () AS k FROM report_top", 'k',
+        ('customer_id', 'email', 'name', 'order_count', 'total_spent', 'average_order_value', 'last_order_date'))}}}) AS VARCHAR) AS value""",
+    "co_order", "co_customer", extra=(("report_days", qs.ACQUISITION_SQL), ("report_top", qs.TOP_CUSTOMERS_SQL))))
+def customer_report_document(spark, sf_dir):
+    """The customer report (A10) as one JSON document."""
+    c = commerce(spark, sf_dir)
+    report = reports.customer_report(c.customers, c.orders, REPORT_PERIOD, ORDERS_AS_OF, c.excluded_status)
+    top = F.transform("top_customers", lambda x: x.withField("last_order_date", iso_timestamp(x["last_order_date"])))
+    report = report.withColumn("start", iso_timestamp("start")).withColumn("end", iso_timestamp("end")).withColumn("top_customers", top)
+    return report.select(F.to_json(F.struct(*report.columns)).alias("value"))
+
+
 @register("table_writeback", q_maintain.oracle_for("dedupe_regions"))
 def table_writeback(spark, sf_dir):
     """The deduplicated region table written as a new version and read back."""
