@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cartwheel.operators import payloads as pl
 from cartwheel.plans.registry import commerce, register, with_views
 from cartwheel.sources import events as ev
+from cartwheel.sources.layout import written
 from cartwheel.streaming import limiter, rate_limit as rl
 
 # ----------------------------------------------------------- SQL mappings
@@ -116,9 +117,29 @@ def _catalog(c):
     return pl.variant_catalog(c.variants, c.products, c.prices)
 
 
+class _Shared:
+    """The shop's tables with the catalogue written once, for a query that
+    builds several kinds of payload: no branch joins the catalogue anew."""
+
+    def __init__(self, c):
+        self._c = c
+        self.catalog = written(_catalog(c), "shared-catalog")
+
+    def __getattr__(self, name):
+        return getattr(self._c, name)
+
+
+def _shop(spark, sf_dir, shared):
+    return commerce(spark, sf_dir) if shared is None else shared
+
+
+def _catalog_of(c) -> DataFrame:
+    return c.catalog if isinstance(c, _Shared) else _catalog(c)
+
+
 def _cart_enriched(c) -> DataFrame:
     actions = pl.cart_delta(ev.cart_events(c.raw("events")))
-    return pl.cart_enriched(actions, _catalog(c))
+    return pl.cart_enriched(actions, _catalog_of(c))
 
 
 def _addresses(c) -> DataFrame:
@@ -132,7 +153,7 @@ def _addresses(c) -> DataFrame:
 
 
 def _orders_enriched(c) -> DataFrame:
-    return pl.order_enriched(c.orders, c.line_items, _catalog(c), c.customers, _addresses(c))
+    return pl.order_enriched(c.orders, c.line_items, _catalog_of(c), c.customers, _addresses(c))
 
 
 def _order_events(c) -> DataFrame:
@@ -278,8 +299,8 @@ PURCHASE_SQL = _pixel_sql(
 
 
 @register("add_to_cart_conversion", with_views(ADD_TO_CART_SQL, *CART_VIEWS, extra=CART_EXTRA))
-def add_to_cart_conversion(spark, sf_dir):
-    return _pixel_flat(pl.add_to_cart_conversion(_cart_enriched(commerce(spark, sf_dir))))
+def add_to_cart_conversion(spark, sf_dir, shared=None):
+    return _pixel_flat(pl.add_to_cart_conversion(_cart_enriched(_shop(spark, sf_dir, shared))))
 
 
 @register("order_lists_by_runs", with_views("""
@@ -293,8 +314,8 @@ def order_lists_by_runs(spark, sf_dir):
 
 
 @register("purchase_conversion", with_views(PURCHASE_SQL, *ORDER_VIEWS, extra=ORDER_EXTRA))
-def purchase_conversion(spark, sf_dir):
-    c = commerce(spark, sf_dir)
+def purchase_conversion(spark, sf_dir, shared=None):
+    c = _shop(spark, sf_dir, shared)
     return _pixel_flat(pl.purchase_conversion(_orders_enriched(c), _order_events(c)))
 
 
@@ -316,9 +337,9 @@ VIEW_CONTENT_SQL = _pixel_sql(
 
 
 @register("view_content_conversion", with_views(VIEW_CONTENT_SQL, *CART_VIEWS, extra=(CATALOG_CTE, VIEWED_CTE, VIEW_SQL_CTE)))
-def view_content_conversion(spark, sf_dir):
-    c = commerce(spark, sf_dir)
-    return _pixel_flat(pl.view_content_conversion(ev.view_events(c.raw("events")), _catalog(c)))
+def view_content_conversion(spark, sf_dir, shared=None):
+    c = _shop(spark, sf_dir, shared)
+    return _pixel_flat(pl.view_content_conversion(ev.view_events(c.raw("events")), _catalog_of(c)))
 
 
 @register("conversion_envelope", with_views(
@@ -326,8 +347,9 @@ def view_content_conversion(spark, sf_dir):
     *ORDER_VIEWS, extra=ORDER_EXTRA + (CART_EVENT_CTE, CART_DELTA_CTE, ENRICHED_CTE, VIEWED_CTE, VIEW_SQL_CTE)))
 def conversion_envelope(spark, sf_dir):
     """E5 over every pixel conversion (AddToCart, Purchase, ViewContent)."""
-    return (add_to_cart_conversion(spark, sf_dir).unionByName(purchase_conversion(spark, sf_dir))
-            .unionByName(view_content_conversion(spark, sf_dir)))
+    shared = _Shared(commerce(spark, sf_dir))
+    return (add_to_cart_conversion(spark, sf_dir, shared).unionByName(purchase_conversion(spark, sf_dir, shared))
+            .unionByName(view_content_conversion(spark, sf_dir, shared)))
 
 
 # ------------------------------------------------- measurement protocol
@@ -364,14 +386,14 @@ def _ga_cart_sql(action: str, name: str) -> str:
 
 
 @register("ga_add_to_cart", with_views(_ga_cart_sql("add", "add_to_cart"), *CART_VIEWS, extra=CART_EXTRA))
-def ga_add_to_cart(spark, sf_dir):
-    return _ga_cart_flat(pl.ga_cart(_cart_enriched(commerce(spark, sf_dir)), "add"))
+def ga_add_to_cart(spark, sf_dir, shared=None):
+    return _ga_cart_flat(pl.ga_cart(_cart_enriched(_shop(spark, sf_dir, shared)), "add"))
 
 
 @register("ga_remove_from_cart", with_views(_ga_cart_sql("remove", "remove_from_cart"), *CART_VIEWS,
                                             extra=CART_EXTRA))
-def ga_remove_from_cart(spark, sf_dir):
-    return _ga_cart_flat(pl.ga_cart(_cart_enriched(commerce(spark, sf_dir)), "remove"))
+def ga_remove_from_cart(spark, sf_dir, shared=None):
+    return _ga_cart_flat(pl.ga_cart(_cart_enriched(_shop(spark, sf_dir, shared)), "remove"))
 
 
 GA_PURCHASE_SQL = f"""
@@ -392,8 +414,8 @@ GA_PURCHASE_SQL = f"""
 
 
 @register("ga_purchase", with_views(GA_PURCHASE_SQL, *ORDER_VIEWS, extra=ORDER_EXTRA))
-def ga_purchase(spark, sf_dir):
-    c = commerce(spark, sf_dir)
+def ga_purchase(spark, sf_dir, shared=None):
+    c = _shop(spark, sf_dir, shared)
     df = pl.ga_purchase(_orders_enriched(c), _order_events(c))
     prm = F.col("payload.events")[0]["params"]
     return df.select(*_ga_base(df), prm["currency"].alias("currency"),
@@ -415,9 +437,9 @@ GA_VIEW_ITEM_SQL = f"""
 
 
 @register("ga_view_item", with_views(GA_VIEW_ITEM_SQL, *CART_VIEWS, extra=(CATALOG_CTE, VIEWED_CTE, VIEW_SQL_CTE)))
-def ga_view_item(spark, sf_dir):
-    c = commerce(spark, sf_dir)
-    df = pl.ga_view_item(ev.view_events(c.raw("events")), _catalog(c))
+def ga_view_item(spark, sf_dir, shared=None):
+    c = _shop(spark, sf_dir, shared)
+    df = pl.ga_view_item(ev.view_events(c.raw("events")), _catalog_of(c))
     prm = F.col("payload.events")[0]["params"]
     item = prm["items"][0]
     return df.select(*_ga_base(df), prm["currency"].alias("currency"), prm["value"].alias("value"),
@@ -435,8 +457,8 @@ GA_BEGIN_CHECKOUT_SQL = f"""
 
 
 @register("ga_begin_checkout", with_views(GA_BEGIN_CHECKOUT_SQL, *ORDER_VIEWS, extra=ORDER_EXTRA))
-def ga_begin_checkout(spark, sf_dir):
-    o = _orders_enriched(commerce(spark, sf_dir))
+def ga_begin_checkout(spark, sf_dir, shared=None):
+    o = _orders_enriched(_shop(spark, sf_dir, shared))
     df = pl.ga_begin_checkout(o, F.col("region_currency"))
     prm = F.col("payload.events")[0]["params"]
     return df.select(*_ga_base(df), prm["currency"].alias("currency"), prm["value"].alias("value"),
@@ -454,8 +476,8 @@ GA_SEARCH_SQL = f"""
 
 
 @register("ga_search", with_views(GA_SEARCH_SQL, "co_product"))
-def ga_search(spark, sf_dir):
-    c = commerce(spark, sf_dir)
+def ga_search(spark, sf_dir, shared=None):
+    c = _shop(spark, sf_dir, shared)
     df = pl.ga_search(ev.search_events(c.raw("events")), c.products)
     prm = F.col("payload.events")[0]["params"]
     return df.select(*_ga_base(df), prm["search_term"].alias("search_term"))
@@ -473,9 +495,9 @@ def _ga_envelope_sql() -> str:
 def ga_envelope(spark, sf_dir):
     """E12 over every measurement-protocol event: client id, session id and
     engagement time of each payload."""
-    out = None
+    out, shared = None, _Shared(commerce(spark, sf_dir))
     for fn in (ga_add_to_cart, ga_remove_from_cart, ga_purchase, ga_view_item, ga_begin_checkout, ga_search):
-        part = fn(spark, sf_dir).select(*GA_COLS)
+        part = fn(spark, sf_dir, shared).select(*GA_COLS)
         out = part if out is None else out.unionByName(part)
     return out
 
