@@ -116,7 +116,12 @@ def build(names: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray,
     bits) with their language numbers and counts."""
     languages = sorted(names.tolist())
     which = np.array([languages.index(x) for x in names.tolist()], dtype=np.int64)[lang] if len(lang) else np.empty(0, np.int64)
-    per_byte = np.bincount(gram & 255, weights=n, minlength=256)
+    # shares of each language's own bytes, so that a small language with a script
+    # of its own has its symbols and contexts beside large ones
+    of_lang = np.bincount(which, weights=n, minlength=len(languages))
+    share = n / of_lang[which] if len(which) else n
+    per_lang = np.bincount(which * 256 + (gram & 255), weights=share, minlength=256 * max(1, len(languages)))
+    per_byte = per_lang.reshape(-1, 256).max(0)
     kept = [int(b) for b in np.argsort(-per_byte, kind="stable") if per_byte[b] > 0][:max_symbols]
     symbol = np.zeros(256, dtype=np.int32)
     symbol[sorted(kept)] = np.arange(1, len(kept) + 1)
@@ -127,7 +132,7 @@ def build(names: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray,
         values, inverse = np.unique(code, return_inverse=True)
         if limit is None or len(values) <= limit:
             return values
-        weight = np.bincount(inverse, weights=n)
+        weight = np.bincount(inverse, weights=share)
         return np.sort(values[np.argsort(-weight, kind="stable")[:limit]])
 
     codes = [np.zeros(len(gram), np.int64), s[1], s[2] * size + s[1], (s[3] * size + s[2]) * size + s[1]]

@@ -94,3 +94,18 @@ def test_no_training_rows(documents):
     model = langid.train(documents, F.lit(False))
     assert {r["lang_pred"] for r in langid.predict(documents, model).collect()} == {"und"}
     assert langid.predict(documents.where("false"), model).count() == 0
+
+
+def test_small_languages_with_scripts_of_their_own(llm):
+    """Symbols and contexts go by shares of each language's bytes: two small
+    languages keep theirs beside a large one."""
+    import random
+    rnd = random.Random(6)
+    letters = {"en": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "el": "αβγδεζηθικλμνξοπρστυφχψω", "hy": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվ"}
+    text = lambda lang, n: " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    rows = [(lang, text(lang, 60)) for lang, n in (("en", 400), ("el", 6), ("hy", 6)) for _ in range(n)]
+    train = llm.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(train, F.lit(True), max_contexts=400, max_symbols=60)
+    fresh = [(lang, text(lang, 4)) for lang in letters for _ in range(30)]
+    out = langid.predict(llm.createDataFrame([(k, t) for k, (_, t) in enumerate(fresh)], "doc_id long, text string"), model).collect()
+    assert all(r["lang_pred"] == fresh[r["doc_id"]][0] for r in out)
