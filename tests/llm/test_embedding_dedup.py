@@ -73,3 +73,49 @@ def test_search_reaches_every_vector_in_range():
 
 def test_empty_table(llm):
     assert e.near_duplicates(llm.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def near_vectors(n, dims=16, spread=0.05, seed=5):
+    """One dense group: nearly all of its pairs are links."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=dims)
+    return [[float(x) for x in centre + spread * rng.normal(size=dims)] for _ in range(n)]
+
+
+def test_dense_groups_lose_no_link(llm, monkeypatch):
+    monkeypatch.setattr(e, "BLOCK", 150)  # several blocks a label
+    rows = [(k, v, 1) for k, v in enumerate(near_vectors(900, spread=0.16))] + [(1000 + k, v, 2) for k, v in enumerate(clustered(200, 16, 8, 0.2))]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, component = brute_force(rows)
+    assert 0.3 < sum(links[k] for k in range(900)) / (900 * 899) < 1
+    got = {r["vec_id"]: r for r in e.near_duplicates(df, shard_size=200).collect()}
+    assert all(got[k]["n_links"] == links[k] and got[k]["component_id"] == component[k] for k in range(900))
+    assert sum(got[k]["n_links"] for k in range(1000, 1200)) >= 0.95 * sum(links[k] for k in range(1000, 1200))
+
+
+def test_labels_that_fail_the_audit_are_compared_in_blocks(llm, monkeypatch):
+    monkeypatch.setattr(e, "DENSE_SHARE", 2.0)  # no label counts as dense
+    monkeypatch.setattr(e, "range_search", lambda *a: [])  # and the graph finds nothing
+    rows = [(k, v, 1) for k, v in enumerate(clustered(150, 12, 2, 0.2))] + [(500, [1.0] * 12, 2)]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(e, "audit", lambda classes, *a: ["1:12"])
+    links, component = brute_force(rows)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(df).collect()} == {k: (links[k], component[k]) for k in links}
+
+
+def test_audit_names_the_labels_that_lost_links(llm):
+    rows = [(f"{k % 2}:8", k, 1, v) for k, v in enumerate(near_vectors(120, 8))]
+    classes = llm.createDataFrame(rows, "cell string, id long, w long, vec array<double>")
+    full = classes.select("id").selectExpr("id", "59L AS n")
+    assert e.audit(classes, full, 0.93, 0.95) == []
+    assert e.audit(classes, full.selectExpr("id", "IF(id = 4, 40L, n) AS n"), 0.93, 0.95) == ["0:8"]  # one query
+    assert e.audit(classes, full.where("id % 2 = 0"), 0.93, 0.95) == ["1:8"]
+
+
+def test_cells_that_no_centre_tells_apart(llm, monkeypatch):
+    monkeypatch.setattr(e, "DENSE_SHARE", 2.0)
+    monkeypatch.setattr(e, "MAX_LEVEL", 0)
+    rows = [(k, v, 1) for k, v in enumerate(clustered(260, 12, 3, 0.2))]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, component = brute_force(rows)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(df, shard_size=20).collect()} == {k: (links[k], component[k]) for k in links}
