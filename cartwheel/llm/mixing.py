@@ -89,6 +89,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, total_share: Fracti
 
 def repeated(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus itself: every document once per copy, its columns only."""
-    mixed = mix(docs, **params)
+    # the caller's columns go as one, whatever their names
+    held = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
     copies = F.array_repeat(F.lit(1), F.col("_copies").cast("int"))
-    return mixed.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    return mix(held, **params).select("row", F.explode(copies)).select("row.*")

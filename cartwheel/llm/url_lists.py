@@ -28,6 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cartwheel.llm.common import free_name
+
 BUCKET_DAYS = 32
 FOREVER = "9999-12-31"
 #: Columns added to the captures.
@@ -72,10 +74,15 @@ def depths(pattern: Column) -> tuple[Column, Column]:
 
 def as_of_join(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_on: str = "fetched_on") -> DataFrame:
     """Captures with the columns of RESULT; verdict is ``block``, ``allow`` or null."""
-    clash = set(captures.columns) & set(RESULT)
-    if clash:
-        captures = captures.withColumnsRenamed({c: f"capture_{c}" for c in clash})
-        url, fetched_on = (f"capture_{c}" if c in clash else c for c in (url, fetched_on))
+    # names of the result, and of the steps to it, in any case of letters
+    taken = {*RESULT, "_url", "_day", "_hit"}
+    renamed = {}
+    for c in captures.columns:
+        if c.lower() in taken:
+            renamed[c] = free_name([*captures.columns, *renamed.values(), *taken], f"capture_{c}")
+    if renamed:
+        captures = captures.withColumnsRenamed(renamed)
+        url, fetched_on = (renamed.get(c, c) for c in (url, fetched_on))
     spans = validity_intervals(entries)
     labels, segments = depths(F.col("pattern"))
     bounds = spans.agg(F.max(labels).alias("labels"), F.max(segments).alias("segments"),

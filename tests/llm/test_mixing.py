@@ -45,3 +45,12 @@ def test_edge_rows_and_repeatable(edge_documents):
 
 def test_empty_table(documents):
     assert mixing.mix(documents.where("false")).count() == 0
+
+
+def test_repeated_keeps_columns_of_any_name(documents):
+    from pyspark.sql import functions as F
+    names = ["_size", "_copies", "_source_size", "_target", "_copy", "row", "_src", "rank", "weight"]
+    df = documents.select("*", *[F.lit(n).alias(n) for n in names])
+    out = mixing.repeated(df)
+    assert out.columns == df.columns and out.select(*names).distinct().collect() == df.select(*names).distinct().collect()
+    assert out.drop(*names).exceptAll(mixing.repeated(documents)).count() == 0

@@ -80,3 +80,10 @@ def test_no_python_in_the_plan(llm):
     from cartwheel.llm.queries import op1_url_lists
     plan = op1_url_lists(llm, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_names_in_any_case_keep_their_values(llm):
+    caps = llm.createDataFrame([(1, "http://bad.org", D(2024, 1, 5), "h", "c", "u")], "page_id long, url string, fetched_on date, Host string, capture_Host string, _URL string")
+    entries = llm.createDataFrame([("l", "block", "bad.org", "add", D(2024, 1, 1))], ENTRIES)
+    (r,) = u.as_of_join(caps, entries).collect()
+    assert (r["_capture_Host"], r["capture_Host"], r["capture__URL"], r["host"], r["verdict"]) == ("h", "c", "u", "bad.org", "block")
