@@ -32,8 +32,10 @@ def test_plans_have_no_cross_joins_windows_or_python(spark):
     """Guard for the scale rules: no cartesian or nested-loop joins, no
     un-partitioned windows, no Python evaluation anywhere in the plans."""
     banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "Window", "BatchEvalPython", "ArrowEvalPython",
-              "FlatMapGroupsInPandas", "MapInPandas")
-    sinks = {"conversion_outbox", "report_sink", "table_writeback"}   # run jobs while building the frame
+              "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow", "FlatMapCoGroupsInPandas")
+    # run jobs while building the frame
+    sinks = {"conversion_outbox", "report_sink", "table_writeback", "event_delivery", "dead_letters", "daily_sales_rollup", "limiter_windows",
+             "patch_by_file", "seed_documents"}
     by_key = {"order_item_rows"}   # windows within (order, run) only
     bad = {}
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
