@@ -35,7 +35,7 @@ def test_plans_have_no_cross_joins_windows_or_python(spark):
               "FlatMapGroupsInPandas", "MapInPandas", "MapInArrow", "FlatMapCoGroupsInPandas")
     # run jobs while building the frame
     sinks = {"conversion_outbox", "report_sink", "table_writeback", "event_delivery", "dead_letters", "daily_sales_rollup", "limiter_windows",
-             "patch_by_file", "seed_documents"}
+             "patch_by_file", "seed_documents", "customers_in_periods", "top_products_bucketed"}
     by_key = {"order_item_rows"}   # windows within (order, run) only
     bad = {}
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
