@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,13 +39,16 @@ def fresh_worker(keep: dict | None = None) -> None:
     for cache in stale:
         cache.clear()
     if stale:
-        import ctypes
-        import gc
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # no glibc
-            pass
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
 
 
 def importable(spark: SparkSession) -> None:
@@ -80,6 +85,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    give_back()  # models and filters of the steps so far
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     signed = written(signatures(docs, words, side, rows), "minhash-signatures")
     classes = signed.where("h1 is not null and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(
         F.min("doc_id").alias("class_id"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes = written(classes, "minhash-classes")  # read by every step below
     stars = written(banded_stars(classes.select("class_id", "sketch"), side), "minhash-stars")
     members = stars.select(F.col("b").alias("doc_id"))
     n_members = stars.count()
