@@ -24,11 +24,14 @@ other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -46,6 +49,40 @@ CACHE_WORDS = 300_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def merge_ranks(ranks: str) -> dict[bytes, int]:
+    import public_tokenizers
+    with open(public_tokenizers.path(ranks), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache
+def prove_ranks(vocabulary: str, ranks: str) -> None:
+    """Raises unless the rank file stands for the vocabulary: no normalizer, the
+    byte-level pattern, plain merges in the order of their tokens' ids, the same
+    bytes for every id, and added tokens that match as they are written."""
+    import public_tokenizers
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        held = json.load(f)
+    model, split = held["model"], held["pre_tokenizer"] or {}
+    plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if held["normalizer"] or model["type"] != "BPE" or any(model.get(k) for k in plain):
+        raise ValueError(f"{vocabulary} changes texts or merges otherwise than by ranks")
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{vocabulary} splits texts by another pattern")
+    if any(t[k] for t in held["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{vocabulary} has added tokens that match more than their text")
+    # a byte is written as its own character if that shows, else as the next one from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown}
+    byte_of |= {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+    added = {t["content"] for t in held["added_tokens"]}
+    ids = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"]["".join(pair)] for pair in pairs]
+    if ids != merge_ranks(ranks) or made != sorted(set(made)) or len(made) + 256 != len(ids):
+        raise ValueError(f"{ranks} has other tokens or another order of merges than {vocabulary}")
+
+
 class WordIds(dict):
     """Packed little-endian ids of a space and the chunk after it.
 
@@ -60,15 +97,11 @@ class WordIds(dict):
 
     def __init__(self, vocabulary: str, ranks: str):
         super().__init__()
-        import base64
-        import json
-
         import public_tokenizers
         import tiktoken
         with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
             self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        with open(public_tokenizers.path(ranks), "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        merges = merge_ranks(ranks)
         self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges,
                                         special_tokens={}).encode_ordinary
         by_length = sorted(self.special, key=len, reverse=True)
@@ -115,6 +148,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    prove_ranks(vocabulary, ranks)
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +220,10 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
-    order = [F.col("length"), F.col("doc_id"), F.col("piece")]
-    sorted_pieces = ranked(pieces, order, "packing")
+    # pieces that tie (equal or null ids, equal texts) may still fall into different ranges
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    order = [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("_tie")]
+    sorted_pieces = ranked(pieces.withColumn("_tie", tie), order, "packing")
     counts = {r["length"]: r["count"] for r in sorted_pieces.groupBy("length").count().collect()}
     first, seen = {}, 0
     for length in sorted(counts):

@@ -88,5 +88,20 @@ def test_sweeps_equal_sequential_best_fit_decreasing():
             assert len(used) == simple_best_fit(lengths, capacity)
 
 
+def test_ranks_must_stand_for_the_vocabulary():
+    packing.prove_ranks(packing.VOCABULARY, packing.RANKS)
+    with pytest.raises(ValueError, match="other tokens"):
+        packing.prove_ranks(packing.VOCABULARY, "byte_bpe_multi_50k.tiktoken")
+    with pytest.raises(ValueError, match="changes texts|another pattern"):
+        packing.prove_ranks("word_bpe_49k.json", packing.RANKS)
+
+
+def test_many_pieces_that_tie_are_packed_whole(llm):
+    docs = llm.range(5000).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
+    rows = packing.packed_documents(docs).collect()
+    assert len(rows) == 5000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 5000
+    assert len({r["sequence_id"] for r in rows}) == 5 and max(r["offset"] for r in rows) == 1023
+
+
 def test_empty_table(documents):
     assert packing.packed_documents(documents.where("false")).collect() == []
