@@ -5,10 +5,11 @@ Training (labelled rows of the training fold; a bounded sample of them):
 1. Words and word beginnings are counted by label over the sample. Terms much
    likelier in toxic documents form the lexicon; a beginning is extended while
    that loses no toxic document, so a term is a whole word or a stem.
-2. Words near the hits are counted by label: the context window.
+2. Words near the hits are counted by label: the context window. Words that
+   surely stand rather near hits of documents that are not toxic mark mentions.
 3. A logistic regression weighs what a document's hits show: exact and
    misspelled hits, weights of the terms, density, hits between quotation marks
-   or after reporting words (quotation rather than abuse), and the context
+   or near words of mentions (quotation rather than abuse), and the context
    score. It is fitted on either half of the sample with the lexicon of the
    other half, so that terms found by chance do not look better than they are.
    A row counts as often as rows of its label were left out of the sample, so
@@ -41,11 +42,14 @@ from cartwheel.llm.bytehash import text_buffers, text_groups
 from cartwheel.llm.common import written
 from cartwheel.llm.minhash_dedup import near_duplicates
 
-#: Bounds of the training sample (documents of each label) and of the lexicon.
+#: Bound of the training sample (documents of each label). Lexicon and context
+#: words have no bound of their own: a term joins by its support and log odds.
 MAX_DOCS = 4000
-MAX_TERMS = 128
-MAX_CONTEXT_WORDS = 2000
 MIN_LOG_ODDS = 3.0
+#: Documents near whose hits a context word stands at least.
+CONTEXT_SUPPORT = 5
+#: Log odds, plus two standard errors, up to which a context word marks mentions.
+MENTION_LOG_ODDS = -1.0
 #: Weight (log odds less one standard error) from which misspellings count.
 STRONG = 4.0
 WINDOW = 5
@@ -54,16 +58,15 @@ THRESHOLD = 0.3
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _QUOTES = '"«»“”„‟‹›'
-#: Words that report speech (fixed values: English, German, French, Spanish).
-REPORTING = frozenset("said says wrote quoted called sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 
 
 @dataclass
 class ToxicityModel:
-    """Lexicon, context words and weights; small whatever the corpus."""
+    """Lexicon, context words and weights; bounded by the training sample."""
 
     terms: list[tuple[str, bool, float]] = field(default_factory=list)  # term, is a stem, log odds
     context: dict[str, float] = field(default_factory=dict)
+    mentions: frozenset[str] = frozenset()  # context words that mark mentions
     weights: np.ndarray | None = None
     prior: float = 0.0
 
@@ -201,7 +204,7 @@ class Matcher(dict):
             near = words[max(0, i - WINDOW):i + 1 + WINDOW]
             window = self.window(words, i)
             marks = sum(w.count(c) for w in near for c in _QUOTES)
-            quoted += marks >= 2 or any(w in REPORTING for w in window)
+            quoted += marks >= 2 or any(w in self.model.mentions for w in window)
             context += math.tanh(sum(self.model.context.get(w, 0.0) for w in window) / WINDOW)
         exact = sum(e == 0 for _, _, e in hits)
         weights = [self.model.terms[k][2] for k in {k for _, k, _ in hits}]
@@ -251,21 +254,29 @@ def count_terms(sample: DataFrame) -> DataFrame:
         F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
 
 
-def choose_terms(rows, toxic: int, clean: int, max_terms: int) -> list[tuple[str, bool, float]]:
+def choose_terms(rows, toxic: int, clean: int) -> list[tuple[str, bool, float]]:
     """Lexicon from counted terms: whole words first, then the longest stems
     that stand for words which no chosen term explains."""
     odds = {(r["term"], r["stem"]): float(log_odds(r["n_toxic"], r["n_clean"], toxic, clean)) for r in rows}
     error = {(r["term"], r["stem"]): math.sqrt(1 / (r["n_toxic"] + 0.5) + 1 / (r["n_clean"] + 0.5)) for r in rows}
     count = {(r["term"], r["stem"]): r["n_toxic"] for r in rows}
+    longer: dict[str, int] = {}  # stem -> most toxic documents of a stem one character longer
+    for (term, stem), n in count.items():
+        if stem:
+            longer[term[:-1]] = max(n, longer.get(term[:-1], 0))
     chosen: list[tuple[str, bool, float]] = []
+    words, stems, beginnings = set(), set(), set()  # of the chosen terms
     for (term, stem) in sorted(count, key=lambda k: (-count[k], k[1], -len(k[0]), k[0])):
-        if len(chosen) >= max_terms or odds[term, stem] < MIN_LOG_ODDS:
+        if odds[term, stem] < MIN_LOG_ODDS:
             continue
-        if any(term.startswith(t) if s else (term == t or (stem and t.startswith(term))) for t, s, _ in chosen):
+        if term in words or (stem and term in beginnings) or any(term[:k] in stems for k in range(1, len(term) + 1)):
             continue
-        if stem and any(count.get((term + c, True), 0) >= 0.98 * count[term, True] for c in {t[len(term)] for t, s in count if s and len(t) == len(term) + 1 and t.startswith(term)}):
+        if stem and longer.get(term, 0) >= 0.98 * count[term, True]:
             continue
         chosen.append((term, stem, odds[term, stem] - error[term, stem]))
+        (stems if stem else words).add(term)
+        if not stem:
+            beginnings.update(term[:k] for k in range(1, len(term) + 1))
     return chosen
 
 
@@ -284,7 +295,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def lexicon(sample: DataFrame, max_terms: int) -> list[tuple[str, bool, float]]:
+def lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     """Terms of a sample (text, toxic); none without both labels."""
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -294,12 +305,13 @@ def lexicon(sample: DataFrame, max_terms: int) -> list[tuple[str, bool, float]]:
     # far more beginnings than words are tried, so they need more support
     counted = count_terms(sample).where(F.col("n_toxic") >= F.when(F.col("stem"), 2 * support).otherwise(support))
     odds = F.log((F.col("n_toxic") + 0.5) / (toxic + 0.5 - F.col("n_toxic"))) - F.log((F.col("n_clean") + 0.5) / (clean + 0.5 - F.col("n_clean")))
-    likely = counted.where(odds >= MIN_LOG_ODDS).orderBy(F.desc("n_toxic"), "term", "stem").limit(40 * max_terms).collect()
-    return choose_terms(likely, toxic, clean, max_terms)
+    likely = counted.where(odds >= MIN_LOG_ODDS).collect()  # bounded by the sample and the support
+    return choose_terms(likely, toxic, clean)
 
 
-def context_words(sample: DataFrame, model: ToxicityModel) -> dict[str, float]:
-    """Log odds of the words near hits; none without hits in clean documents."""
+def context_words(sample: DataFrame, model: ToxicityModel) -> tuple[dict[str, float], frozenset[str]]:
+    """Log odds of the words near hits, and those that mark mentions; none
+    without hits in clean documents."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,10 +329,11 @@ def context_words(sample: DataFrame, model: ToxicityModel) -> dict[str, float]:
         F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     total = windows.agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).first()
     if not total["t"] or not total["c"]:
-        return {}
-    rows = windows.where((F.col("n_toxic") + F.col("n_clean") >= 5) & (F.col("word") != "")).orderBy(
-        F.desc(F.col("n_toxic") + F.col("n_clean")), "word").limit(MAX_CONTEXT_WORDS).collect()
-    return {r["word"]: float(np.log((r["n_toxic"] + 1) / (total["t"] + 1)) - np.log((r["n_clean"] + 1) / (total["c"] + 1))) for r in rows}
+        return {}, frozenset()
+    rows = windows.where((F.col("n_toxic") + F.col("n_clean") >= CONTEXT_SUPPORT) & (F.col("word") != "")).collect()
+    context = {r["word"]: float(np.log((r["n_toxic"] + 1) / (total["t"] + 1)) - np.log((r["n_clean"] + 1) / (total["c"] + 1))) for r in rows}
+    return context, frozenset(r["word"] for r in rows if context[r["word"]] + 2 * math.sqrt(
+        1 / (r["n_toxic"] + 1) + 1 / (r["n_clean"] + 1)) <= MENTION_LOG_ODDS)
 
 
 def feature_rows(sample: DataFrame, model: ToxicityModel) -> list:
@@ -335,18 +348,18 @@ def feature_rows(sample: DataFrame, model: ToxicityModel) -> list:
     return sample.mapInArrow(rows_of, "x array<double>, toxic long, weight double").collect()  # bounded by the sample
 
 
-def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MAX_DOCS, max_terms: int = MAX_TERMS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, trains: Column, max_docs: int = MAX_DOCS) -> ToxicityModel:
     sample = written(training_sample(docs, labels, trains, max_docs), "toxicity-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     model = ToxicityModel(prior=toxic / max(1.0, toxic + clean))
     if not toxic or not clean:
         return model
-    model.terms = lexicon(sample, max_terms)
-    model.context = context_words(sample, model)
+    model.terms = lexicon(sample)
+    model.context, model.mentions = context_words(sample, model)
     found, half = [], F.pmod(F.xxhash64("text"), F.lit(2))
     for k in (0, 1):
-        other = ToxicityModel(terms=lexicon(sample.where(half != k), max_terms), context=model.context)
+        other = ToxicityModel(terms=lexicon(sample.where(half != k)), context=model.context, mentions=model.mentions)
         found += feature_rows(sample.where(half == k), other)
     model.weights = fit_weights(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found], float),
                                 weight=np.array([r["weight"] for r in found]))

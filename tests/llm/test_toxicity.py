@@ -130,3 +130,25 @@ def test_weights_separate():
     x = np.array([[1.0, 0], [1, 0], [1, 1], [1, 1]])
     w = t.fit_weights(x, np.array([0, 0, 1, 1.0]), ridge=0.1)
     assert w[0] < 0 < w[0] + w[1]
+
+
+def test_lexicon_has_no_fixed_size():
+    rows = [{"term": f"bad{k:03}x", "stem": False, "n_toxic": 20, "n_clean": 0} for k in range(400)]
+    rows += [{"term": "bad0", "stem": True, "n_toxic": 500, "n_clean": 400}]
+    terms = t.choose_terms(rows, 1000, 1000)
+    assert len(terms) == 400 and not any(stem for _, stem, _ in terms)
+
+
+def test_a_stem_explains_its_words_and_a_word_its_beginnings():
+    rows = [{"term": term, "stem": stem, "n_toxic": n, "n_clean": 0} for term, stem, n in (
+        ("vileness", True, 60), ("vilenes", True, 60), ("vilenesses", False, 30), ("scum", False, 50), ("scu", True, 50), ("scummy", False, 20))]
+    assert sorted(x[:2] for x in t.choose_terms(rows, 1000, 1000)) == [("scum", False), ("scummy", False), ("vileness", True)]
+
+
+def test_mentions_are_learned_from_the_context(llm):
+    clean = [(f"they reported the word filth{k} today and left number {k}", 0, 1.0) for k in range(60)]
+    toxic = [(f"you are filth{k} and nothing else number {k}", 1, 1.0) for k in range(60)]
+    sample = llm.createDataFrame(clean + toxic, "text string, toxic int, weight double")
+    model = t.ToxicityModel(terms=[("filth", True, 3.0)])
+    context, mentions = t.context_words(sample, model)
+    assert "reported" in mentions and "you" not in mentions and context["you"] > 0 > context["reported"]
