@@ -125,10 +125,15 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, buckets: int, how:
     """Equi-join on ``key`` with the left side spread over ``buckets`` salt
     values and the right side (one row per key) copied once per salt, so a
     key holding a large share of the left rows is processed by ``buckets``
-    tasks. ``buckets <= 1`` is a plain join."""
+    tasks. ``buckets <= 1`` is a plain join.
+
+    The copies are made by a cross join with the salts: its size estimate is a
+    product, so they are only broadcast if all of them are small. The estimate of
+    an ``explode`` would be that of one copy."""
     if buckets <= 1:
         return left.join(right, key, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(buckets)).cast("int")
     l2 = left.withColumn("__salt", salt)
-    r2 = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    salts = right.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("__salt"))
+    r2 = right.crossJoin(F.broadcast(salts))
     return l2.join(r2, [key, "__salt"], how).drop("__salt")

@@ -158,6 +158,23 @@ def test_salted_join_matches_plain(spark):
     assert plain == salted
 
 
+def test_salted_copies_are_broadcast_only_if_all_are_small(spark):
+    from cartwheel.functions.cols import salted_join
+    from cartwheel.sources.layout import written
+    right = written(spark.range(20_000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")), "t-salted-right")
+    left = written(spark.range(400_000).select((F.col("id") % 20_001).alias("k"), F.xxhash64("id").alias("v")), "t-salted-left")
+    size = right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 3 * size)  # one copy would do, eight do not
+    try:
+        joined = salted_join(left, right, "k", 8)
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        totals = [F.count(F.lit(1)), F.sum(F.xxhash64("k", "v", "name").cast("decimal(38,0)"))]
+        assert joined.agg(*totals).first() == left.join(right, "k").agg(*totals).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def hot_order(spark):
     """An order with a third of all lines: numbers twice or missing, null and
     unknown variants; small orders beside it."""
