@@ -53,6 +53,12 @@ def customer_measures() -> dict[str, Measure]:
     return {"new_customers": Measure(F.lit(1).cast("long"), F.lit(True))}
 
 
+def _one_part(days: DataFrame) -> DataFrame:
+    """``days``, one small row each, as a single file. A ``coalesce`` would have
+    one task add up all partitions, which holds the memory of each to its end."""
+    return days.repartition(1)
+
+
 class Rollup:
     """Daily sums of ``measures`` over the rows of one table.
 
@@ -85,8 +91,7 @@ class Rollup:
             known = before.select(self.key, F.col(self.seq).alias("__seq"))
             new = newest.join(known, self.key, "left").where(F.col("__seq").isNull() | (F.col("__seq") < F.col(self.seq))).drop("__seq")
             new = written(new, "rollup-new")
-            sums = self._sums(new, 1).unionByName(self._sums(old, -1)).groupBy("date").agg(*[F.sum(m).alias(m) for m in self.measures])
-            sums.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/days/batch_id={batch_id}")
+            _one_part(self._differences(new, old)).write.mode("overwrite").parquet(f"{self.root}/days/batch_id={batch_id}")
             if self.states.newest() == base:  # else a run before this one got so far
                 upsert(self.states, new, self.key)
         finally:
@@ -106,6 +111,11 @@ class Rollup:
         day = rows.where(F.col(self.time).isNotNull()).groupBy(F.col(self.time).cast("date").alias("date"))
         return day.agg(*[(sign * F.coalesce(F.sum(F.when(m.counts, m.value)), F.lit(0))).cast("long").alias(name) for name, m in self.measures.items()])
 
+    def _differences(self, new: DataFrame, old: DataFrame) -> DataFrame:
+        """One row a day: what ``new`` states add to it less what ``old`` ones did."""
+        both = self._sums(new, 1).unionByName(self._sums(old, -1))
+        return both.groupBy("date").agg(*[F.sum(m).alias(m) for m in self.measures])
+
     # ------------------------------------------------------------- reading
     def _folded(self) -> tuple[int, str | None]:
         row = read_if_any(self.spark, f"{self.root}/folds", "up_to long, folder string", "json").agg(F.max(F.struct("up_to", "folder"))).first()[0]
@@ -133,7 +143,7 @@ class Rollup:
         if last is None or last <= up_to:
             return up_to
         folder = f"{self.root}/folded/{last}"
-        self.days().coalesce(1).write.mode("overwrite").parquet(folder)
+        _one_part(self.days()).write.mode("overwrite").parquet(folder)
         self.spark.createDataFrame([(last, folder)], "up_to long, folder string").coalesce(1).write.mode("append").json(f"{self.root}/folds")
         return last
 

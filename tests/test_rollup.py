@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrameWriter
 
 from cartwheel.operators import customers as cu, sales as sa
 from cartwheel.session import scratch_path
@@ -108,3 +109,21 @@ def test_empty(spark):
     r.write(spark.createDataFrame([], SCHEMA), 0)
     assert got(r) == [] and ru.sales_totals(r.days(), START.date(), END.date()).first() == (0, 0, 0)
     assert F
+
+
+def test_no_task_adds_up_all_partitions(spark):
+    # the plans that are written: a day's file holds one row a day, added up before by many tasks
+    plans, rows = [], some_versions(120, 4)
+    r = orders_rollup(spark)
+    with pytest.MonkeyPatch.context() as m:
+        write = DataFrameWriter.parquet
+        m.setattr(DataFrameWriter, "parquet", lambda w, path, *a, **k: (plans.append((path, w._df._jdf.queryExecution().executedPlan().toString())), write(w, path, *a, **k))[1])
+        r.write(spark.createDataFrame(rows[:60], SCHEMA), 0)
+        r.write(spark.createDataFrame(rows[60:], SCHEMA), 1)
+        assert r.compact() == 1
+    sums = [p for path, p in plans if path.startswith((f"{r.root}/days", f"{r.root}/folded"))]
+    assert len(sums) == 3
+    for p in sums:
+        assert "Coalesce" not in p and p.index("Exchange SinglePartition") < p.index("HashAggregate")
+    assert spark.read.parquet(f"{r.root}/days").select(F.input_file_name()).distinct().count() == 2
+    assert got(r) == want(spark, rows)
