@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartwheel.functions.cols import js_or, left_join_spread, pii_hash, salted_join
+from cartwheel.session import shuffles_dropped
 
 
 @dataclass(frozen=True)
@@ -249,8 +250,11 @@ def _item() -> Column:
                     F.col("sku"), F.col("product_title").alias("title"), F.col("product_type"))
 
 
-def _whole_lists(lines: DataFrame) -> DataFrame:
-    """id, items, tax_total, units of orders that one task can hold."""
+def _whole_lists(lines: DataFrame, partitions: int | None = None) -> DataFrame:
+    """id, items, tax_total, units of orders that one task can hold; they stay
+    dealt out by order into ``partitions``, if given."""
+    if partitions:
+        lines = lines.repartition(partitions, "order_id")
     return lines.groupBy(F.col("order_id").alias("id")).agg(
         F.sort_array(F.collect_list(_item())).alias("items"), F.sum("tax_total").alias("tax_total"),
         F.sum(F.col("quantity").cast("bigint")).alias("units"))
@@ -276,7 +280,7 @@ def lists_by_runs(lines: DataFrame, per_run: int | None = None) -> DataFrame:
     return both.select("id", F.concat(F.sort_array(part(lambda r: r["__run"] < 0)), part(lambda r: r["__run"] >= 0)).alias("items"))
 
 
-def order_items(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
+def order_items(line_items: DataFrame, catalog: DataFrame, partitions: int | None = None) -> DataFrame:
     """id, items (in line order, each with variant sku and product type),
     tax_total and units of every order with lines.
 
@@ -284,28 +288,34 @@ def order_items(line_items: DataFrame, catalog: DataFrame) -> DataFrame:
     that reads one column. Without any, each order is one group. Otherwise
     theirs are assembled by :func:`lists_by_runs` and their sums come from
     :func:`order_headers`, so no aggregate holds the raw lines of a huge order;
-    the list itself is one document by definition."""
+    the list itself is one document by definition. With ``partitions`` the
+    result is dealt out by order into so many."""
     li = catalogued(line_items, catalog)
     huge = (line_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > ITEMS_PER_TASK)
             .select("order_id"))
-    n_huge = huge.count()
+    with shuffles_dropped(line_items.sparkSession):
+        n_huge = huge.count()
     if not n_huge:
-        return _whole_lists(li)
+        return _whole_lists(li, partitions)
     if n_huge <= BROADCAST_ORDERS:
         huge = F.broadcast(huge)  # counted above
     headers = order_headers(line_items.join(huge, "order_id", "left_semi"))
     big = lists_by_runs(li.join(huge, "order_id", "left_semi")).join(headers.drop("n_items"), "id")
-    return _whole_lists(li.join(huge, "order_id", "left_anti")).unionByName(big.select("id", "items", "tax_total", "units"))
+    if partitions:
+        big = big.repartition(partitions, "id")
+    return _whole_lists(li.join(huge, "order_id", "left_anti"), partitions).unionByName(big.select("id", "items", "tax_total", "units"))
 
 
 def order_enriched(orders: DataFrame, line_items: DataFrame, catalog: DataFrame,
-                   customers: DataFrame, addresses: DataFrame) -> DataFrame:
+                   customers: DataFrame, addresses: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per order, whatever its size, with all its items
     (:func:`order_items`), tax total, unit count, customer (optional) and
     shipping address. Work on single items of huge orders uses
-    :func:`order_item_rows`, which is dealt out by (order, position).
+    :func:`order_item_rows`, which is dealt out by (order, position). With
+    ``partitions`` the items are dealt out as a table of so many buckets is, so
+    its writer moves them no second time.
     """
-    items = order_items(line_items, catalog)
+    items = order_items(line_items, catalog, partitions)
     c = customers.select(F.col("id").alias("customer_id"), "email", "phone", "first_name", "last_name",
                          "nation_id")
     # Customer and address first, items last: the result stays
@@ -320,16 +330,17 @@ def placed_orders(orders: DataFrame, order_events: DataFrame, customers: DataFra
                   keep: tuple[str, ...] = ()) -> DataFrame:
     """``order.placed`` events with their enriched order. The customer is the
     event's: a guest event (no customer id) has none, even if the order does;
-    one that differs from the order's is looked up in ``customers``."""
+    one that differs from the order's is looked up in ``customers``, while the
+    events are still narrow: no join by customer moves item lists."""
     ev = order_events.filter(F.col("event_name") == "order.placed").select(
         "id", F.col("customer_id").alias("event_customer"), F.col("ts").alias("event_ts"), "metadata", *keep)
-    j = ev.join(orders, "id")
     person = [c for c in ("email", "phone", "first_name", "last_name") if c in orders.columns]
     same = F.col("event_customer") == F.col("customer_id")
     if customers is None:
+        j = ev.join(orders, "id")
         return j.select(*[c for c in j.columns if c not in person], *[F.when(same, F.col(c)).alias(c) for c in person])
     look = customers.select(F.col("id").alias("event_customer"), F.struct(*person).alias("__person"))
-    j = left_join_spread(j, look, "event_customer")
+    j = left_join_spread(ev, look, "event_customer").join(orders, "id")
     return j.select(*[c for c in j.columns if c not in (*person, "__person")],
                     *[F.when(same, F.col(c)).otherwise(F.col(f"__person.{c}")).alias(c) for c in person])
 

@@ -152,8 +152,8 @@ def _addresses(c) -> DataFrame:
         F.lower(F.substring("r_name", 1, 3)).alias("region_currency"))
 
 
-def _orders_enriched(c) -> DataFrame:
-    return pl.order_enriched(c.orders, c.line_items, _catalog_of(c), c.customers, _addresses(c))
+def _orders_enriched(c, partitions: int | None = None) -> DataFrame:
+    return pl.order_enriched(c.orders, c.line_items, _catalog_of(c), c.customers, _addresses(c), partitions)
 
 
 def _order_events(c) -> DataFrame:

@@ -126,16 +126,17 @@ def conversion_outbox(spark, sf_dir):
     not stop the others. The rows are read back, payloads flattened."""
     c = commerce(spark, sf_dir)
     catalog = outbox.snapshot_catalog(spark, qe._catalog(c))
-    orders = outbox.snapshot_catalog(spark, qe._orders_enriched(c))
     people = outbox.snapshot_catalog(spark, c.customers)
     box, ckpt = scratch_path(spark, "outbox"), scratch_path(spark, "outbox-ckpt")
-    started = []
-    for sink in outbox.SINKS:
-        # A file stream source watches a folder or glob; the test data is one file.
-        started.append(outbox.start_outbox(spark, f"{c.sf_dir}/events.parquet*", catalog, box, ckpt, sink))
-        placed = ev.order_events(outbox.read_orders_stream(spark, f"{c.sf_dir}/orders.parquet*"))
-        started.append(outbox.start_order_outbox(placed, orders, box, ckpt, sink, customers=people))
-    errors = outbox.finish(started)
+    buckets = outbox.order_buckets(spark, c.line_items.count())
+    with outbox.order_snapshot(spark, qe._orders_enriched(c, buckets), buckets) as orders:
+        started = []
+        for sink in outbox.SINKS:
+            # A file stream source watches a folder or glob; the test data is one file.
+            started.append(outbox.start_outbox(spark, f"{c.sf_dir}/events.parquet*", catalog, box, ckpt, sink))
+            placed = ev.order_events(outbox.read_orders_stream(spark, f"{c.sf_dir}/orders.parquet*"))
+            started.append(outbox.start_order_outbox(placed, orders, box, ckpt, sink, customers=people))
+        errors = outbox.finish(started)
     if errors:
         raise errors[0]
     rows = outbox.read_outbox(spark, box, "pixel").unionByName(outbox.read_outbox(spark, box, "measurement"))

@@ -6,6 +6,7 @@ the builder in :func:`local_session` is for tests and the bench.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -72,6 +73,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return configure(spark)
 
 
+#: Spark (from 4.1) removes the shuffle files of an execution when it ends.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends, not when the driver
+    happens to collect its garbage: for tables that are written once. A stream
+    started inside keeps the setting, so each micro-batch frees its own."""
+    held = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FILE_CLEANUP) if held is None else spark.conf.set(FILE_CLEANUP, held)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never reused,
     so a retried or concurrent job cannot see another run's files)."""

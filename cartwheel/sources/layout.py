@@ -43,13 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str, codec: str | None = None) -> DataFrame:
     """``df`` as table ``table`` at ``path``, dealt into ``buckets`` by a hash of
     ``key`` and sorted by it within each. Tables bucketed alike on their join key
     are joined and semi-joined without moving rows; a bucket is a task's work,
     so their number goes with the size (one for each 256 MB or so)."""
     # one writer a bucket, or every task would write a file to every bucket
-    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table))
+    options = {"path": path} | ({"compression": codec} if codec else {})
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).options(**options).format("parquet").saveAsTable(table))
     return df.sparkSession.table(table)
 
 

@@ -11,16 +11,22 @@ failure replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
+import contextlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cartwheel.operators import payloads as pl
+from cartwheel.session import scratch_path, shuffles_dropped
 from cartwheel.sources import events as ev
+from cartwheel.sources.layout import write_bucketed
 
 SINKS = ("pixel", "measurement")
+#: Order lines in a bucket of an order snapshot; a bucket is a task's work.
+LINES_PER_BUCKET = 1_000_000
 
 
 def payload_frame(enriched: DataFrame, sink: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,7 +62,8 @@ def order_payload_frame(orders: DataFrame, order_events: DataFrame, sink: str, c
 
 def _writer(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        # zstd: most of a payload is hex digits, which snappy leaves as they are
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
 
 
@@ -67,17 +74,41 @@ def snapshot_catalog(spark: SparkSession, catalog: DataFrame, path: str | None =
     re-running the catalogue's joins and aggregate every trigger; the
     snapshot also cuts the lineage. Re-snapshot to pick up catalogue
     changes (the reference looks variants up at handling time)."""
-    from cartwheel.session import scratch_path
     path = path or scratch_path(spark, "catalog-snapshot")
-    catalog.write.mode("overwrite").parquet(path)
+    with shuffles_dropped(spark):
+        catalog.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def order_buckets(spark: SparkSession, n_lines: int) -> int:
+    """Buckets of a snapshot of orders with ``n_lines`` lines together; at
+    most as many as a table may have."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines // LINES_PER_BUCKET)))
+
+
+@contextlib.contextmanager
+def order_snapshot(spark: SparkSession, orders: DataFrame, buckets: int):
+    """The enriched orders written once, in ``buckets`` by order id, so that
+    micro-batches move their events only, never the item lists of all orders.
+    Orders without an id are left out: no event finds them. The table's name is
+    given up at the end; its files stay, as other snapshots do."""
+    table = f"outbox_orders_{uuid.uuid4().hex}"
+    try:
+        with shuffles_dropped(spark):
+            written = write_bucketed(orders.where(F.col("id").isNotNull()), table, "id", buckets,
+                                     scratch_path(spark, "order-snapshot"), "zstd")
+        yield written
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _start(out: DataFrame, outbox: str, checkpoint: str, sink: str, source: str, available_now: bool) -> StreamingQuery:
     w = out.writeStream.foreachBatch(_writer(os.path.join(outbox, sink, f"source={source}"))).option(
         "checkpointLocation", os.path.join(checkpoint, sink, source)).queryName(f"outbox_{sink}_{source}")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    with shuffles_dropped(out.sparkSession):
+        return w.start()
 
 
 def start_cart_outbox(cart_events: DataFrame, catalog: DataFrame, outbox: str, checkpoint: str, sink: str,
@@ -93,7 +124,8 @@ def start_order_outbox(order_events: DataFrame, orders: DataFrame, outbox: str,
                        available_now: bool = True, customers: DataFrame | None = None) -> StreamingQuery:
     """One sink's outbox of a stream of order events; ``orders`` is the
     enriched order table (:func:`cartwheel.operators.payloads.order_enriched`),
-    written once as the static side, and ``customers`` the customer table."""
+    written once as the static side (ideally an :func:`order_snapshot`), and
+    ``customers`` the customer table."""
     return _start(order_payload_frame(orders, order_events, sink, customers), outbox, checkpoint, sink, "orders", available_now)
 
 
